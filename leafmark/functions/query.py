@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,88 +11,83 @@ from leafmark.functions import text as X
 ASPECT = "array<struct<id:string,query:string,keywords:array<string>>>"
 
 
-def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+def _all_that_apply(rows: list[tuple[str, list[str]]]) -> str:
+    """SQL: the term arrays of all conditions that hold, concatenated."""
+    empty = X.string_array([])
+    return "concat(" + ", ".join(f"if({cond}, {X.string_array(terms)}, {empty})" for cond, terms in rows) + ")"
+
+
+def _matches(column: str, pattern: str) -> str:
+    return f"{column} rlike r'{pattern}'"
 
 
-def _when_any(rows: list[tuple[Column, Column]]) -> Column:
-    """Concatenate the arrays whose condition holds."""
-    empty = _strings([])
-    return F.concat(*[F.when(cond, terms).otherwise(empty) for cond, terms in rows])
+def _has(column: str, word: str) -> str:
+    return f"contains({column}, '{word}')"
 
 
-def inferred_identifiers(normalized: Column) -> Column:
+def inferred_identifiers(normalized: str) -> Column:
     rows = []
     for words, pattern, terms in R.INFERRED:
-        cond = reduce(lambda a, b: a & b, [F.contains(normalized, F.lit(w)) for w in words])
-        rows.append((cond & normalized.rlike(pattern) if pattern else cond, _strings(terms)))
-    return _when_any(rows)
+        conds = [_has(normalized, w) for w in words] + ([_matches(normalized, pattern)] if pattern else [])
+        rows.append((" and ".join(conds), terms))
+    return F.expr(_all_that_apply(rows))
 
 
-def identifiers(normalized: Column) -> Column:
+def identifiers(normalized: str) -> Column:
     return F.array_distinct(
-        F.concat(X.bounded_matches(normalized, R.IDENTIFIER), inferred_identifiers(normalized))
+        F.concat(X.bounded_matches(F.col(normalized), R.IDENTIFIER), inferred_identifiers(normalized))
     )
 
 
-def aliases(question: Column, normalized: Column) -> Column:
-    rows = [(question.rlike(p), _strings(t)) for p, t in R.ALIASES]
-    found = F.array_distinct(_when_any(rows))
-    return F.when(normalized.rlike(R.CORE_TIMER), F.array_remove(found, "TIM")).otherwise(found)
+def aliases(question: str, normalized: str) -> Column:
+    found = f"array_distinct({_all_that_apply([(_matches(question, p), t) for p, t in R.ALIASES])})"
+    return F.expr(f"if({_matches(normalized, R.CORE_TIMER)}, array_remove({found}, 'TIM'), {found})")
 
 
 def peripherals(values: Column) -> Column:
-    def first_prefix(value: Column) -> Column:
-        return F.coalesce(*[F.when(value.startswith(p), F.lit(p)) for p in R.PERIPHERALS])
+    prefixes = X.strings(R.PERIPHERALS)
+    first = F.transform(values, lambda v: F.get(F.filter(prefixes, lambda p: F.startswith(v, p)), F.lit(0)))
+    return F.array_distinct(F.filter(first, lambda p: p.isNotNull()))
 
-    return F.array_distinct(F.filter(F.transform(values, first_prefix), lambda p: p.isNotNull()))
 
+def intent(question: str) -> Column:
+    cases = " ".join(f"when {_matches(question, p)} then '{name}'" for name, p in R.INTENTS)
+    return F.expr(f"case {cases} else 'general' end")
 
-def intent(question: Column) -> Column:
-    chain = F.when(question.rlike(R.INTENTS[0][1]), R.INTENTS[0][0])
-    for name, pattern in R.INTENTS[1:]:
-        chain = chain.when(question.rlike(pattern), name)
-    return chain.otherwise("general")
 
+def expand_concepts(normalized: str) -> Column:
+    rows = [(_matches(normalized, p), terms.split()) for _, p, terms in R.CONCEPTS]
+    return F.expr(f"array_distinct({_all_that_apply(rows)})")
 
-def expand_concepts(question: Column) -> Column:
-    folded = X.fold(question)
-    return F.array_distinct(
-        _when_any([(folded.rlike(p), _strings(terms.split())) for _, p, terms in R.CONCEPTS])
-    )
 
+def detect_concepts(normalized: str) -> Column:
+    return F.expr(_all_that_apply([(_matches(normalized, p), [name]) for name, p, _ in R.CONCEPTS]))
 
-def detect_concepts(question: Column) -> Column:
-    folded = X.fold(question)
-    return _when_any([(folded.rlike(p), _strings([name])) for name, p, _ in R.CONCEPTS])
-
-
-def _aspect_rows(rows) -> Column:
-    return F.array(
-        *[
-            F.struct(F.lit(i).alias("id"), F.lit(q).alias("query"), _strings(k).alias("keywords"))
-            for i, q, k in rows
-        ]
-    ).cast(ASPECT)
-
-
-def aspects(normalized: Column, ids: Column, periphs: Column, alias: Column) -> Column:
-    has = lambda word: F.contains(normalized, F.lit(word))
-    own = F.array(
-        F.struct(
-            F.concat(F.lower(F.get(periphs, F.lit(0))), F.lit("-configuration")).alias("id"),
-            F.array_join(F.concat(ids, alias, periphs), " ").alias("query"),
-            F.concat(ids, periphs).alias("keywords"),
-        )
-    ).cast(ASPECT)
-    return (
-        F.when(has("PA9") & has("USART1_TX"), _aspect_rows(R.ASPECTS_REMAP))
-        .when(has("ADC") & normalized.rlike(R.SAMPLING), _aspect_rows(R.ASPECTS_ADC))
-        .when(has("GPIO") & normalized.rlike(R.MODE_WORDS), _aspect_rows(R.ASPECTS_GPIO))
-        .when(F.array_contains(periphs, "TIM") & normalized.rlike(R.QUANTITY), _aspect_rows(R.ASPECTS_TIMER))
-        .when(F.size(periphs) > 0, own)
-        .otherwise(F.array().cast(ASPECT))
-    )
+
+def _aspect_rows(rows) -> str:
+    structs = [
+        f"named_struct('id', '{i}', 'query', '{q}', 'keywords', {X.string_array(k)})" for i, q, k in rows
+    ]
+    return f"array({', '.join(structs)})"
+
+
+def aspects() -> Column:
+    """From ``normalized``, ``identifiers``, ``peripherals`` and ``aliases``; the first case that holds."""
+    n = "normalized"
+    cases = [
+        (f"{_has(n, 'PA9')} and {_has(n, 'USART1_TX')}", _aspect_rows(R.ASPECTS_REMAP)),
+        (f"{_has(n, 'ADC')} and {_matches(n, R.SAMPLING)}", _aspect_rows(R.ASPECTS_ADC)),
+        (f"{_has(n, 'GPIO')} and {_matches(n, R.MODE_WORDS)}", _aspect_rows(R.ASPECTS_GPIO)),
+        (f"array_contains(peripherals, 'TIM') and {_matches(n, R.QUANTITY)}", _aspect_rows(R.ASPECTS_TIMER)),
+        (
+            "size(peripherals) > 0",
+            "array(named_struct('id', concat(lower(get(peripherals, 0)), '-configuration'),"
+            " 'query', array_join(concat(identifiers, aliases, peripherals), ' '),"
+            " 'keywords', concat(identifiers, peripherals)))",
+        ),
+    ]
+    whens = " ".join(f"when {cond} then {rows}" for cond, rows in cases)
+    return F.expr(f"cast(case {whens} else array() end as {ASPECT})")
 
 
 def variants(
@@ -145,28 +138,30 @@ def variants(
 def analyze(questions: DataFrame) -> DataFrame:
     """``(query_id, question)`` plus everything the rules derive from the wording."""
     c = F.col
-    return (
-        questions.select("query_id", "question", X.fold(c("question")).alias("normalized"))
-        .withColumn("chip_models", F.array_distinct(F.regexp_extract_all("normalized", F.lit(R.CHIP), F.lit(0))))
-        .withColumn("identifiers", identifiers(c("normalized")))
-        .withColumn("aliases", aliases(c("question"), c("normalized")))
-        .withColumn("peripherals", peripherals(F.concat("identifiers", "aliases")))
-        .withColumn("keywords", query_keywords_col())
-        .withColumn("intent", intent(c("question")))
-        .withColumn("concepts", expand_concepts(c("question")))
-        .withColumn("aspects", aspects(c("normalized"), c("identifiers"), c("peripherals"), c("aliases")))
-        .withColumn(
-            "variants",
-            variants(
-                c("question"), c("chip_models"), c("keywords"), c("identifiers"),
-                c("peripherals"), c("aliases"), c("concepts"), c("aspects"),
-            ),
-        )
+    worded = questions.select(
+        "query_id",
+        "question",
+        X.fold(c("question")).alias("normalized"),
+        X.query_keywords(c("question")).alias("keywords"),
+    )
+    named = worded.select(
+        "*",
+        F.array_distinct(F.regexp_extract_all("normalized", F.lit(R.CHIP), F.lit(0))).alias("chip_models"),
+        identifiers("normalized").alias("identifiers"),
+        aliases("question", "normalized").alias("aliases"),
+        intent("question").alias("intent"),
+        expand_concepts("normalized").alias("concepts"),
+    )
+    framed = named.withColumn("peripherals", peripherals(F.concat("identifiers", "aliases"))).withColumn(
+        "aspects", aspects()
+    )
+    return framed.withColumn(
+        "variants",
+        variants(
+            c("question"), c("chip_models"), c("keywords"), c("identifiers"),
+            c("peripherals"), c("aliases"), c("concepts"), c("aspects"),
+        ),
     )
-
-
-def query_keywords_col() -> Column:
-    return X.query_keywords(F.col("question"))
 
 
 def variant_terms(analysed: DataFrame) -> DataFrame:

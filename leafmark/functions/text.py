@@ -68,16 +68,27 @@ def subtokens(term: Column) -> Column:
     return F.filter(F.split(term, R.SUBTOKEN_SPLIT), lambda x: x != "")
 
 
+def strings(values: list[str]) -> Column:
+    """A literal array, parsed in one go."""
+    return F.expr(string_array(values))
+
+
+def string_array(values: list[str]) -> str:
+    quoted = ", ".join(f"r'{v}'" for v in values)
+    return f"cast(array({quoted}) as array<string>)"
+
+
+def blank_out(text: Column, words: list[str]) -> Column:
+    """Replace the words by blanks, one after the other."""
+    return F.aggregate(strings(words), text, lambda t, w: F.replace(t, w, F.lit(" ")))
+
+
 def strip_stopwords(text: Column) -> Column:
-    for word in R.STOPWORDS:
-        text = F.replace(text, F.lit(word), F.lit(" "))
-    return squeeze(text)
+    return squeeze(blank_out(text, R.STOPWORDS))
 
 
 def query_keywords(question: Column) -> Column:
-    text = strip_stopwords(fold(question))
-    for word in R.META_WORDS:
-        text = F.replace(text, F.lit(word), F.lit(" "))
+    text = blank_out(strip_stopwords(fold(question)), R.META_WORDS)
     per_clause = F.transform(
         F.split(text, R.CLAUSE),
         lambda s: F.concat(

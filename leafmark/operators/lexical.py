@@ -16,7 +16,7 @@ from leafmark.functions import rules as R
 from leafmark.functions import text as X
 from leafmark.operators.indexing import SearchIndex
 from leafmark.operators.joins import sized_join
-from leafmark.session import write_table
+from leafmark.session import fan_out, write_table
 
 
 def in_scope(df: DataFrame, scope: list[str] | None) -> DataFrame:
@@ -29,36 +29,39 @@ def scoped_total(index: SearchIndex, scope: list[str] | None) -> int:
 
 
 def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
-    """``(term, chunk_id, document_id, length, tf)`` for a stored table of distinct search terms.
+    """Adds ``(chunk_id, document_id, length, tf)`` to a stored table with a ``term`` column.
 
     A term the index splits (``USART1_TX``) is a phrase: its pieces must stand side by side.
     """
-    pieces = terms.select("term", X.subtokens(F.col("term")).alias("pieces"))
-    single = pieces.where(F.size("pieces") == 1).select("term", F.col("pieces")[0].alias("piece"))
+    pieces = X.subtokens(F.col("term"))
+    single = terms.where(F.size(pieces) == 1).withColumn("piece", pieces[0])
     posted = index.postings.withColumnRenamed("term", "piece")
-    found = sized_join(posted, single, ["piece"]).select("term", "chunk_id", "document_id", "length", "tf")
+    found = sized_join(posted, single, ["piece"]).select(*terms.columns, "chunk_id", "document_id", "length", "tf")
 
-    phrases = pieces.where(F.size("pieces") > 1)
+    phrases = terms.where(F.size(pieces) > 1)
     if phrases.isEmpty():
         return found
-    wanted = phrases.select("term", F.explode(F.array_distinct("pieces")).alias("piece"), F.size(F.array_distinct("pieces")).alias("n"))
+    listed = phrases.select("term").distinct().withColumn("pieces", pieces)
+    wanted = listed.select(
+        "term", F.explode(F.array_distinct("pieces")).alias("piece"), F.size(F.array_distinct("pieces")).alias("n")
+    )
     both = (
         sized_join(posted, wanted, ["piece"])
         .groupBy("term", "chunk_id")
         .agg(F.count(F.lit(1)).alias("have"), F.first("n").alias("n"))
         .where(F.col("have") == F.col("n"))
-        .select("term", "chunk_id")
+        .select("term", "chunk_id", X.subtokens(F.col("term")).alias("pieces"))
     )
-    both = write_table(sized_join(both, phrases, ["term"]), "phrase_candidates")
     width = F.size("pieces")
     starts = F.when(F.size("subs") >= width, F.sequence(F.lit(1), F.size("subs") - width + 1))
     tf = F.size(F.filter(starts, lambda i: F.slice("subs", i, width) == F.col("pieces")))
     seq = index.chunks.select("chunk_id", "document_id", "length", "subs")
-    return found.unionByName(
-        sized_join(seq, both, ["chunk_id"])
+    side_by_side = (
+        sized_join(seq, write_table(both, "phrase_candidates"), ["chunk_id"])
         .select("term", "chunk_id", "document_id", "length", tf.alias("tf"))
         .where(F.col("tf") > 0)
     )
+    return found.unionByName(sized_join(side_by_side, phrases, ["term"]).select(*found.columns))
 
 
 def document_frequency(index: SearchIndex, terms: DataFrame, scope: list[str] | None = None) -> DataFrame:
@@ -124,13 +127,11 @@ def bm25_candidates(
 
     The per-set ranking is limited inside every task before rows are shuffled by set.
     """
-    terms = write_table(set_terms.select("term").distinct(), "bm25_terms")
-    occ = in_scope(term_occurrences(index, terms), scope)
+    occ = in_scope(term_occurrences(index, set_terms), scope)
     norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("length") / F.lit(index.avg_length))
     part = F.col("idf") * F.col("tf") * (R.BM25_K1 + 1) / (F.col("tf") + norm)
     scored = (
-        sized_join(occ, set_terms, ["term"])
-        .groupBy("set_key", "chunk_id")
+        occ.groupBy("set_key", "chunk_id")
         .agg(F.round(F.sum(part), 9).alias("bm25"))
     )
     w = W.partitionBy("set_key").orderBy(F.desc("bm25"), "chunk_id")
@@ -222,8 +223,7 @@ def search(
     )
     per_list = wanted.join(covered, "set_key")
     worded = (
-        per_list.select("query_id", "chunk_id")
-        .distinct()
+        fan_out(per_list.select("query_id", "chunk_id").distinct(), "query_id", "chunk_id")
         .join(keywords, "query_id")
         .join(chunks.select("chunk_id", "text"), "chunk_id")
         .select(

@@ -5,8 +5,6 @@ Every window here is partitioned by query and sees at most the hits of its ranke
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,98 +16,77 @@ from leafmark.operators.outline import section_boost
 C = F.col
 
 
-def _count(values: Column, test) -> Column:
-    return F.size(F.filter(values, test))
-
-
-def _sum(values: Column, amount) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + amount(v))
-
-
 def with_haystacks(hits: DataFrame) -> DataFrame:
     """Upper-cased fields the rules look at; a missing heading counts as empty."""
-    heading = F.coalesce("heading", F.lit(""))
-    return (
-        hits.withColumn("u_title", F.upper("document_title"))
-        .withColumn("u_heading", F.upper(heading))
-        .withColumn("u_text", F.upper("text"))
-        .withColumn("u_body", F.concat_ws("\n", "u_heading", "u_text"))
-        .withColumn("u_all", F.concat_ws("\n", "u_title", "u_heading", "u_text"))
-        .withColumn("specific", F.array_except("identifiers", "chip_models"))
-        .withColumn("dotted", F.regexp_count("text", F.lit(R.DOT_LEADER)) >= 3)
-        .withColumn("navigation", heading.rlike(R.NAVIGATION) | C("dotted"))
+    upper = hits.select(
+        "*",
+        F.upper("document_title").alias("u_title"),
+        F.upper(F.coalesce("heading", F.lit(""))).alias("u_heading"),
+        F.upper("text").alias("u_text"),
+        X.compact(C("normalized")).alias("asked"),
+        F.array_except("identifiers", "chip_models").alias("specific"),
+        (F.regexp_count("text", F.lit(R.DOT_LEADER)) >= 3).alias("dotted"),
+    )
+    return upper.select(
+        "*",
+        F.concat_ws("\n", "u_heading", "u_text").alias("u_body"),
+        F.concat_ws("\n", "u_title", "u_heading", "u_text").alias("u_all"),
+        X.compact(C("u_text")).alias("u_compact"),
+        (C("u_heading").rlike(R.NAVIGATION) | C("dotted")).alias("navigation"),
     )
 
 
+def _any(column: str, pattern: str) -> str:
+    return f"{column} rlike r'{pattern}'"
+
+
 def structural_boost() -> Column:
-    inside = lambda v: F.contains(C("u_all"), v)
-    return (
-        0.035 * _count(C("identifiers"), inside)
-        + 0.02 * _count(C("peripherals"), inside)
-        + 0.02 * _count(C("chip_models"), inside)
-        + F.when(
-            C("heading").isNotNull() & F.exists("identifiers", lambda v: F.contains(C("heading"), v)),
-            F.lit(0.04),
-        ).otherwise(F.lit(0.0))
+    return F.expr(
+        """
+        0.035D * size(filter(identifiers, v -> contains(u_all, v)))
+        + 0.02D * size(filter(peripherals, v -> contains(u_all, v)))
+        + 0.02D * size(filter(chip_models, v -> contains(u_all, v)))
+        + if(heading is not null and exists(identifiers, v -> contains(heading, v)), 0.04D, 0D)
+        """
     )
 
 
 def aspect_boost() -> Column:
-    def one(aspect: Column) -> Column:
-        in_heading = _count(aspect["keywords"], lambda k: F.contains(C("u_heading"), F.upper(k)))
-        anywhere = _count(aspect["keywords"], lambda k: F.contains(C("u_body"), F.upper(k)))
-        return F.least(F.lit(0.45), in_heading * 0.32) + F.least(F.lit(0.24), anywhere * 0.06)
-
-    return _sum(C("aspects"), one)
+    return F.expr(
+        """
+        aggregate(aspects, 0D, (acc, a) -> acc
+            + least(0.45D, 0.32D * size(filter(a.keywords, k -> contains(u_heading, upper(k)))))
+            + least(0.24D, 0.06D * size(filter(a.keywords, k -> contains(u_body, upper(k))))))
+        """
+    )
 
 
 def hit_score() -> Column:
     """What the wording of the hit adds for this query."""
-    by_identifier = _sum(
-        C("specific"),
-        lambda v: F.when(F.contains(C("u_heading"), v), 0.65).when(F.contains(C("u_text"), v), 0.45).otherwise(0.0),
-    )
-    by_keyword = _sum(
-        F.filter("keywords", lambda k: F.length(k) >= 2),
-        lambda k: F.when(F.contains(C("u_heading"), F.upper(k)), 0.45)
-        .when((F.length(k) >= 4) & F.contains(C("u_text"), F.upper(k)), 0.12)
-        .otherwise(0.0),
-    )
-    several = F.when(_count(C("specific"), lambda v: F.contains(C("u_text"), v)) >= 2, 0.55).otherwise(0.0)
-    peripheral = 0.08 * _count(
-        C("peripherals"), lambda v: F.contains(C("u_text"), v) | F.contains(C("u_heading"), v)
+    inventory = X.string_array(R.INVENTORY)
+    return F.expr(
+        f"""
+        aggregate(specific, 0D, (acc, v) -> acc
+            + case when contains(u_heading, v) then 0.65D when contains(u_text, v) then 0.45D else 0D end)
+        + aggregate(filter(keywords, k -> length(k) >= 2), 0D, (acc, k) -> acc
+            + case when contains(u_heading, upper(k)) then 0.45D
+                   when length(k) >= 4 and contains(u_text, upper(k)) then 0.12D else 0D end)
+        + if(size(filter(specific, v -> contains(u_text, v))) >= 2, 0.55D, 0D)
+        + 0.08D * size(filter(peripherals, v -> contains(u_text, v) or contains(u_heading, v)))
+        + 0.04D * size(filter(chip_models, v -> contains(u_text, v) or contains(u_title, v)))
+        + if({_any("u_title", R.TITLE_REFERENCE)}
+             and (intent in ('configure', 'register') or size(peripherals) > 0), 0.28D, 0D)
+        + if({_any("u_title", R.TITLE_PINS)}
+             and (intent = 'pin' or exists(specific, v -> v rlike '^P[A-G][0-9]')), 0.2D, 0D)
+        + if({_any("u_title", R.TITLE_FIRMWARE)} and {_any("question", R.FIRMWARE_WORDS)}, 0.12D, 0D)
+        + if({_any("u_title", R.TITLE_DATASHEET)} and {_any("question", R.QUANTITY)}
+             and {_any("question", R.INVENTORY_WORDS)},
+             least(0.9D, 0.35D * size(filter({inventory}, p -> contains(u_body, p)))), 0D)
+        + if(length(asked) >= 4 and contains(u_compact, asked), 0.35D, 0D)
+        + if({_any("u_heading", R.NAVIGATION)}, -0.45D, 0D)
+        + if(dotted, -0.8D, 0D)
+        """
     )
-    chip = 0.04 * _count(C("chip_models"), lambda v: F.contains(C("u_text"), v) | F.contains(C("u_title"), v))
-
-    title, question = C("u_title"), C("question")
-    found = reduce(
-        lambda a, b: a + b, [F.contains(C("u_body"), F.lit(p)).cast("int") for p in R.INVENTORY]
-    )
-    classes = [
-        (
-            title.rlike(R.TITLE_REFERENCE)
-            & (C("intent").isin("configure", "register") | (F.size("peripherals") > 0)),
-            F.lit(0.28),
-        ),
-        (
-            title.rlike(R.TITLE_PINS)
-            & ((C("intent") == "pin") | F.exists("specific", lambda v: v.rlike("^P[A-G][0-9]"))),
-            F.lit(0.2),
-        ),
-        (title.rlike(R.TITLE_FIRMWARE) & question.rlike(R.FIRMWARE_WORDS), F.lit(0.12)),
-        (
-            title.rlike(R.TITLE_DATASHEET) & question.rlike(R.QUANTITY) & question.rlike(R.INVENTORY_WORDS),
-            F.least(F.lit(0.9), found * 0.35),
-        ),
-    ]
-    by_class = reduce(lambda a, b: a + b, [F.when(c, v).otherwise(0.0) for c, v in classes])
-    asked = X.compact(C("normalized"))
-    verbatim = F.when(
-        (F.length(asked) >= 4) & F.contains(X.compact(C("u_text")), asked), 0.35
-    ).otherwise(0.0)
-    listing = F.when(C("u_heading").rlike(R.NAVIGATION), -0.45).otherwise(0.0)
-    leaders = F.when(C("dotted"), -0.8).otherwise(0.0)
-    return by_identifier + by_keyword + several + peripheral + chip + by_class + verbatim + listing + leaders
 
 
 def pool(hits: DataFrame) -> DataFrame:
@@ -136,16 +113,13 @@ def scored(hits: DataFrame) -> DataFrame:
         + section_boost(C("sections"), C("page_number"), C("keywords"))
     )
     ranked = pool(rich).withColumn("score", F.round(first + hit_score() + 1 / (20 + C("rank")), 9))
-    in_heading = F.transform(
-        "aspects",
-        lambda a: F.exists(a["keywords"], lambda k: F.contains(C("u_heading"), F.upper(k))),
-    )
-    anywhere = F.transform(
-        "aspects", lambda a: F.exists(a["keywords"], lambda k: F.contains(C("u_body"), F.upper(k)))
-    )
-    return ranked.withColumn("aspect_heading", in_heading).withColumn("aspect_any", anywhere).withColumn(
-        "result_limit",
-        F.when(F.exists("aspects", lambda a: a["id"] == R.TIMER_INVENTORY), 4).otherwise(R.FINAL_LIMIT),
+    return ranked.select(
+        "*",
+        F.expr("transform(aspects, a -> exists(a.keywords, k -> contains(u_heading, upper(k))))").alias("aspect_heading"),
+        F.expr("transform(aspects, a -> exists(a.keywords, k -> contains(u_body, upper(k))))").alias("aspect_any"),
+        F.when(F.exists("aspects", lambda a: a["id"] == R.TIMER_INVENTORY), 4)
+        .otherwise(R.FINAL_LIMIT)
+        .alias("result_limit"),
     )
 
 

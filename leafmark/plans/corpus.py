@@ -96,7 +96,7 @@ def outline_of(kept: DataFrame) -> DataFrame:
 _STORED: dict[tuple, object] = {}
 
 
-def _once(spark: SparkSession, key: tuple, build):
+def once(spark: SparkSession, key: tuple, build):
     """Stored tables are reused within a session as long as the input files are the same."""
     key = (spark.sparkContext.applicationId, *key)
     if key not in _STORED:
@@ -113,7 +113,7 @@ def library_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         levels = outline_levels(outline)
         return write_table(page_context(kept, outline, levels), "page_context"), outline, levels
 
-    return _once(spark, ("base", *_files(spark, sf_dir)), build)
+    return once(spark, ("base", *_files(spark, sf_dir)), build)
 
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
@@ -143,7 +143,7 @@ def index_of(spark: SparkSession, sf_dir: str, annotated: bool = False) -> Searc
         _, outline, levels = library_base(spark, sf_dir)
         return build_index(contextual_pages(spark, sf_dir, annotated), outline, levels)
 
-    return _once(spark, ("index", annotated, *_files(spark, sf_dir)), build)
+    return once(spark, ("index", annotated, *_files(spark, sf_dir)), build)
 
 
 def questions_of(spark: SparkSession, sf_dir: str, annotated: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from leafmark.operators.indexing import SearchIndex
 from leafmark.operators.joins import sized_join
 from leafmark.operators.lexical import in_scope, search
 from leafmark.operators.vectors import top_cosine
-from leafmark.session import write_table
+from leafmark.session import fan_out, write_table
 
 ANALYSIS = [
     "question", "normalized", "chip_models", "identifiers", "peripherals", "keywords", "intent", "aspects",
@@ -65,10 +65,12 @@ def retrieve(
     vectors: tuple[DataFrame, DataFrame] | None = None,
 ) -> Retrieval:
     """Citations ``S1..`` for every ``(query_id, question)``; at most eight each."""
-    analysis = write_table(analyze(questions), "analysis")
+    analysis = write_table(analyze(fan_out(questions, "query_id")), "analysis")
     hits = fused_hits(index, analysis, document_ids, vectors)
     most = analysis.agg(F.max(F.size("aspects"))).first()[0] or 0
-    ranked = rerank.scored(hits.join(analysis.select("query_id", *ANALYSIS), "query_id"))
+    ranked = rerank.scored(
+        fan_out(hits, "query_id").join(analysis.select("query_id", *ANALYSIS), "query_id")
+    )
     chosen = rerank.select_diverse(
         ranked.select(
             "query_id", "chunk_id", *[c for c in CHUNK if c != "sections"], "score", "rank",

@@ -65,3 +65,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     tasks that own them. With more files than cores the scan is already parallel and stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+
+
+def fan_out(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition for row work whose cost is out of proportion to its bytes. An explicit partition
+    count keeps adaptive execution from folding such a stage into a few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
