@@ -107,29 +107,26 @@ def toc_sections(outline: DataFrame, levels: list[int]) -> DataFrame:
 def section_matches(sections: DataFrame, keywords: DataFrame) -> DataFrame:
     """Sections whose title contains a keyword, for ``(query_id, keyword)`` rows.
 
-    Titles and keywords meet on character grams (a keyword's first three characters, or its first two
-    if it has no more), so only titles that share a gram are compared.
+    Titles and keywords meet on a character gram - the keyword's first five, three or two characters,
+    as many as it has - so only titles that share a gram are compared, once per distinct word.
     """
-    words = (
-        keywords.select("query_id", X.fold(F.col("keyword")).alias("keyword"))
-        .where(F.length("keyword") >= 2)
-        .distinct()
-        .withColumn("gram", F.substring("keyword", 1, 3))
+    asked = keywords.select("query_id", X.fold(F.col("keyword")).alias("keyword")).where(F.length("keyword") >= 2)
+    n = F.length("keyword")
+    words = asked.select("keyword").distinct().withColumn(
+        "gram", F.substr("keyword", F.lit(1), F.when(n >= 5, 5).when(n >= 3, 3).otherwise(2))
     )
-    title = F.col("title_key")
-    grams = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.greatest(F.length(title) - 1, F.lit(1))),
-                lambda i: F.array(F.substr(title, i, F.lit(3)), F.substr(title, i, F.lit(2))),
-            )
-        )
+    grams = F.expr(
+        """
+        flatten(transform(sequence(1, greatest(length(title_key) - 1, 1)), i -> array(
+            substr(title_key, i, 2), substr(title_key, i, 3), substr(title_key, i, 5))))
+        """
     )
     titles = sections.withColumn("title_key", X.fold(F.col("title")))
-    by_gram = titles.select("title_key").distinct().select("title_key", F.explode(grams).alias("gram"))
+    by_gram = titles.select("title_key").distinct().select("title_key", F.explode(grams).alias("gram")).distinct()
     hits = (
         by_gram.join(words, "gram")
         .where(F.contains("title_key", "keyword"))
+        .join(asked.distinct(), "keyword")
         .select("query_id", "title_key")
         .distinct()
     )

@@ -15,11 +15,12 @@ from leafmark.functions import text as X
 def joined_runs(runs: Column) -> Column:
     """Concatenate runs; a blank goes between two runs only where two Latin words would touch."""
 
-    def append(line: Column, run: Column) -> Column:
-        touching = line.rlike(r"[A-Za-z0-9)]\z") & run.rlike("^[A-Za-z0-9(]")
-        return F.concat(line, F.when(touching, " ").otherwise(""), run)
+    def spaced(all_runs: Column, run: Column, i: Column) -> Column:
+        before = F.get(all_runs, i - 1)
+        touching = F.right(before, F.lit(1)).rlike("[A-Za-z0-9)]") & F.left(run, F.lit(1)).rlike("[A-Za-z0-9(]")
+        return F.when(touching, F.concat(F.lit(" "), run)).otherwise(run)
 
-    return F.aggregate(runs, F.lit("").cast("string"), append)
+    return X.let(runs, lambda r: F.array_join(F.transform(r, lambda run, i: spaced(r, run, i)), ""))
 
 
 def lines(runs: DataFrame, page: list[str]) -> DataFrame:

@@ -27,34 +27,25 @@ def parse_frames(pieces: DataFrame) -> DataFrame:
     whole = pieces.groupBy("stream_id").agg(
         F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("parts")
     )
-    offsets = F.expr(
-        """
-        aggregate(parts, cast(array() as array<bigint>),
-                  (acc, p) -> concat(acc, array(coalesce(try_element_at(acc, -1), 0L) + length(p.piece))))
-        """
-    )
+    running = "aggregate({0}, cast(array() as array<bigint>), (acc, x) -> concat(acc, array(coalesce(try_element_at(acc, -1), 0L) + {1})))"
     text = whole.select(
-        "stream_id", F.array_join("parts.piece", "").alias("text"), offsets.alias("ends")
+        "stream_id",
+        F.split(F.array_join("parts.piece", ""), "\n\n").alias("cut"),
+        F.expr(running.format("parts.piece", "length(x)")).alias("ends"),
     )
-    frames = text.select(
+    # the offsets are bound once per stream: inside the inner lambda they would be summed up per frame
+    located = text.select(
         "stream_id",
-        "text",
-        "ends",
-        F.posexplode(F.split("text", "\n\n")).alias("frame_no", "frame"),
-        F.size(F.split("text", "\n\n")).alias("frames"),
         F.expr(
+            f"""
+            transform(array(struct({running.format("cut", "length(x) + 2")} as closes, ends)), o ->
+                transform(cut, (f, i) -> named_struct(
+                    'frame_no', i, 'frame', f, 'open', i = size(cut) - 1,
+                    'piece_no', size(filter(o.ends, e -> e < o.closes[i])))))[0]
             """
-            aggregate(split(text, '\\n\\n'), cast(array() as array<bigint>),
-                      (acc, f) -> concat(acc, array(coalesce(try_element_at(acc, -1), 0L) + length(f) + 2)))
-            """
-        ).alias("closes"),
-    ).select(
-        "stream_id",
-        "frame_no",
-        "frame",
-        (F.col("frame_no") == F.col("frames") - 1).alias("open"),
-        F.expr("size(filter(ends, e -> e < closes[frame_no]))").alias("piece_no"),
+        ).alias("frames"),
     )
+    frames = located.select("stream_id", F.inline("frames"))
     lines = frames.select(
         "stream_id",
         "frame_no",
