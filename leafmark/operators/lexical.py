@@ -113,7 +113,7 @@ def select_terms(
 
 @dataclass(frozen=True)
 class LexicalHits:
-    """``lists``: (query_id, set_key, weight, chunk_id, score, rank), the ranked list of each term set;
+    """``lists``: (query_id, set_id, weight, chunk_id, score, rank), the ranked list of each term set;
     ``chunks``: the chunk rows these lists refer to."""
 
     lists: DataFrame
@@ -123,7 +123,7 @@ class LexicalHits:
 def bm25_candidates(
     index: SearchIndex, set_terms: DataFrame, scope: list[str] | None, depth: int
 ) -> DataFrame:
-    """Best ``depth`` chunks of each term set ``(set_key, term, idf)``.
+    """Best ``depth`` chunks of each term set ``(set_id, term, idf)``.
 
     The per-set ranking is limited inside every task before rows are shuffled by set.
     """
@@ -131,10 +131,10 @@ def bm25_candidates(
     norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("length") / F.lit(index.avg_length))
     part = F.col("idf") * F.col("tf") * (R.BM25_K1 + 1) / (F.col("tf") + norm)
     scored = (
-        occ.groupBy("set_key", "chunk_id")
+        occ.groupBy("set_id", "chunk_id")
         .agg(F.round(F.sum(part), 9).alias("bm25"))
     )
-    w = W.partitionBy("set_key").orderBy(F.desc("bm25"), "chunk_id")
+    w = W.partitionBy("set_id").orderBy(F.desc("bm25"), "chunk_id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= depth)
 
 
@@ -161,6 +161,16 @@ def term_sets(index: SearchIndex, looked_up: DataFrame, scope: list[str] | None)
     )
 
 
+def numbered_sets(sets: DataFrame) -> DataFrame:
+    """Stored ``(set_id, set_key, picked)``: the distinct term sets with a short number for the joins."""
+    distinct = sets.groupBy("set_key").agg(F.first("picked").alias("picked"))
+    return write_table(distinct.withColumn("set_id", F.monotonically_increasing_id()), "numbered_sets")
+
+
+def set_term_rows(per_set: DataFrame) -> DataFrame:
+    return write_table(per_set.select("set_id", F.inline("picked")), "set_terms")
+
+
 def phrase_ratio(text: Column, keywords: Column) -> Column:
     kept = F.filter(keywords, lambda k: F.length(k) >= 2)
     body = F.upper(X.compact(text))
@@ -195,35 +205,41 @@ def search(
     the sum of their weights.
     """
     sets = write_table(term_sets(index, looked_up, scope), "term_sets")
-    per_set = sets.groupBy("set_key").agg(F.first("picked").alias("picked"))
-    set_terms = write_table(per_set.select("set_key", F.inline("picked")), "set_terms")
+    per_set = numbered_sets(sets)
     candidates = write_table(
-        bm25_candidates(index, set_terms, scope, max(limit * 4, 120)), "candidates"
+        bm25_candidates(index, set_term_rows(per_set), scope, max(limit * 4, 120)), "candidates"
     )
     chunks = write_table(
         sized_join(index.chunks, candidates.select("chunk_id").distinct(), ["chunk_id"], "left_semi")
         .drop("subs", "length"),
         "hit_chunks",
     )
-    wanted = sets.groupBy("query_id", "set_key").agg(
-        F.sum("weight").alias("weight"), F.min("variant_no").alias("variant_no")
+    wanted = (
+        sets.groupBy("query_id", "set_key")
+        .agg(F.sum("weight").alias("weight"), F.min("variant_no").alias("variant_no"))
+        .join(per_set.select("set_key", "set_id"), "set_key")
+        .drop("set_key")
     )
 
+    best = candidates.groupBy("set_id").agg(F.max("bm25").alias("best"))
     covered = (
-        candidates.join(per_set, "set_key")
+        fan_out(candidates, "chunk_id")
         .join(chunks.select("chunk_id", "tokens"), "chunk_id")
+        .join(per_set.select("set_id", F.col("picked.term").alias("chosen")), "set_id")
+        .join(best, "set_id")
         .select(
-            "set_key",
+            "set_id",
             "chunk_id",
             "place",
             "bm25",
-            (F.size(F.array_intersect("tokens", F.col("picked.term"))) / F.size("picked")).alias("coverage"),
-            F.max("bm25").over(W.partitionBy("set_key")).alias("best"),
+            (F.size(F.array_intersect("chosen", "tokens")) / F.size("chosen")).alias("coverage"),
+            "best",
         )
     )
-    per_list = wanted.join(covered, "set_key")
+    per_list = wanted.join(covered, "set_id")
+    pairs = wanted.select("query_id", "set_id").join(candidates.select("set_id", "chunk_id"), "set_id")
     worded = (
-        fan_out(per_list.select("query_id", "chunk_id").distinct(), "query_id", "chunk_id")
+        fan_out(pairs.select("query_id", "chunk_id").distinct(), "query_id", "chunk_id")
         .join(keywords, "query_id")
         .join(chunks.select("chunk_id", "text"), "chunk_id")
         .select(
@@ -239,12 +255,12 @@ def search(
         + 0.2 * F.col("phrase")
         + 0.2 * F.col("section")
     )
-    w = W.partitionBy("query_id", "set_key").orderBy(F.desc("score"), "place")
+    w = W.partitionBy("query_id", "set_id").orderBy(F.desc("score"), "place")
     lists = (
         per_list.join(worded, ["query_id", "chunk_id"])
         .withColumn("score", F.round(score, 9))
         .withColumn("rank", F.row_number().over(w))
         .where(F.col("rank") <= limit)
-        .select("query_id", "set_key", "variant_no", "weight", "chunk_id", "score", "rank")
+        .select("query_id", "set_id", "variant_no", "weight", "chunk_id", "score", "rank")
     )
     return LexicalHits(lists, chunks)

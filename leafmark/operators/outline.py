@@ -122,16 +122,13 @@ def section_matches(sections: DataFrame, keywords: DataFrame) -> DataFrame:
         """
     )
     titles = sections.withColumn("title_key", X.fold(F.col("title")))
-    by_gram = titles.select("title_key").distinct().select("title_key", F.explode(grams).alias("gram")).distinct()
-    hits = (
-        by_gram.join(words, "gram")
-        .where(F.contains("title_key", "keyword"))
-        .join(asked.distinct(), "keyword")
-        .select("query_id", "title_key")
-        .distinct()
-    )
-    return titles.join(hits, "title_key").select(
-        "query_id", "document_id", "seq", F.col("page_number").alias("from_page"), F.col("end_page").alias("to_page")
+    node = ["document_id", "seq"]
+    by_gram = titles.select(*node, F.explode(grams).alias("gram")).distinct()
+    shared = by_gram.join(words, "gram").select(*node, "keyword")
+    named = shared.join(titles.select(*node, "title_key"), node).where(F.contains("title_key", "keyword"))
+    hits = named.select(*node, "keyword").join(asked.distinct(), "keyword").select("query_id", *node).distinct()
+    return titles.join(hits, node).select(
+        "query_id", *node, F.col("page_number").alias("from_page"), F.col("end_page").alias("to_page")
     )
 
 

@@ -91,7 +91,7 @@ def doc_dedup(spark, sf_dir):
 @query
 def coverage_report(spark, sf_dir):
     context, nodes, _ = C.library_base(spark, sf_dir)
-    pages = C.raw_pages(spark, sf_dir).join(context.select("document_id", "page_number"), ["document_id", "page_number"])
+    pages = spread(C.raw_pages(spark, sf_dir), "page_number").join(context.select("document_id", "page_number"), ["document_id", "page_number"])
     return library.coverage_report(pages, nodes)
 
 
@@ -132,7 +132,7 @@ def normalize_page_text(spark, sf_dir):
 
 @query
 def printed_pages(spark, sf_dir):
-    pages = C.raw_pages(spark, sf_dir, annotated=True)
+    pages = spread(C.raw_pages(spark, sf_dir, annotated=True), "doc_id")
     return pages.select("doc_id", X.printed_page(col("text"), col("page_number")).alias("printed_page"))
 
 
@@ -148,7 +148,7 @@ def chunk_pages_cjk(spark, sf_dir):
 
 @query
 def pdf_lines(spark, sf_dir):
-    return glyphs.page_texts(glyphs.glyphs_of(C.raw_pages(spark, sf_dir)), ["doc_id"])
+    return glyphs.page_texts(glyphs.glyphs_of(spread(C.raw_pages(spark, sf_dir), "doc_id")), ["doc_id"])
 
 
 @query
@@ -308,9 +308,8 @@ def variant_terms(spark, sf_dir):
 def candidates(spark, sf_dir, annotated, scope=None) -> DataFrame:
     index = C.index_of(spark, sf_dir, annotated)
     sets = write_table(L.term_sets(index, looked_up(spark, sf_dir, annotated), scope), "sets")
-    per_set = sets.groupBy("set_key").agg(F.first("picked").alias("picked"))
-    set_terms = write_table(per_set.select("set_key", F.inline("picked")), "set_terms")
-    found = L.bm25_candidates(index, set_terms, scope, 160)
+    per_set = L.numbered_sets(sets)
+    found = L.bm25_candidates(index, L.set_term_rows(per_set), scope, 160).join(per_set.select("set_id", "set_key"), "set_id")
     return sets.join(found, "set_key").select("query_id", long("variant_no"), "chunk_id", long("place"), six("bm25"))
 
 

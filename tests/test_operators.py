@@ -157,7 +157,7 @@ def test_bm25_matches_sqlite_full_text(spark):
     looked = spark.createDataFrame([(1, 0, 1.0, terms)], "query_id long, variant_no int, weight double, terms array<string>")
     sets = lexical.term_sets(index, looked, None)
     picked = {p.term for p in sets.first().picked}
-    set_terms = write_table(sets.select("set_key", F.inline("picked")), "set_terms")
+    set_terms = lexical.set_term_rows(lexical.numbered_sets(sets))
     mine = {r.chunk_id: r.bm25 for r in lexical.bm25_candidates(index, set_terms, None, 100).collect()}
     match = " OR ".join(f'"{t}"' for t in picked)
     theirs = dict(db.execute("select id, -bm25(f, 0.0, 1.0) from f where f match ?", (match,)))
