@@ -23,6 +23,7 @@ class SearchIndex:
     levels: list[int]
     total: int
     avg_length: float
+    buckets: int
 
 
 def chunk_rows(pages: DataFrame) -> DataFrame:
@@ -91,5 +92,5 @@ def build_index(
     term_stats = write_table(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term_stats")
     total, length = chunks.agg(F.count(F.lit(1)), F.sum("length")).first()
     return SearchIndex(
-        chunks, postings, term_stats, outline, levels, total, (length or 0) / total if total else 0.0
+        chunks, postings, term_stats, outline, levels, total, (length or 0) / total if total else 0.0, buckets
     )

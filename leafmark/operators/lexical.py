@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import rules as R
 from leafmark.functions import text as X
-from leafmark.operators.indexing import SearchIndex
+from leafmark.operators.indexing import SearchIndex, bucket_of
 from leafmark.operators.joins import sized_join
 from leafmark.session import fan_out, write_table
 
@@ -34,9 +34,11 @@ def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
     A term the index splits (``USART1_TX``) is a phrase: its pieces must stand side by side.
     """
     pieces = X.subtokens(F.col("term"))
-    single = terms.where(F.size(pieces) == 1).withColumn("piece", pieces[0])
+    bucket = bucket_of(F.col("piece"), index.buckets)
+    single = terms.where(F.size(pieces) == 1).withColumn("piece", pieces[0]).withColumn("bucket", bucket)
+    # the bucket partitions the stored postings: joining on it prunes those no term falls into
     posted = index.postings.withColumnRenamed("term", "piece")
-    found = sized_join(posted, single, ["piece"]).select(*terms.columns, "chunk_id", "document_id", "length", "tf")
+    found = sized_join(posted, single, ["bucket", "piece"]).select(*terms.columns, "chunk_id", "document_id", "length", "tf")
 
     phrases = terms.where(F.size(pieces) > 1)
     if phrases.isEmpty():
@@ -44,9 +46,9 @@ def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
     listed = phrases.select("term").distinct().withColumn("pieces", pieces)
     wanted = listed.select(
         "term", F.explode(F.array_distinct("pieces")).alias("piece"), F.size(F.array_distinct("pieces")).alias("n")
-    )
+    ).withColumn("bucket", bucket)
     both = (
-        sized_join(posted, wanted, ["piece"])
+        sized_join(posted, wanted, ["bucket", "piece"])
         .groupBy("term", "chunk_id")
         .agg(F.count(F.lit(1)).alias("have"), F.first("n").alias("n"))
         .where(F.col("have") == F.col("n"))
