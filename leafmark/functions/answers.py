@@ -49,7 +49,7 @@ def cite(answers: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def source_block(row: DataFrame | None = None) -> Column:
+def source_block() -> Column:
     """Evidence text of one citation row."""
     c = F.col
     return F.concat_ws(
