@@ -8,11 +8,11 @@ r - floor(r) - the inclusion probability.
 Cube method. The probabilities of a block of documents move along a direction in the null-space of the balance
 constraints - sum of words and number of documents, so a direction over three documents is the cross product of
 (size, size, size) and (1, 1, 1) - until one of the three is 0 or 1; then the next document takes its place. All
-blocks of a source, a thousand documents each, move at once and leave two undecided documents each, the
-smallest ones of the block; those form the blocks of the next round, until one block is left for each source.
-Its last documents, three at most, are rounded such that the words come nearest to the target. So every total is
-kept exactly up to a document or two, whatever the size of the source, and a source with a third of all rows is
-just more blocks.
+blocks of a source, a thousand documents each, move at once and leave two undecided documents each,
+three if their sizes are equal; those form the blocks of the next round, until one block is left for each source.
+Its last documents - ten of all sizes that were kept back, and what its own flight leaves - are rounded such that
+the words come nearest to the target. So every total is kept exactly up to that landing problem of 13 documents at
+most, whatever the size of the source, and a source with a third of all rows is just more blocks.
 
 Defined results: a null or empty text has size 0 and counts as a document with no words. Rows with equal ids are
 documents of their own. Null sources are one source. An empty table gives an empty one. The same rows give the
@@ -25,6 +25,7 @@ import itertools
 import random
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from leafmark.llm.common import WORD, stored, text_keys
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 BLOCK = 1000
+#: documents of a source's last block that only the landing decides
+SPARE = 10
 SURE = 1e-9
 
 
@@ -77,9 +80,12 @@ def flight(sizes: list[float], chances: list[float], rng: random.Random) -> list
 
 def landing(sizes: list[float], chances: list[float]) -> list[float]:
     """Round the last few, nearest to their expected words, then to their expected number."""
-    words, number = sum(s * p for s, p in zip(sizes, chances, strict=True)), sum(chances)
-    options = itertools.product((0.0, 1.0), repeat=len(chances))
-    return list(min(options, key=lambda o: (round(abs(sum(s * x for s, x in zip(sizes, o, strict=True)) - words), 6), abs(sum(o) - number), o)))
+    if not sizes:
+        return []
+    options = (np.arange(1 << len(sizes))[:, None] >> np.arange(len(sizes)) & 1).astype(float)
+    words = np.abs(options @ np.array(sizes) - np.dot(sizes, chances)).round(6)
+    number = np.abs(options.sum(axis=1) - sum(chances))
+    return options[np.lexsort((number, words))[0]].tolist()
 
 
 def _decide(last: bool):
@@ -87,10 +93,15 @@ def _decide(last: bool):
         block = block.sort_values(["size", "_k1", "_k2", "doc_id"], ascending=[False, True, True, True], na_position="last")
         rng = random.Random(f"{block['source_no'].iloc[0]}/{block['block'].iloc[0]}/{len(block)}")
         sizes, chances = block["size"].astype(float).tolist(), block["chance"].tolist()
-        chances = flight(sizes, chances, rng)
+        open_ = [i for i, p in enumerate(chances) if SURE < p < 1 - SURE]
+        # the last block of a source keeps a few documents of all sizes for the landing
+        spare = set(open_[:: max(1, -(-len(open_) // SPARE))]) if last else set()
+        moving = [i for i in open_ if i not in spare]
+        for i, p in zip(moving, flight([sizes[i] for i in moving], [chances[i] for i in moving], rng), strict=True):
+            chances[i] = p
         if last:
-            open_ = [i for i, p in enumerate(chances) if SURE < p < 1 - SURE]
-            for i, x in zip(open_, landing([sizes[i] for i in open_], [chances[i] for i in open_]), strict=True):
+            rest = [i for i in open_ if SURE < chances[i] < 1 - SURE]
+            for i, x in zip(rest, landing([sizes[i] for i in rest], [chances[i] for i in rest]), strict=True):
                 chances[i] = x
         return block.assign(chance=chances)
 
