@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import bagminhash, bpe, language, mixing, recipes
+from leafmark.llm import bagminhash, bpe, descent, hosts, language, lattice, licences, mixing, pii, recipes
 from leafmark.llm.common import table
 
 
@@ -15,6 +15,25 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def document_path():
+    """Where a document would lie: source, language, and a folder for every hundred ids."""
+    folder = F.floor(F.col("doc_id") / 100).cast("string")
+    return F.concat_ws("/", *[F.coalesce(c, F.lit("_")) for c in (F.col("source"), F.col("lang"), folder, F.col("doc_id").cast("string"))])
+
+
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("path", document_path())
+    return licences.scan(docs, ["doc_id"])
+
+
+def op2_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hosts.judge(table(spark, sf_dir, "pages"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents"), ["doc_id"]))
+
+
 def op4_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -23,6 +42,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary_path(), ["doc_id"], digest=True)
 
 
+def op6_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 def op7_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recipes.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,9 +57,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op10_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source")
 
 
-QUERIES = {f.__name__: f for f in (op4_bagminhash, op5_bpe, op7_recipes, op8_language, op10_cube)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_licences, op2_hosts, op3_pii, op4_bagminhash, op5_bpe, op6_lattice, op7_recipes, op8_language, op9_descent, op10_cube)
+}
