@@ -20,7 +20,9 @@ special ids there. Rows and other columns do not influence each other.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,8 +35,11 @@ from pyspark.sql import functions as F
 
 from leafmark.llm.common import slices
 
-MOST_WORDS = 300_000
-NEVER = np.int64(1) << 40
+MOST_WORDS = 500_000
+NEVER = 1 << 40
+UNMERGED = (NEVER, -1)
+#: words of more bytes are merged with a heap
+LONG = 100
 
 
 def byte_letters() -> list[str]:
@@ -88,9 +93,19 @@ def load(path: str) -> Vocabulary:
     return Vocabulary({t: i for t, i in ids.items() if i not in special.values()}, tokens, merges, special, pattern, spec["model"]["end_of_word_suffix"] or "")
 
 
+#: these split like the vocabulary's pattern: PLAIN where no character is a number but the decimal digits, LATIN where
+#: moreover no letter lies beyond U+00FF (lower case)
+PLAIN = re.compile(r"[^\W\d_]+|\d|'(?:s|t|re|ve|m|ll|d)|(?:[^\w\s]|_)+")
+LATIN = re.compile("[a-zªµºß-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^a-zªµºß-öø-ÿ0-9\\s]+")
+# Fixed value: the pattern that PLAIN stands for.
+PLAIN_FOR = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def normalised(text: str) -> str:
-    text = regex.sub(r"\s+", " ", text if text.isascii() else unicodedata.normalize("NFC", text))
-    return text.lower() if text.isascii() or "Σ" not in text else text.replace("Σ", "σ").lower()
+    """Composed and in lower case. White space separates words and is no part of any, so its runs may stay."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return text.lower()
 
 
 class Encoder:
@@ -99,41 +114,53 @@ class Encoder:
         self.letters = byte_letters()
         self.words: dict[str, tuple[int, str, str]] = {}
         self.fits: dict[int, bool] = {}
-        self.split = regex.compile(vocabulary.pattern)
+        self.general = regex.compile(vocabulary.pattern)
+        self.kinds: dict[str, int] = {}
+        v, letters = vocabulary, self.letters
+        self.single = [v.ids[c] for c in letters]
+        self.last = [v.ids[c + v.end] for c in letters]
+        self.inner = max(len(t) for t in v.ids if not (v.end and t.endswith(v.end)))
         self.specials = regex.compile("|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True)))) if vocabulary.special else None
 
+    def split(self, text: str) -> list[str]:
+        text = normalised(text)
+        if self.v.pattern != PLAIN_FOR:
+            return self.general.findall(text)
+        seen = set(text)
+        for c in seen.difference(self.kinds):
+            kind = unicodedata.category(c)
+            odd = kind in ("Nl", "No") or "\x1c" <= c <= "\x1f" or (kind[0] == "C" and c >= "\x80" and not c.isspace())
+            self.kinds[c] = 2 if odd else 1 if c > "\xff" and kind[0] in "LN" else 0
+        kind = max(map(self.kinds.__getitem__, seen), default=0)
+        return (LATIN if kind == 0 else PLAIN if kind == 1 else self.general).findall(text)
+
     def pieces(self, text: str | None) -> list[str]:
         """Words and special tokens in order; a special token is marked by a leading NUL pair."""
         if not text:
             return []
-        if self.specials is None or not self.specials.search(text):
-            return self.split.findall(normalised(text))
+        if not any(special in text for special in self.v.special):
+            return self.split(text)
         out: list[str] = []
         at = 0
         for m in self.specials.finditer(text):
-            out += self.split.findall(normalised(text[at : m.start()]))
+            out += self.split(text[at : m.start()])
             out.append("\0\0" + m.group())
             at = m.end()
-        return out + self.split.findall(normalised(text[at:]))
-
-    def symbols(self, word: str) -> list[str]:
-        symbols = [self.letters[b] for b in word.encode()]
-        symbols[-1] += self.v.end
-        return symbols
+        return out + self.split(text[at:])
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; the end mark goes with the last letter."""
-        letters, ids, longest = "".join(self.letters[b] for b in word.encode()), self.v.ids, self.v.longest
-        out, at, n = [], 0, len(letters)
-        while at < n:
-            for end in range(min(n, at + longest), at, -1):
-                found = ids.get(letters[at:end] + self.v.end if end == n else letters[at:end])
-                if found is not None:
+        letters = word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()])
+        find, end, out, at, n = self.v.ids.get, self.v.end, [], 0, len(letters)
+        while (found := find(letters[at:] + end) if n - at <= self.v.longest else None) is None:
+            for stop in range(min(n - 1, at + self.inner), at, -1):
+                if (found := find(letters[at:stop])) is not None:
                     break
             else:
                 return []
             out.append(found)
-            at = end
+            at = stop
+        out.append(found)
         return out
 
     def compatible(self, pairs: np.ndarray) -> np.ndarray:
@@ -145,7 +172,7 @@ class Encoder:
         """
         v, n = self.v, len(self.v.tokens)
         a, b = pairs // n, pairs % n
-        used_a = np.full(len(a), NEVER)  # the rank at which the part was used up by its own token
+        used_a = np.full(len(a), NEVER, np.int64)  # the rank at which the part was used up by its own token
         used_b = used_a.copy()
         good = np.ones(len(a), bool)
         live = np.arange(len(a))
@@ -153,7 +180,7 @@ class Encoder:
             x, y = a[live], b[live]
             at = np.minimum(np.searchsorted(v.keys, x * n + y), len(v.keys) - 1)
             hit = v.keys[at] == x * n + y
-            rank = np.where(hit, v.ranks[at], NEVER)
+            rank = np.where(hit, v.ranks[at], np.int64(NEVER))
             # A merge across the border is made if it comes before the next use of either part. Merges of one rank go
             # from the left, so the left part's own use comes first in a tie, and the right part's comes later.
             crossed = hit & (rank < used_a[live]) & (rank <= used_b[live])
@@ -170,10 +197,25 @@ class Encoder:
         return good
 
     def merge(self, word: str) -> list[int]:
-        """Exact merging, lowest rank first and leftmost of equals, by linked parts and a heap."""
-        import heapq
-
-        ids = [self.v.ids[s] for s in self.symbols(word)]
+        """Exact merging, lowest rank first and leftmost of equals."""
+        data, merges = word.encode(), self.v.merges
+        ids = [self.single[b] for b in data]
+        ids[-1] = self.last[data[-1]]
+        if len(ids) > LONG:
+            return self.merge_long(ids)
+        ranks = [merges.get(p, UNMERGED)[0] for p in zip(ids, ids[1:])]
+        while ranks and (least := min(ranks)) < NEVER:
+            i = ranks.index(least)
+            ids[i : i + 2] = [merges[ids[i], ids[i + 1]][1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = merges.get((ids[i - 1], ids[i]), UNMERGED)[0]
+            if i < len(ranks):
+                ranks[i] = merges.get((ids[i], ids[i + 1]), UNMERGED)[0]
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same for long words, by linked parts and a heap."""
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         heap = [(self.v.merges[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.v.merges]
         heapq.heapify(heap)
@@ -217,22 +259,34 @@ class Encoder:
         if len(self.words) > MOST_WORDS:
             self.words = {}
         self.learn(set().union(*pieces))
-        known = self.words
+        known = self.words.__getitem__
         for words in pieces:
-            found = [known[w] for w in words]
-            yield sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+            sizes, ids, tokens = zip(*map(known, words)) if words else ((), (), ())
+            yield sum(sizes), " ".join(ids), " ".join(tokens)
 
 
 def ids_of(encoder: Encoder, text: str | None) -> list[int]:
     return [int(i) for _, ids, _ in encoder.encode([text]) for i in ids.split()]
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(shared) -> Encoder:
+    """A worker's tasks share what they have learned about words."""
+    vocabulary = shared.value
+    if id(vocabulary) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[id(vocabulary)] = Encoder(vocabulary)
+    return _ENCODERS[id(vocabulary)]
+
+
 def _encode_rows(shared, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = _encoder(shared)
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, batch.num_columns - 1):
                 rows = list(encoder.encode(part.column(part.num_columns - 1).to_pylist()))
                 head = [part.column(i) for i in range(part.num_columns - 1)]
                 names = part.schema.names[:-1]
@@ -249,11 +303,13 @@ def _encode_rows(shared, digest: bool):
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text_col: str = "text", digest: bool = False) -> DataFrame:
-    """The ``keep`` columns of every row with ``n_tokens, ids, decoded``, or with digests of the latter two."""
+    """The ``keep`` columns of every row with ``n_tokens, ids, decoded``, or with digests of the latter two.
+    A kept column of such a name gives way to the new one."""
+    tail = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digest else ["n_tokens long", "ids array<int>", "decoded string"]
+    keep = [c for c in keep if c.lower() not in [t.split()[0] for t in tail]]
     vocabulary = docs.sparkSession.sparkContext.broadcast(load(path))  # as large as the vocabulary
     source = docs.select(*keep, F.col(text_col).alias("_text"))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    tail = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digest else ["n_tokens long", "ids array<int>", "decoded string"]
     return source.mapInArrow(_encode_rows(vocabulary, digest), ", ".join([*kept, *tail]))
 
 

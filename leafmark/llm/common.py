@@ -38,11 +38,12 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(full).alias("_k1"), F.xxhash64(F.lit("second"), full).alias("_k2")]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch at row bounds, so that a slice holds about ``limit`` bytes of ``column``, one row at least."""
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch at row bounds, so that a slice holds about ``limit`` bytes of ``column``, one row at least.
+    A column is given by name or, where names may repeat, by position."""
     if not batch.num_rows:
         return
-    offsets, _ = text_bytes(batch.column(batch.schema.get_field_index(column)))
+    offsets, _ = text_bytes(batch.column(column))
     start = 0
     while start < batch.num_rows:
         end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
@@ -85,15 +86,17 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
 
     Rows with equal id and text are interchangeable only if their other columns agree; one of them stays.
     """
-    keys = [id_col, "_k1", "_k2"]
-    left = docs.select("*", *text_keys(F.col(text_col))).alias("l")
-    right = kept.select(*[F.col(k).alias(f"r_{k}") for k in keys], F.col("copies").alias("_copies"))
-    on = F.col(f"l.{id_col}").eqNullSafe(F.col(f"r_{id_col}"))
-    on = on & (F.col("l._k1") == F.col("r__k1")) & (F.col("l._k2") == F.col("r__k2"))
-    columns = [F.col(f"l.`{c}`") for c in docs.columns]
+    left = keyed(docs, id_col, text_col).alias("l")
+    right = kept.select(F.col(id_col).alias("r_id"), F.col("_k1").alias("r_k1"), F.col("_k2").alias("r_k2"), F.col("copies").alias("_copies"))
+    on = F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_k1") == F.col("r_k1")) & (F.col("_k2") == F.col("r_k2"))
     if kept.where("copies > 1").isEmpty():
-        return left.join(right, on, "left_semi").select(*columns)
+        return left.join(right, on, "left_semi").select("_doc.*")
     joined = left.join(right, on)
-    once = joined.where("_copies = 1").select(*columns)
-    more = joined.where("_copies > 1").dropDuplicates([f"r_{id_col}", "r__k1", "r__k2"]).select(*columns)
-    return once.unionByName(more)
+    once = joined.where("_copies = 1").select("_doc.*")
+    return once.unionByName(joined.where("_copies > 1").dropDuplicates(["r_id", "r_k1", "r_k2"]).select("_doc.*"))
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Each row whole, as ``_doc``, beside ``_id, _k1, _k2`` and ``more``: no name in ``docs`` can clash."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    return docs.select(whole, F.col(f"`{id_col}`").alias("_id"), *text_keys(F.col(f"`{text_col}`")), *more)

@@ -20,13 +20,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import stored
+from leafmark.llm.common import mix, slices, stored
 
 WORDS = re.compile(r"[^\W\d_]+")
 LONGEST = 4
@@ -34,6 +35,7 @@ KNOWN = 50_000
 #: words of a text that count in full; more evidence than this does not make the score more certain
 EVIDENCE = 20
 UNDETERMINED = "und"
+STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 @dataclass
@@ -69,15 +71,24 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """N-grams of the words, weighted by the words' counts, summed over a task as long as they are few."""
+    counts: dict[str, dict[str, int]] = {}
+
+    def flush():
+        for lang, found in counts.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"]
+            )
+        counts.clear()
+
     for batch in batches:
-        found: dict[tuple[str, str], int] = {}
         for lang, word, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            found = counts.setdefault(lang, {})
             for gram in grams_of(word):
-                found[lang, gram] = found.get((lang, gram), 0) + n
-        keys = list(found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(found.values()), pa.int64())], ["lang", "gram", "n"]
-        )
+                found[gram] = found.get(gram, 0) + n
+        if sum(map(len, counts.values())) > 500_000:
+            yield from flush()
+    yield from flush()
 
 
 def grams_of(word: str) -> list[str]:
@@ -112,73 +123,99 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", known
     return Model(languages, frequent(words, "word", 0), table, unseen)
 
 
-def word_scores(model: Model, word: str) -> list[float]:
-    """The word's scores if it is known, else those of the longest known n-gram at each position."""
-    if (known := model.words.get(word)) is not None:
-        return known
-    marked, grams = f"_{word}_", model.grams
-    sums = [0.0] * len(model.languages)
-    for i in range(len(marked) - 1):
-        scores = model.unseen
-        for n in range(min(LONGEST, len(marked) - i), 0, -1):
-            if (found := grams.get(marked[i : i + n])) is not None:
-                scores = found
-                break
-        sums = [a + b for a, b in zip(sums, scores, strict=True)]
-    return sums
-
-
 class Scorer:
     """Holds the scores of the words met so far; they start anew when there are many."""
 
-    def __init__(self, model: Model, most: int = 200_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most = model, most
-        self.rows: dict[str, int] = {}
-        self.scores: list[list[float]] = []
-        self.matrix = np.zeros((0, len(model.languages)))
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.model.languages or not (found := Counter(words_of(text))):
-            return UNDETERMINED, 0.0
+        if not model.languages:
+            return
+        grams = sorted(model.grams)
+        codes = np.array([_code(g) for g in grams], np.uint64)
+        order = np.argsort(codes)
+        self.codes = codes[order]
+        self.sieve = np.zeros(1 << 20, bool)
+        self.sieve[codes >> np.uint64(44)] = True
+        self.gram_scores = np.array([model.unseen, *(model.grams[grams[i]] for i in order)]).reshape(-1, len(model.languages))
+        self.reset()
+
+    def reset(self) -> None:
+        self.rows = {w: i for i, w in enumerate(self.model.words)}
+        self.matrix = np.array(list(self.model.words.values())).reshape(-1, len(self.model.languages))
+
+    def unknown(self, words: list[str]) -> np.ndarray:
+        """Scores of words by the longest known n-gram at each position but the last, the end mark's."""
+        text = "".join([f"_{w}_" for w in words])
+        sizes = np.array([len(w) + 2 for w in words])
+        ends = np.cumsum(sizes)
+        left = np.repeat(ends, sizes) - np.arange(len(text))  # characters up to the end of the word
+        with np.errstate(over="ignore"):
+            letters = mix(np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1))
+            place, h = np.zeros(len(text), np.int64), None
+            for n in range(1, LONGEST + 1):
+                h = letters if h is None else h[:-1] * STEP + letters[n - 1 :]
+                if not len(h):
+                    break
+                at = np.flatnonzero(self.sieve[h >> np.uint64(44)] & (left[: len(h)] >= n))
+                found = np.minimum(np.searchsorted(self.codes, h[at]), max(len(self.codes) - 1, 0))
+                same = self.codes[found] == h[at] if len(self.codes) else np.zeros(0, bool)
+                place[at[same]] = found[same] + 1
+        scores = self.gram_scores[place]
+        scores[ends - 1] = 0.0
+        return np.add.reduceat(scores, ends - sizes, axis=0)
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.model.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        words = [words_of(t) for t in texts]
+        counts = np.array([len(w) for w in words])
+        every = list(chain.from_iterable(words))
+        if not every:
+            return [(UNDETERMINED, 0.0)] * len(texts)
         if len(self.rows) > self.most:
-            self.rows, self.scores, self.matrix = {}, [], self.matrix[:0]
-        for word in found:
-            if word not in self.rows:
-                self.rows[word] = len(self.scores)
-                self.scores.append(word_scores(self.model, word))
-        if len(self.matrix) < len(self.scores):
-            fresh = np.array(self.scores[len(self.matrix) :])
-            if len(self.matrix) + len(fresh) > len(getattr(self, "_room", ())):
-                room = np.zeros((2 * (len(self.matrix) + len(fresh)), self.matrix.shape[1]))
-                room[: len(self.matrix)] = self.matrix
-                self._room = room
-            self._room[len(self.matrix) : len(self.scores)] = fresh
-            self.matrix = self._room[: len(self.scores)]
-        at = np.fromiter(map(self.rows.__getitem__, found), np.int64, len(found))
-        n = np.fromiter(found.values(), np.float64, len(found))
-        sums = n @ self.matrix[at]
-        best = int(sums.argmax())
-        total = n.sum()
-        odds = np.exp((sums - sums[best]) * (min(total, EVIDENCE) / total))
-        return self.model.languages[best], float(1 / odds.sum())
+            self.reset()
+        fresh = list(set(every).difference(self.rows))
+        if fresh:
+            self.rows.update(zip(fresh, range(len(self.rows), len(self.rows) + len(fresh))))
+            self.matrix = np.concatenate((self.matrix, self.unknown(fresh)))
+        at = np.fromiter(map(self.rows.__getitem__, every), np.int64, len(every))
+        some = np.flatnonzero(counts)
+        sums = np.add.reduceat(self.matrix[at], np.concatenate(([0], np.cumsum(counts[some])[:-1])), axis=0)
+        best = sums.argmax(axis=1)
+        top = sums[np.arange(len(some)), best]
+        odds = np.exp((sums - top[:, None]) * (np.minimum(counts[some], EVIDENCE) / counts[some])[:, None])
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        for i, k, p in zip(some.tolist(), best.tolist(), (1 / odds.sum(axis=1)).tolist(), strict=True):
+            out[i] = self.model.languages[k], p
+        return out
+
+
+def _code(gram: str) -> np.uint64:
+    h = np.uint64(0)
+    with np.errstate(over="ignore"):
+        for c in gram:
+            h = h * STEP + mix(np.array([ord(c)], np.uint64) + np.uint64(1))[0]
+    return h
 
 
 def _predict_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            found = [scorer.predict(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                [*batch.schema.names[:-1], "lang_pred", "score"],
-            )
+            for part in slices(batch, batch.num_columns - 1):
+                found = scorer.predict(part.column(part.num_columns - 1).to_pylist())
+                columns = [part.column(i) for i in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
+                    [*part.schema.names[:-1], "lang_pred", "score"],
+                )
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns of every row, ``lang_pred`` and ``score``."""
+    """The ``keep`` columns of every row, ``lang_pred`` and ``score``; kept columns of these names give way."""
+    keep = [c for c in keep if c.lower() not in ("lang_pred", "score")]
     source = docs.select(*keep, F.col(text_col).alias("_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), "lang_pred string", "score double"])
     return source.mapInArrow(_predict_rows(docs.sparkSession.sparkContext.broadcast(model)), schema)
@@ -196,12 +233,13 @@ def held_out(id_col: str = "doc_id"):
 def reject_undetermined(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows whose text has a language, by a model learned from the rows themselves; columns unchanged."""
     model = learn(training(docs, id_col), text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            yield batch.filter(pa.array([scorer.predict(t.as_py())[0] != UNDETERMINED for t in texts], pa.bool_()))
+            for part in slices(batch, at):
+                texts = part.column(at).to_pylist()
+                yield part.filter(pa.array([lang != UNDETERMINED for lang, _ in scorer.predict(texts)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

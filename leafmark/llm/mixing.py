@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import WORD, stored, text_keys
+from leafmark.llm.common import WORD, keyed, stored, text_keys
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
@@ -161,14 +161,13 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     # equal rows are interchangeable, so their decisions are summed and dealt out again
     sums = taken.groupBy("doc_id", "_k1", "_k2", "source").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_copies"))
     named = stored(sums.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_k1", "_k2", "_times", "_copies"), "taken")
-    left = docs.select("*", *text_keys(F.col(text_col))).alias("l")
-    on = F.col(f"l.`{id_col}`").eqNullSafe(F.col("r._id")) & F.col(f"l.`{source_col}`").eqNullSafe(F.col("r._source"))
+    left = keyed(docs, id_col, text_col, F.col(f"`{source_col}`").alias("_in")).alias("l")
+    on = F.col("l._id").eqNullSafe(F.col("r._id")) & F.col("_in").eqNullSafe(F.col("_source"))
     on = on & (F.col("l._k1") == F.col("r._k1")) & (F.col("l._k2") == F.col("r._k2"))
     chosen = named.where("_times > 0")
-    joined = left.join(chosen.alias("r"), on)
-    columns = [F.col(f"l.`{c}`") for c in docs.columns]
-    once = joined.where("_copies = 1").select(*columns, F.col("_times").alias("_n"))
+    joined = left.join(chosen.alias("r"), on).select("_doc", "_times", "_copies", "_source", "r._id", "r._k1", "r._k2")
+    once = joined.where("_copies = 1").select("_doc", "_times")
     if not chosen.where("_copies > 1").isEmpty():
-        each = joined.where("_copies > 1").dropDuplicates(["_id", "_source", "r._k1", "r._k2"])
-        once = once.unionByName(each.select(*columns, F.col("_times").alias("_n")))
-    return once.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
+        each = joined.where("_copies > 1").dropDuplicates(["_id", "_source", "_k1", "_k2"])
+        once = once.unionByName(each.select("_doc", "_times"))
+    return once.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select("_doc.*")

@@ -7,11 +7,11 @@ of edits with their source spans:
    ASCII, one character each; zero-width characters go; O, o, l and I between digits become 0 and 1;
 2. disguised signs: ``[at]``, ``(dot)``, ``{@}``, ``<.>`` with the space around them, the word ``dot`` between
    words, and ``at`` if a ``dot`` in words or brackets follows the next word;
-3. spelled digits: runs of at least two of zero .. nine become digits without the space between them; ``plus``
-   before a digit becomes ``+``.
+3. spelled digits: zero .. nine next to another one, a number or a dot become digits, without the space between
+   two of them; ``plus`` before a digit becomes ``+``.
 
-The same patterns run over the normalised text. A match that contains an edit and does not touch a base span of
-its kind is mapped back: a copied character maps to itself, a replaced one to the whole span it stands for.
+The same patterns run over the normalised text. A match that contains an edit is mapped back, unless it cuts or
+lies in a base span of its kind (one that extends base spans is added beside them): a copied character maps to itself, a replaced one to the whole span it stands for.
 
 Patterns are matched in linear time: an address is looked for from its sign and extended to the left; chains of
 numbers are taken whole and cut in fours.
@@ -59,9 +59,9 @@ BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
 DOT_NEXT = r"(?=[A-Za-z0-9-]+(?:\s+dot\s|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]|\.[A-Za-z0-9-]+\s+dot\s))"
 AT_WORD = re.compile(rf"(?<=[A-Za-z0-9])\s+at\s+{DOT_NEXT}", re.I)
 DOT_WORD = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
-DIGIT_WORD = rf"(?:{'|'.join(SPELLED)})"
-DIGIT_RUN = re.compile(rf"\b(?:plus[\s-]+(?={DIGIT_WORD}\b|[0-9]))?{DIGIT_WORD}(?:[\s-]+{DIGIT_WORD})+\b|\bplus\s+(?=[0-9])", re.I)
-DIGIT_PART = re.compile(rf"({DIGIT_WORD}|plus)[\s-]*", re.I)
+#: what spelled digits may stand next to: each other, numbers, a plus before them, dots between them
+SPOKEN = re.compile(rf"\b({'|'.join(SPELLED)}|plus|dot)\b|[0-9]+|[\[({{<]\s*(?:dot|\.)\s*[\])}}>]|\.", re.I)
+GAP = re.compile(r"[\s-]{0,3}")
 
 
 class _Homoglyphs(dict):
@@ -147,12 +147,7 @@ def edits_of(text: str) -> tuple[str, list[tuple[int, int, str]]]:
         found += [(m.start(), m.end(), "@") for m in AT_WORD.finditer(text)]
         found += [(m.start(), m.end(), ".") for m in DOT_WORD.finditer(text)]
     if any(w in low for w in SPELLED) or "plus" in low:
-        for run in DIGIT_RUN.finditer(text):
-            for m in DIGIT_PART.finditer(text, run.start(), run.end()):
-                word = m.group(1).lower()
-                # the space after the run's last word belongs to the text, the space between words goes
-                end = m.end() if m.end() < run.end() or word == "plus" else m.end(1)
-                found.append((m.start(), end, "+" if word == "plus" else SPELLED[word]))
+        found += spoken_digits(text)
     end = 0
     for s, e, to in sorted(found, key=lambda x: (x[0], -x[1])):
         if s >= end:
@@ -164,6 +159,27 @@ def edits_of(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     return text, [edits[k] for k in sorted(edits)]
 
 
+def spoken_digits(text: str) -> list[tuple[int, int, str]]:
+    """Edits for spelled digits next to others, numbers or dots, and for a plus before any of them. The space
+    between two spelled digits, and after a plus, goes."""
+    out = []
+    joined = False
+    tokens = SPOKEN.finditer(text)
+    token = next(tokens, None)
+    while token is not None:
+        after = next(tokens, None)
+        word, start, end = (token.group(1) or "").lower(), token.start(), token.end()
+        follows = after is not None and GAP.fullmatch(text, end, after.start()) is not None
+        said = after is not None and (after.group(1) or "").lower() in SPELLED
+        if word in SPELLED and (follows or joined):
+            out.append((start, after.start() if follows and said else end, SPELLED[word]))
+        elif word == "plus" and follows and (said or after.group()[0].isdigit()):
+            out.append((start, after.start(), "+"))
+        joined = follows
+        token = after
+    return out
+
+
 def deobfuscated(text: str) -> tuple[str, list[int], list[tuple[int, int, int]]]:
     """The normalised text, the starts of its segments, and each segment's source start, source end, and kind
     (0: copied, 1: replaced)."""
@@ -204,9 +220,11 @@ def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]
         begins = [s for s, _ in taken]
         for span in finder(normal):
             s, e = source_span(span, starts, sources)
+            if text[s:e] == normal[span[0] : span[1]]:
+                continue
             k = bisect_right(begins, s)
-            touches = (k > 0 and taken[k - 1][1] > s) or (k < len(taken) and taken[k][0] < e)
-            if not touches and text[s:e] != normal[span[0] : span[1]]:
+            inside = k > 0 and taken[k - 1][1] > s and (taken[k - 1][0] < s or taken[k - 1] == (s, e) or taken[k - 1][1] > e)
+            if not inside and not (k < len(taken) and taken[k][0] < e < taken[k][1]):
                 added[kind].append((s, e))
     return base, added
 
@@ -232,7 +250,9 @@ def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def personal_data(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The ``keep`` columns of every row, and ``spans``: kind, start, end (code points, end exclusive), added."""
+    """The ``keep`` columns of every row, and ``spans``: kind, start, end (code points, end exclusive), added.
+    A kept column of that name gives way."""
+    keep = [c for c in keep if c.lower() != "spans"]
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
     schema = ", ".join([*kept, "spans array<struct<kind: string, start: bigint, end: bigint, added: boolean>>"])
     return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(_span_rows, schema)

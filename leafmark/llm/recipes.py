@@ -174,7 +174,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     repeated = rows.groupBy("doc_id", "_k1", "_k2").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     repeated = stored(repeated.withColumnRenamed("doc_id", "_id"), "repeated")
     if repeated.isEmpty():
-        return keep_rows(docs, stored(first.withColumn("copies", F.lit(1)), "kept"), id_col, text_col)
+        return keep_rows(docs, stored(first.withColumn("copies", F.lit(1).cast("long")), "kept"), id_col, text_col)
     same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("l._k1") == F.col("r._k1")) & (F.col("l._k2") == F.col("r._k2"))
     kept = first.alias("l").join(repeated.alias("r"), same, "left").select(
         id_col, "l._k1", "l._k2", F.coalesce("copies", F.lit(1)).alias("copies")
