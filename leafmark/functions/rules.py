@@ -30,7 +30,13 @@ LEXICAL_LIMIT = 40
 VECTOR_LIMIT = 50
 FINAL_LIMIT = 8
 TERM_LIMIT = 48
+RARE_SHARE = 0.2
 LOCATE_TERM_LIMIT = 400
+LOCATE_RARE_SHARE = 0.3
+LOCATE_LEAST_TERMS = 4
+PER_DOCUMENT = 6
+SCORE_FLOOR = 0.38
+INVENTORY_LIMIT = 4
 EPSILON = 2.220446049250313e-16
 
 # --- interrogatives dropped from a query, longest first (fixed values) ---

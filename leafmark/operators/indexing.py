@@ -23,7 +23,6 @@ class SearchIndex:
     levels: list[int]
     total: int
     avg_length: float
-    buckets: int
 
 
 def chunk_rows(pages: DataFrame) -> DataFrame:
@@ -55,7 +54,7 @@ def tokenized(chunks: DataFrame) -> DataFrame:
     )
 
 
-def postings_of(chunks: DataFrame, buckets: int) -> DataFrame:
+def postings_of(chunks: DataFrame) -> DataFrame:
     repeated = F.size(F.array_distinct("subs")) < F.size("subs")
     counted = F.when(
         repeated,
@@ -64,33 +63,28 @@ def postings_of(chunks: DataFrame, buckets: int) -> DataFrame:
             lambda s: F.struct(s.alias("term"), F.size(F.filter("subs", lambda x: x == s)).alias("tf")),
         ),
     ).otherwise(F.transform("subs", lambda s: F.struct(s.alias("term"), F.lit(1).alias("tf"))))
-    return chunks.select(
-        "chunk_id", "document_id", "length", F.inline(counted).alias("term", "tf")
-    ).withColumn("bucket", bucket_of(F.col("term"), buckets))
+    return chunks.select("chunk_id", "document_id", "length", F.inline(counted).alias("term", "tf"))
 
 
-def bucket_of(term, buckets: int):
-    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+def build_index(pages: DataFrame, outline: DataFrame, levels: list[int]) -> SearchIndex:
+    """Write chunks, postings and term statistics of pages."""
+    return index_chunks(write_table(tokenized(chunk_rows(pages)), "chunks"), outline, levels)
 
 
-def build_index(
-    pages: DataFrame, outline: DataFrame, levels: list[int], buckets: int = 8, salts: int = 4
+def index_chunks(
+    chunks: DataFrame, outline: DataFrame, levels: list[int], postings: DataFrame | None = None
 ) -> SearchIndex:
-    """Write chunks, postings and term statistics.
+    """Index of stored, tokenised chunks; ``postings`` if they are stored already.
 
-    Postings are clustered by term bucket and sorted by term, so a query reads the buckets and row
-    groups of its own terms. A salt taken from the chunk splits every bucket, so that a term found in a
-    large share of all chunks is spread over several tasks and files.
+    Postings are dealt out by chunk, as many parts as there are shuffle partitions, and sorted by term
+    inside a part: a term found in a large share of all chunks is spread evenly by construction, and a
+    part's row groups are pruned by term.
     """
-    chunks = write_table(tokenized(chunk_rows(pages)), "chunks")
-    salt = F.pmod(F.xxhash64("chunk_id"), F.lit(salts))
-    postings = write_table(
-        postings_of(chunks, buckets).repartition("bucket", salt).sortWithinPartitions("bucket", "term"),
-        "postings",
-        "bucket",
-    )
+    if postings is None:
+        parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        postings = write_table(
+            postings_of(chunks).repartition(parts, "chunk_id").sortWithinPartitions("term"), "postings"
+        )
     term_stats = write_table(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term_stats")
     total, length = chunks.agg(F.count(F.lit(1)), F.sum("length")).first()
-    return SearchIndex(
-        chunks, postings, term_stats, outline, levels, total, (length or 0) / total if total else 0.0, buckets
-    )
+    return SearchIndex(chunks, postings, term_stats, outline, levels, total, (length or 0) / total if total else 0.0)

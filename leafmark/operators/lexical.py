@@ -6,6 +6,7 @@ come from: the unit of index work is the term set, not the query.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -14,14 +15,23 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import rules as R
 from leafmark.functions import text as X
-from leafmark.operators.indexing import SearchIndex, bucket_of
+from leafmark.operators.indexing import SearchIndex
 from leafmark.operators.joins import sized_join
 from leafmark.session import fan_out, write_table
 
 
+#: documents of a scope that go into the plan as literals
+SCOPE_LITERALS = 100
+
+
 def in_scope(df: DataFrame, scope: list[str] | None) -> DataFrame:
-    """No or an empty list of documents means no filter."""
-    return df.where(F.col("document_id").isin(scope)) if scope else df
+    """No or an empty list of documents means no filter. A long list becomes a semi-join."""
+    if not scope:
+        return df
+    if len(scope) <= SCOPE_LITERALS:
+        return df.where(F.col("document_id").isin(scope))
+    listed = df.sparkSession.createDataFrame([(d,) for d in dict.fromkeys(scope)], df.select("document_id").schema)
+    return df.join(listed, "document_id", "left_semi")
 
 
 def scoped_total(index: SearchIndex, scope: list[str] | None) -> int:
@@ -34,11 +44,9 @@ def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
     A term the index splits (``USART1_TX``) is a phrase: its pieces must stand side by side.
     """
     pieces = X.subtokens(F.col("term"))
-    bucket = bucket_of(F.col("piece"), index.buckets)
-    single = terms.where(F.size(pieces) == 1).withColumn("piece", pieces[0]).withColumn("bucket", bucket)
-    # the bucket partitions the stored postings: joining on it prunes those no term falls into
+    single = terms.where(F.size(pieces) == 1).withColumn("piece", pieces[0])
     posted = index.postings.withColumnRenamed("term", "piece")
-    found = sized_join(posted, single, ["bucket", "piece"]).select(*terms.columns, "chunk_id", "document_id", "length", "tf")
+    found = sized_join(posted, single, ["piece"]).select(*terms.columns, "chunk_id", "document_id", "length", "tf")
 
     phrases = terms.where(F.size(pieces) > 1)
     if phrases.isEmpty():
@@ -46,9 +54,9 @@ def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
     listed = phrases.select("term").distinct().withColumn("pieces", pieces)
     wanted = listed.select(
         "term", F.explode(F.array_distinct("pieces")).alias("piece"), F.size(F.array_distinct("pieces")).alias("n")
-    ).withColumn("bucket", bucket)
+    )
     both = (
-        sized_join(posted, wanted, ["bucket", "piece"])
+        sized_join(posted, wanted, ["piece"])
         .groupBy("term", "chunk_id")
         .agg(F.count(F.lit(1)).alias("have"), F.first("n").alias("n"))
         .where(F.col("have") == F.col("n"))
@@ -71,11 +79,12 @@ def document_frequency(index: SearchIndex, terms: DataFrame, scope: list[str] |
     plain = terms.where(F.size(X.subtokens(F.col("term"))) == 1)
     complex_ = terms.where(F.size(X.subtokens(F.col("term"))) > 1)
     if scope:
-        within = F.col("document_id").isin(scope)
+        found = term_occurrences(index, terms)
+        within = in_scope(found.select("document_id").distinct(), scope).withColumn("within", F.lit(True))
         return (
-            term_occurrences(index, terms)
+            found.join(within, "document_id", "left")
             .groupBy("term")
-            .agg(F.count(F.lit(1)).alias("df_all"), F.count_if(within).alias("df"))
+            .agg(F.count(F.lit(1)).alias("df_all"), F.count("within").alias("df"))
         )
     pieces = plain.select("term", X.subtokens(F.col("term"))[0].alias("piece"))
     known = sized_join(index.term_stats.withColumnRenamed("term", "piece"), pieces, ["piece"])
@@ -96,21 +105,28 @@ def idf(total: int, df: Column) -> Column:
 
 
 def select_terms(
-    looked_up: DataFrame, frequency: DataFrame, total: int, keys: list[str], limit: int = R.TERM_LIMIT
+    looked_up: DataFrame,
+    frequency: DataFrame,
+    total: int,
+    keys: list[str],
+    limit: int | None = R.TERM_LIMIT,
+    rare_share: float | None = R.RARE_SHARE,
 ) -> DataFrame:
-    """Rare terms of each query: at most ``max(3, 20%)`` chunks, or all known terms if none is that
-    rare; rarest first, ties in query order. ``looked_up`` has ``(*keys, pos, term)``."""
-    cap = max(3, total // 5)
+    """Rare terms of each query: in at most ``max(3, rare_share)`` of the chunks, or all known terms if
+    none is that rare; the ``limit`` rarest, ties in query order. ``looked_up`` has ``(*keys, pos, term)``.
+    ``None`` for either switches it off: every known term is used."""
     w = W.partitionBy(*keys)
-    return (
-        looked_up.join(frequency.where(F.col("df") > 0), "term")
-        .withColumn("rare", F.col("df") <= cap)
-        .withColumn("any_rare", F.max("rare").over(w))
-        .where(F.col("rare") | ~F.col("any_rare"))
-        .withColumn("place", F.row_number().over(w.orderBy("df", "pos")))
-        .where(F.col("place") <= limit)
-        .drop("rare", "any_rare")
-    )
+    known = looked_up.join(frequency.where(F.col("df") > 0), "term")
+    if rare_share is not None:
+        cap = max(3, math.floor(total * rare_share + 1e-9))
+        known = (
+            known.withColumn("rare", F.col("df") <= cap)
+            .withColumn("any_rare", F.max("rare").over(w))
+            .where(F.col("rare") | ~F.col("any_rare"))
+            .drop("rare", "any_rare")
+        )
+    placed = known.withColumn("place", F.row_number().over(w.orderBy("df", "pos")))
+    return placed if limit is None else placed.where(F.col("place") <= limit)
 
 
 @dataclass(frozen=True)
@@ -123,9 +139,9 @@ class LexicalHits:
 
 
 def bm25_candidates(
-    index: SearchIndex, set_terms: DataFrame, scope: list[str] | None, depth: int
+    index: SearchIndex, set_terms: DataFrame, scope: list[str] | None, depth: int | None
 ) -> DataFrame:
-    """Best ``depth`` chunks of each term set ``(set_id, term, idf)``.
+    """Best ``depth`` chunks of each term set ``(set_id, term, idf)``, or all with any of its terms.
 
     The per-set ranking is limited inside every task before rows are shuffled by set.
     """
@@ -137,17 +153,24 @@ def bm25_candidates(
         .agg(F.round(F.sum(part), 9).alias("bm25"))
     )
     w = W.partitionBy("set_id").orderBy(F.desc("bm25"), "chunk_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= depth)
+    placed = scored.withColumn("place", F.row_number().over(w))
+    return placed if depth is None else placed.where(F.col("place") <= depth)
 
 
-def term_sets(index: SearchIndex, looked_up: DataFrame, scope: list[str] | None) -> DataFrame:
+def term_sets(
+    index: SearchIndex,
+    looked_up: DataFrame,
+    scope: list[str] | None,
+    term_limit: int | None = R.TERM_LIMIT,
+    rare_share: float | None = R.RARE_SHARE,
+) -> DataFrame:
     """``(query_id, variant_no, weight, set_key, terms, idfs)`` from ``(query_id, variant_no, weight,
     terms)``; ``terms`` are the selected ones in sorted order."""
     exploded = looked_up.select("query_id", "variant_no", "weight", F.posexplode("terms").alias("pos", "term"))
     distinct = write_table(exploded.select("term").distinct(), "query_terms")
     frequency = document_frequency(index, distinct, scope)
     chosen = select_terms(
-        exploded, frequency, scoped_total(index, scope), ["query_id", "variant_no", "weight"]
+        exploded, frequency, scoped_total(index, scope), ["query_id", "variant_no", "weight"], term_limit, rare_share
     )
     return (
         chosen.withColumn("idf", idf(index.total, F.col("df_all")))
@@ -197,19 +220,23 @@ def search(
     index: SearchIndex,
     looked_up: DataFrame,
     keywords: DataFrame,
-    limit: int = R.LEXICAL_LIMIT,
+    limit: int | None = R.LEXICAL_LIMIT,
     scope: list[str] | None = None,
+    term_limit: int | None = R.TERM_LIMIT,
+    rare_share: float | None = R.RARE_SHARE,
 ) -> LexicalHits:
     """Ranked lists for every variant in ``looked_up``; ``keywords`` is ``(query_id, keywords)``.
 
     Score = 0.35 BM25 (relative to the best candidate) + 0.25 term coverage + 0.2 keyword phrases
     + 0.2 numbered section titles. Variants of one question with the same term set are one list with
-    the sum of their weights.
+    the sum of their weights. Without a ``limit`` a list holds every chunk with one of its terms; for
+    ``term_limit`` and ``rare_share`` see ``select_terms``.
     """
-    sets = write_table(term_sets(index, looked_up, scope), "term_sets")
+    sets = write_table(term_sets(index, looked_up, scope, term_limit, rare_share), "term_sets")
+    depth = None if limit is None else max(limit * 4, 120)
     per_set = numbered_sets(sets)
     candidates = write_table(
-        bm25_candidates(index, set_term_rows(per_set), scope, max(limit * 4, 120)), "candidates"
+        bm25_candidates(index, set_term_rows(per_set), scope, depth), "candidates"
     )
     chunks = write_table(
         sized_join(index.chunks, candidates.select("chunk_id").distinct(), ["chunk_id"], "left_semi")
@@ -262,7 +289,7 @@ def search(
         per_list.join(worded, ["query_id", "chunk_id"])
         .withColumn("score", F.round(score, 9))
         .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= limit)
+        .where(F.lit(True) if limit is None else F.col("rank") <= limit)
         .select("query_id", "set_id", "variant_no", "weight", "chunk_id", "score", "rank")
     )
     return LexicalHits(lists, chunks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,42 +18,68 @@ from leafmark.session import write_table
 PAGE = ["document_id", "page_number"]
 
 
-def transcript_terms(transcripts: DataFrame) -> DataFrame:
-    """``(query_id, terms)``: the first 400 terms of each normalised transcript."""
+def transcript_terms(transcripts: DataFrame, limit: int | None = R.LOCATE_TERM_LIMIT) -> DataFrame:
+    """``(query_id, terms)``: the first ``limit`` terms of each normalised transcript, or all."""
     terms = X.search_terms(X.ocr_text(F.col("question")))
-    return transcripts.select("query_id", F.slice(terms, 1, R.LOCATE_TERM_LIMIT).alias("terms"))
+    return transcripts.select("query_id", (terms if limit is None else F.slice(terms, 1, limit)).alias("terms"))
 
 
-def term_weights(index: SearchIndex, terms: DataFrame, scope: list[str] | None) -> DataFrame:
-    """``(query_id, term, weight)`` of terms found in at most ``max(4, 30%)`` of the chunks."""
+def term_weights(
+    index: SearchIndex,
+    terms: DataFrame,
+    scope: list[str] | None,
+    least_terms: int = R.LOCATE_LEAST_TERMS,
+    rare_share: float | None = R.LOCATE_RARE_SHARE,
+) -> DataFrame:
+    """``(query_id, term, weight)`` of terms found in at most ``max(4, rare_share)`` of the chunks, or in
+    any; transcripts with fewer than ``least_terms`` terms have none."""
     total = scoped_total(index, scope)
-    exploded = terms.where(F.size("terms") >= 4).select("query_id", F.explode("terms").alias("term"))
+    exploded = terms.where(F.size("terms") >= least_terms).select("query_id", F.explode("terms").alias("term"))
     distinct = write_table(exploded.select("term").distinct(), "locate_terms")
-    cap = max(4, total * 3 // 10)
     rarity = F.log(1 + F.lit(float(total)) / (1 + F.col("df")))
-    usable = document_frequency(index, distinct, scope).where((F.col("df") > 0) & (F.col("df") <= cap))
+    usable = document_frequency(index, distinct, scope).where(F.col("df") > 0)
+    if rare_share is not None:
+        usable = usable.where(F.col("df") <= max(4, math.floor(total * rare_share + 1e-9)))
     return exploded.join(usable.select("term", (rarity * rarity).alias("weight")), "term")
 
 
 def rank_pages(
-    index: SearchIndex, transcripts: DataFrame, scope: list[str] | None = None, limit: int = R.FINAL_LIMIT
+    index: SearchIndex,
+    transcripts: DataFrame,
+    scope: list[str] | None = None,
+    limit: int = R.FINAL_LIMIT,
+    *,
+    term_limit: int | None = R.LOCATE_TERM_LIMIT,
+    least_terms: int = R.LOCATE_LEAST_TERMS,
+    rare_share: float | None = R.LOCATE_RARE_SHARE,
 ) -> DataFrame:
-    """Best pages per transcript with the chunk that shows most of its terms.
+    """Best ``limit`` pages per transcript with the chunk that shows most of its terms.
 
     A page scores the weight of the terms any of its chunks holds, over the weight of all usable terms.
-    Pages that share no term are left out.
+    If fewer pages share a term, pages with score 0 follow in page order. The other parameters are the
+    ranking's definition; see ``transcript_terms`` and ``term_weights``.
     """
-    terms = transcript_terms(transcripts)
-    weights = write_table(term_weights(index, terms, scope), "locate_weights")
+    terms = transcript_terms(transcripts, term_limit)
+    weights = write_table(term_weights(index, terms, scope, least_terms, rare_share), "locate_weights")
     chunks = in_scope(index.chunks, scope)
     on_page = chunks.select(*PAGE, F.explode("tokens").alias("term"))
-    matched = (
+    matched = write_table(
         sized_join(on_page, weights, ["term"])
         .groupBy("query_id", *PAGE, "term")
         .agg(F.first("weight").alias("weight"))
         .groupBy("query_id", *PAGE)
-        .agg(F.sum("weight").alias("matched"))
+        .agg(F.sum("weight").alias("matched")),
+        "matched_pages",
     )
+    # fewer than ``limit`` matched pages: the rest is found among the first ``2 * limit`` pages of all
+    asked = weights.select("query_id").distinct()
+    short = asked.join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
+    short = short.where(F.coalesce("n", F.lit(0)) < limit).select("query_id")
+    first = chunks.select(*PAGE).distinct().orderBy(*PAGE).limit(2 * limit).collect()
+    if first:
+        pages = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in PAGE]) for r in first])
+        empty = short.select("query_id", F.inline(pages)).join(matched.select("query_id", *PAGE), ["query_id", *PAGE], "left_anti")
+        matched = matched.unionByName(empty.withColumn("matched", F.lit(0.0)))
     whole = weights.groupBy("query_id").agg(
         F.sum("weight").alias("whole"), F.collect_list("term").alias("usable")
     )
@@ -86,7 +114,13 @@ def rank_pages(
     )
 
 
-def match_result(transcripts: DataFrame, candidates: DataFrame) -> DataFrame:
+def match_result(
+    transcripts: DataFrame,
+    candidates: DataFrame,
+    *,
+    term_limit: int | None = R.LOCATE_TERM_LIMIT,
+    least_terms: int = R.LOCATE_LEAST_TERMS,
+) -> DataFrame:
     """One row per transcript: confidence, decision and warnings."""
     best = candidates.groupBy("query_id").agg(
         F.max("score").alias("confidence"),
@@ -94,9 +128,9 @@ def match_result(transcripts: DataFrame, candidates: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
     )
     text = F.col("question")
-    few = F.size("terms") < 4
+    few = F.size("terms") < least_terms
     rows = (
-        transcripts.join(transcript_terms(transcripts), "query_id")
+        transcripts.join(transcript_terms(transcripts, term_limit), "query_id")
         .join(best, "query_id", "left")
         .withColumn("n", F.coalesce("n", F.lit(0)))
         .withColumn("confidence", F.when(text.isNull() | few, 0.0).otherwise(F.coalesce("confidence", F.lit(0.0))))

@@ -117,19 +117,32 @@ def scored(hits: DataFrame) -> DataFrame:
         "*",
         F.expr("transform(aspects, a -> exists(a.keywords, k -> contains(u_heading, upper(k))))").alias("aspect_heading"),
         F.expr("transform(aspects, a -> exists(a.keywords, k -> contains(u_body, upper(k))))").alias("aspect_any"),
-        F.when(F.exists("aspects", lambda a: a["id"] == R.TIMER_INVENTORY), 4)
-        .otherwise(R.FINAL_LIMIT)
-        .alias("result_limit"),
+        F.exists("aspects", lambda a: a["id"] == R.TIMER_INVENTORY).alias("inventory"),
     )
 
 
-def select_diverse(hits: DataFrame, max_aspects: int, limit: int = R.FINAL_LIMIT) -> DataFrame:
-    """One hit per aspect, then the best hits: one per page, six per document, eight in all.
+def select_diverse(
+    hits: DataFrame,
+    max_aspects: int,
+    limit: int | None = R.FINAL_LIMIT,
+    per_document: int | None = R.PER_DOCUMENT,
+    floor: float | None = R.SCORE_FLOOR,
+    inventory_limit: int | None = R.INVENTORY_LIMIT,
+) -> DataFrame:
+    """One hit per aspect, then the best hits: one per page, ``per_document`` of a document, ``limit`` in
+    all, or ``inventory_limit`` for a question about the inventory of timers. Where the best score is above
+    1.6, hits below ``floor`` times that are left out. ``None`` switches a cut off.
 
     ``hits`` has (query_id, chunk_id, document_id, page_number, score, rank, aspect_heading,
-    aspect_any, result_limit). ``max_aspects`` is the largest number of aspects of any query (five by
+    aspect_any, inventory). ``max_aspects`` is the largest number of aspects of any query (five by
     the rules); each adds one windowed pick over rows that are already partitioned by query.
     """
+    everything = 2**31 - 1
+    allowed = F.lit(everything if limit is None else limit)
+    if inventory_limit is not None:
+        allowed = F.when(C("inventory"), F.least(allowed, F.lit(inventory_limit))).otherwise(allowed)
+    least = F.lit(0.0) if floor is None else F.when(C("_top") > 1.6, C("_top") * floor).otherwise(F.lit(0.0))
+    in_document = everything if per_document is None else per_document
     w = W.partitionBy("query_id")
     order = [F.desc("score"), "rank", "chunk_id"]
     page = W.partitionBy("query_id", "document_id", "page_number")
@@ -151,7 +164,7 @@ def select_diverse(hits: DataFrame, max_aspects: int, limit: int = R.FINAL_LIMIT
         .withColumn("_doc_aspects", F.count_if("_taken").over(W.partitionBy("query_id", "document_id")))
         .withColumn(
             "_free",
-            ~C("_seen") & (C("score") >= F.when(C("_top") > 1.6, C("_top") * 0.38).otherwise(F.lit(0.0))),
+            ~C("_seen") & ((C("score") >= least) if floor is not None else F.lit(True)),
         )
         .where(C("_taken") | C("_free"))
         .withColumn("_in_page", F.row_number().over(page.orderBy(F.desc("_taken"), *order)))
@@ -162,10 +175,10 @@ def select_diverse(hits: DataFrame, max_aspects: int, limit: int = R.FINAL_LIMIT
                 W.partitionBy("query_id", "document_id", "_taken").orderBy(*order)
             ),
         )
-        .where(C("_taken") | (C("_in_doc") + C("_doc_aspects") <= 6))
+        .where(C("_taken") | (C("_in_doc") + C("_doc_aspects") <= in_document))
         .withColumn("_place", F.row_number().over(W.partitionBy("query_id", "_taken").orderBy(*order)))
-        .where(C("_taken") | (C("_place") + C("_aspects") <= C("result_limit")))
+        .where(C("_taken") | (C("_place") + C("_aspects") <= allowed))
         .withColumn("source_no", F.row_number().over(w.orderBy(*order)))
-        .where(C("source_no") <= min(limit, R.FINAL_LIMIT))
+        .where(C("source_no") <= (everything if limit is None else limit))
     )
     return rows.drop(*[c for c in rows.columns if c.startswith("_")])

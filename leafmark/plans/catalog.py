@@ -257,7 +257,7 @@ def analysed(spark, sf_dir, annotated=False) -> DataFrame:
     def build():
         return write_table(Q.analyze(fan_out(C.questions_of(spark, sf_dir, annotated), "query_id")), "analysis")
 
-    return C.once(spark, ("analysis", annotated, sf_dir), build)
+    return C.once(spark, sf_dir, ("analysis", annotated), build)
 
 
 @query
@@ -333,7 +333,7 @@ def lexical_lists(spark, sf_dir, annotated=False, scope=None) -> L.LexicalHits:
         )
         return L.LexicalHits(write_table(found.lists, "lists"), found.chunks)
 
-    return C.once(spark, ("lists", annotated, tuple(scope or ()), sf_dir), build)
+    return C.once(spark, sf_dir, ("lists", annotated, tuple(scope or ())), build)
 
 
 def list_rows(found: L.LexicalHits) -> DataFrame:
@@ -372,8 +372,8 @@ def query_vectors(spark, sf_dir) -> DataFrame:
 
 
 def chunk_vectors(spark, sf_dir) -> DataFrame:
-    """First chunks of pages, with the vector of the page's row."""
-    chunks = C.index_of(spark, sf_dir).chunks.where("chunk_index = 0").select(
+    """All chunks, with the vector of their page's row."""
+    chunks = C.index_of(spark, sf_dir).chunks.select(
         "chunk_id", "document_id", (col("page_number") - 1).alias("vec_id")
     )
     vectors = C.table(spark, sf_dir, "embeddings").select("vec_id", col("embedding").alias("vector"))
@@ -424,7 +424,7 @@ def joined_hits(spark, sf_dir, annotated) -> DataFrame:
         hits = fuse(found.lists).join(found.chunks.select("chunk_id", *RT.CHUNK), "chunk_id")
         return write_table(fan_out(hits, "query_id"), "hits")
 
-    hits = C.once(spark, ("hits", annotated, sf_dir), build)
+    hits = C.once(spark, sf_dir, ("hits", annotated), build)
     return fan_out(hits, "query_id").join(
         analysed(spark, sf_dir, annotated).select("query_id", *RT.ANALYSIS), "query_id"
     )
@@ -475,7 +475,7 @@ def cited(spark, sf_dir, annotated=False) -> DataFrame:
         found = RT.retrieve(C.index_of(spark, sf_dir, annotated), C.questions_of(spark, sf_dir, annotated))
         return write_table(found.citations, "citations")
 
-    return C.once(spark, ("citations", annotated, sf_dir), build)
+    return C.once(spark, sf_dir, ("citations", annotated), build)
 
 
 @query
@@ -521,7 +521,7 @@ def located(spark, sf_dir) -> DataFrame:
         found = locate.rank_pages(C.index_of(spark, sf_dir), C.questions_of(spark, sf_dir))
         return write_table(found, "located")
 
-    return C.once(spark, ("located", sf_dir), build)
+    return C.once(spark, sf_dir, ("located",), build)
 
 
 @query
@@ -706,7 +706,7 @@ def eval_outline_questions(spark, sf_dir):
 
 @query
 def eval_hit_rate(spark, sf_dir):
-    """Passages that occur word for word in a page: is that page cited?"""
+    """Passages that occur word for word in a page: is one of these pages cited?"""
     truth = passage_pages(spark, sf_dir)
     cases = truth.select(
         F.concat(F.lit("suite"), col("query_id") % 3).alias("suite"),
@@ -718,7 +718,50 @@ def eval_hit_rate(spark, sf_dir):
     return evaluate.hit_rate(cases, cited(spark, sf_dir))
 
 
+@query
+def eval_page_match(spark, sf_dir):
+    """Is a page that holds the passage the best match, or among the candidates?"""
+    return evaluate.page_match_rate(passage_pages(spark, sf_dir), located(spark, sf_dir))
+
+
 def passage_pages(spark, sf_dir) -> DataFrame:
-    """The first page whose text contains the passage; found among the pages that share its rare terms."""
-    best = located(spark, sf_dir).where("rank = 1")
-    return best.select("query_id", "document_id", "page_number")
+    """``(query_id, document_id, page_number)`` of all pages whose text contains the passage."""
+
+    def build():
+        pages = C.raw_pages(spark, sf_dir).select("document_id", "page_number", "text")
+        kept, _, _ = C.library_base(spark, sf_dir)
+        pages = pages.join(kept.select("document_id", "page_number"), ["document_id", "page_number"])
+        return write_table(evaluate.containing_pages(C.index_of(spark, sf_dir), C.questions_of(spark, sf_dir), pages), "truth")
+
+    return C.once(spark, sf_dir, ("truth",), build)
+
+
+# --- rankings without their cuts -------------------------------------------------------------------
+
+
+@query
+def retrieve_uncapped(spark, sf_dir):
+    """Twelve sources, no cut by document, score or question type."""
+    found = RT.retrieve(
+        C.index_of(spark, sf_dir), C.questions_of(spark, sf_dir), limit=12, per_document=None, floor=None, inventory_limit=None
+    )
+    return citation_rows(found.citations)
+
+
+@query
+def lexical_uncapped(spark, sf_dir):
+    """All known terms of the variants, however frequent, and every chunk that holds one."""
+    analysis = analysis_of(spark, sf_dir)
+    found = L.search(
+        C.index_of(spark, sf_dir), variant_terms(analysis), analysis.select("query_id", "keywords"), limit=None, term_limit=None, rare_share=None
+    )
+    return found.lists.groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("chunk_id").alias("chunks"))
+
+
+@query
+def page_match_all_terms(spark, sf_dir):
+    """All terms of the transcripts, however many, short or frequent."""
+    found = locate.rank_pages(
+        C.index_of(spark, sf_dir), C.questions_of(spark, sf_dir), limit=12, term_limit=None, least_terms=1, rare_share=None
+    )
+    return found.select("query_id", long("rank"), "document_id", "page_number", six("score"))

@@ -96,14 +96,25 @@ def outline_of(kept: DataFrame) -> DataFrame:
 _STORED: dict[tuple, object] = {}
 
 
-def once(spark: SparkSession, key: tuple, build):
-    """Stored tables are reused within a session as long as the input files are the same."""
-    key = (spark.sparkContext.applicationId, *key)
+def once(spark: SparkSession, sf_dir: str, key: tuple, build):
+    """Stored tables are reused within a session as long as the input tables are the same ones: the key holds
+    the size and the time of change of each, not the names of their files."""
+    key = (spark.sparkContext.applicationId, *_stamp(spark, sf_dir), *key)
     if key not in _STORED:
         _STORED[key] = build()
     return _STORED[key]
 
 
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    out: list = [sf_dir]
+    for name in ("documents", "benchmark", "embeddings", "conversations"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(path):
+            out += [system.getContentSummary(path).getLength(), system.getFileStatus(path).getModificationTime()]
+    return tuple(out)
+
+
 def library_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[int]]:
     """Stored page context (kept pages with heading and open sections) and outline, with its levels."""
 
@@ -113,11 +124,7 @@ def library_base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         levels = outline_levels(outline)
         return write_table(page_context(kept, outline, levels), "page_context"), outline, levels
 
-    return once(spark, ("base", *_files(spark, sf_dir)), build)
-
-
-def _files(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
-    return (sf_dir, *sorted(table(spark, sf_dir, "documents").inputFiles()))
+    return once(spark, sf_dir, ("base",), build)
 
 
 def contextual_pages(spark: SparkSession, sf_dir: str, annotated: bool = False) -> DataFrame:
@@ -143,7 +150,7 @@ def index_of(spark: SparkSession, sf_dir: str, annotated: bool = False) -> Searc
         _, outline, levels = library_base(spark, sf_dir)
         return build_index(contextual_pages(spark, sf_dir, annotated), outline, levels)
 
-    return once(spark, ("index", annotated, *_files(spark, sf_dir)), build)
+    return once(spark, sf_dir, ("index", annotated), build)
 
 
 def questions_of(spark: SparkSession, sf_dir: str, annotated: bool = False) -> DataFrame:

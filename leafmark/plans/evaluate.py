@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as X
+from leafmark.operators.indexing import SearchIndex
+from leafmark.operators.joins import sized_join
+from leafmark.session import write_table
 
 # wording that marks a title as not worth asking about (fixed values)
-SKIPPED_TITLES = "目录|相关文档|参考文献|版本|[.]png|[.]jpg|[.]xlsx|[.]pdf"
+SKIPPED_TITLES = "目录|相关文档|参考文献|版本|(?i)[.]png|[.]jpg|[.]xlsx|[.]pdf"
 NON_TECHNICAL = "一路走来|前言|致谢|索引|术语|词汇|关于本|声明|修订|勘误|设计提示|提示和技巧"
 
 
@@ -30,6 +33,34 @@ def outline_questions(sections: DataFrame, page_counts: DataFrame) -> DataFrame:
     )
 
 
+def containing_pages(index: SearchIndex, passages: DataFrame, pages: DataFrame) -> DataFrame:
+    """``(query_id, document_id, page_number)`` of every page whose text contains ``(query_id, question)``.
+
+    Candidates are the pages that hold the rarest term of the passage without its first and last word, which
+    may be parts of longer words in the page; a passage without such a term is compared with no page.
+    """
+    inner = F.regexp_replace("question", r"^\s*\S+\s|\s\S+\s*$", " ")
+    terms = passages.select("query_id", F.explode(X.search_terms(inner)).alias("term")).where(F.size(X.subtokens(F.col("term"))) == 1)
+    known = terms.join(index.term_stats, "term")
+    rarest = write_table(known.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("least")).select("query_id", "least.term"), "rarest")
+    held = sized_join(index.postings.select("term", "chunk_id"), rarest, ["term"])
+    placed = held.join(index.chunks.select("chunk_id", "document_id", "page_number"), "chunk_id")
+    near = write_table(placed.select("query_id", "document_id", "page_number").distinct(), "near_pages")
+    whole = sized_join(pages, near, ["document_id", "page_number"]).join(passages, "query_id")
+    return whole.where(F.contains("text", F.col("question"))).select("query_id", "document_id", "page_number")
+
+
+def page_match_rate(truth: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Of the transcripts with a true page: how often is one the best match, or among the candidates?"""
+    key = ["query_id", "document_id", "page_number"]
+    best = truth.join(candidates.select(*key, "rank"), key, "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
+    return best.agg(
+        F.count(F.lit(1)).alias("cases"),
+        F.count_if(F.coalesce(F.col("rank") == 1, F.lit(False))).alias("top1"),
+        F.count("rank").alias("in_candidates"),
+    )
+
+
 def hit_rate(cases: DataFrame, citations: DataFrame) -> DataFrame:
     """Share of cases ``(suite, query_id, document_id, page_from, page_to)`` with a cited page in range,
     among all sources and as the first source."""

@@ -36,17 +36,21 @@ def fused_hits(
     analysis: DataFrame,
     scope: list[str] | None = None,
     vectors: tuple[DataFrame, DataFrame] | None = None,
+    depth: int | None = R.LEXICAL_LIMIT,
+    vector_depth: int = R.VECTOR_LIMIT,
+    term_limit: int | None = R.TERM_LIMIT,
+    rare_share: float | None = R.RARE_SHARE,
 ) -> DataFrame:
     """Fused lexical and (optionally) vector lists, joined with their chunk rows.
 
     ``vectors`` is ``(query_id, vector)`` and ``(chunk_id, document_id, vector)``.
     """
-    found = search(index, variant_terms(analysis), analysis.select("query_id", "keywords"), scope=scope)
+    found = search(index, variant_terms(analysis), analysis.select("query_id", "keywords"), depth, scope, term_limit, rare_share)
     lists = found.lists.select("query_id", "weight", "chunk_id", "rank")
     chunks = found.chunks.select("chunk_id", *CHUNK)
     if vectors:
         asked, stored = vectors
-        near = write_table(top_cosine(asked, in_scope(stored, scope)), "near_chunks")
+        near = write_table(top_cosine(asked, in_scope(stored, scope), vector_depth), "near_chunks")
         lists = lists.unionByName(
             near.select("query_id", F.lit(R.VECTOR_WEIGHT).alias("weight"), "chunk_id", "rank")
         )
@@ -60,13 +64,27 @@ def fused_hits(
 def retrieve(
     index: SearchIndex,
     questions: DataFrame,
-    limit: int = 12,
+    limit: int | None = R.FINAL_LIMIT,
     document_ids: list[str] | None = None,
     vectors: tuple[DataFrame, DataFrame] | None = None,
+    *,
+    depth: int | None = R.LEXICAL_LIMIT,
+    vector_depth: int = R.VECTOR_LIMIT,
+    term_limit: int | None = R.TERM_LIMIT,
+    rare_share: float | None = R.RARE_SHARE,
+    per_document: int | None = R.PER_DOCUMENT,
+    floor: float | None = R.SCORE_FLOOR,
+    inventory_limit: int | None = R.INVENTORY_LIMIT,
 ) -> Retrieval:
-    """Citations ``S1..`` for every ``(query_id, question)``; at most eight each."""
+    """Citations ``S1..`` for every ``(query_id, question)``.
+
+    The defaults are the ranking's definition. Each cut can be raised, or switched off with ``None``:
+    ``limit`` sources, ``depth`` of a lexical list, ``term_limit`` and ``rare_share`` of a query's terms
+    (see ``select_terms``), ``per_document``, ``floor`` and ``inventory_limit`` (see ``select_diverse``).
+    ``vector_depth`` is the length of the vector list.
+    """
     analysis = write_table(analyze(fan_out(questions, "query_id")), "analysis")
-    hits = fused_hits(index, analysis, document_ids, vectors)
+    hits = fused_hits(index, analysis, document_ids, vectors, depth, vector_depth, term_limit, rare_share)
     most = analysis.agg(F.max(F.size("aspects"))).first()[0] or 0
     ranked = rerank.scored(
         fan_out(hits, "query_id").join(analysis.select("query_id", *ANALYSIS), "query_id")
@@ -74,10 +92,13 @@ def retrieve(
     chosen = rerank.select_diverse(
         ranked.select(
             "query_id", "chunk_id", *[c for c in CHUNK if c != "sections"], "score", "rank",
-            "aspect_heading", "aspect_any", "result_limit",
+            "aspect_heading", "aspect_any", "inventory",
         ),
         most,
         limit,
+        per_document,
+        floor,
+        inventory_limit,
     )
     return Retrieval(analysis, ranked, citations(chosen))
 

@@ -36,7 +36,7 @@ def scratch_dir(spark: SparkSession) -> str:
     if shared:
         return shared
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if context.applicationId not in _LOCAL_SCRATCH:
         _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="leafmark-")
@@ -61,10 +61,10 @@ def write_table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan of fewer files than cores, so that costly text work is not left to the few
-    tasks that own them. With more files than cores the scan is already parallel and stays as it is."""
+    """Repartition a scan of fewer splits than cores, so that costly text work is not left to the few tasks
+    that own them. A scan of more splits is parallel already and stays as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def fan_out(df: DataFrame, *keys: str) -> DataFrame:

@@ -1,13 +1,18 @@
 """A library kept as parquet under one root.
 
-Documents, pages, outline and chunks are appended per import; removals are appended as tombstones, so
-deleting a document does not rewrite the others. Vectors are built into a new folder per build and
-published by appending one row to ``meta`` once they are complete; until then readers see the old ones.
+Every import writes its rows under an attempt of its own and commits them with one row in ``imports``, written
+last. Rows of attempts without that row do not exist for any reader, so a crashed import leaves nothing behind and
+its retry adds nothing twice; an import id that is committed already is not imported again, so a replayed
+micro-batch changes nothing. A document's latest committed version is the live one; a removal is a tombstone for
+the version it names, and the same file can be imported again afterwards. Postings are stored with the import, so
+the search index is read, not computed. Vectors are built into a new folder per build and published by one row in
+``meta`` once they are complete; a build that failed is taken up where it ended.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,23 +21,28 @@ from pyspark.sql import functions as F
 from leafmark.functions import rules as R
 from leafmark.functions import text as X
 from leafmark.operators.dedup import first_copies
-from leafmark.operators.indexing import SearchIndex, build_index, chunk_rows, tokenized
-from leafmark.operators.joins import sized_join
+from leafmark.operators.indexing import SearchIndex, chunk_rows, index_chunks, postings_of, tokenized
+from leafmark.operators.joins import hot_key_join, sized_join
 from leafmark.operators.outline import outline_levels, page_context
 from leafmark.session import write_table
 
 SCHEMAS = {
-    "documents": "document_id string, sha256 string, original_filename string, title string, kind string, "
+    "documents": "attempt string, document_id string, sha256 string, original_filename string, title string, kind string, "
     "page_count long, created_at long",
-    "pages": "document_id string, page_number long, printed_page string, text string",
-    "toc_nodes": "document_id string, seq long, title string, level int, page_number long",
-    "chunks": "document_id string, document_title string, page_number long, printed_page string, heading string, "
+    "pages": "attempt string, document_id string, page_number long, printed_page string, text string, width double, height double",
+    "toc_nodes": "attempt string, document_id string, seq long, title string, level int, page_number long",
+    "chunks": "attempt string, document_id string, document_title string, page_number long, printed_page string, heading string, "
     "sections array<struct<from:bigint,titles:array<string>>>, chunk_index int, text string, chunk_id string, "
     "tokens array<string>, subs array<string>, length int",
-    "removed": "document_id string",
+    "postings": "attempt string, chunk_id string, document_id string, length int, term string, tf int",
+    "removed": "attempt string, document_id string",
+    "imports": "import_id string, attempt string, at long",
+    "progress": "import_id string, document_id string, stage string, message string, at long",
     "meta": "key string, value string, at long",
-    "vectors": "chunk_id string, model string, dimensions int, vector array<float>",
+    "vectors": "attempt string, chunk_id string, model string, dimensions int, vector array<float>",
 }
+#: outline levels of a document; anything else is taken as the nearest of these
+LEVELS = (1, 12)
 
 
 class Library:
@@ -41,13 +51,13 @@ class Library:
 
     # --- tables -------------------------------------------------------------------------------
 
-    def _append(self, name: str, df: DataFrame) -> None:
+    def _append(self, name: str, df: DataFrame, folder: str | None = None) -> None:
         names = [f.name for f in self._empty(name).schema.fields]
-        df.select(*names).write.mode("append").parquet(f"{self.root}/{self._folder(name)}")
+        df.select(*names).write.mode("append").parquet(f"{self.root}/{folder or self._folder(name)}")
 
     def _folder(self, name: str) -> str:
-        """Chunks move to a new folder when they are rebuilt."""
-        return (self.meta("chunks_folder") or name) if name == "chunks" else name
+        """Chunks and postings move to new folders when they are rebuilt."""
+        return (self.meta(f"{name}_folder") or name) if name in ("chunks", "postings") else name
 
     def _empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], SCHEMAS[name])
@@ -59,12 +69,19 @@ class Library:
             return self._empty(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{folder}")
 
+    def _live(self) -> DataFrame:
+        """``(attempt, document_id)`` of the latest committed version of every document, if not removed."""
+        documents = self._stored("documents", "documents").select("attempt", "document_id")
+        committed = sized_join(documents, self._stored("imports", "imports").select("attempt", "at"), ["attempt"])
+        latest = committed.groupBy("document_id").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt"))
+        return sized_join(latest, self._stored("removed", "removed"), ["attempt", "document_id"], "left_anti")
+
     def table(self, name: str) -> DataFrame:
-        """Live rows: without those of removed documents."""
+        """Live rows."""
         rows = self._stored(self._folder(name), name)
-        if "document_id" not in rows.columns or name == "removed":
+        if "document_id" not in rows.columns or name in ("removed", "progress"):
             return rows
-        return sized_join(rows, self._stored("removed", "removed"), ["document_id"], "left_anti")
+        return sized_join(rows, write_table(self._live(), "live"), ["attempt", "document_id"], "left_semi")
 
     def meta(self, key: str) -> str | None:
         row = self._stored("meta", "meta").where(F.col("key") == key).agg(F.max_by("value", "at")).first()
@@ -74,108 +91,157 @@ class Library:
         stamp = time.time_ns()
         self._append("meta", self.spark.createDataFrame([(key, value, stamp)], SCHEMAS["meta"]))
 
+    def _report(self, import_id: str, rows: DataFrame, stage: str | None = None) -> None:
+        """Progress of an import: ``rows(document_id[, stage, message])``."""
+        stages = rows if stage is None else rows.select("document_id", F.lit(stage).alias("stage"), F.lit(None).cast("string").alias("message"))
+        self._append("progress", stages.select(F.lit(import_id).alias("import_id"), "*", F.lit(time.time_ns()).alias("at")))
+
+    def progress(self) -> DataFrame:
+        """Latest stage of every document of every import: running, imported, duplicate or failed."""
+        rows = self._stored("progress", "progress")
+        return rows.groupBy("import_id", "document_id").agg(F.max_by(F.struct("stage", "message"), "at").alias("last")).select(
+            "import_id", "document_id", "last.stage", "last.message"
+        )
+
     # --- import and removal ---------------------------------------------------------------------
 
     def is_empty(self) -> bool:
         return self.table("documents").isEmpty()
 
+    def seed(self, documents: DataFrame, pages: DataFrame, outline: DataFrame) -> DataFrame | None:
+        """Import the given documents if the library holds none."""
+        return self.import_documents(documents, pages, outline) if self.is_empty() else None
+
     def import_documents(
-        self, documents: DataFrame, pages: DataFrame, outline: DataFrame, now: int | None = None
+        self,
+        documents: DataFrame,
+        pages: DataFrame,
+        outline: DataFrame,
+        now: int | None = None,
+        import_id: str | None = None,
+        embed: tuple[str, Callable] | None = None,
     ) -> DataFrame:
-        """Import new documents; returns ``(document_id, status, duplicate_of, error)`` rows.
+        """Import documents; returns ``(document_id, status, duplicate_of, error)`` rows.
 
-        Chunks are written before documents: a failed import leaves no document behind, and its rows are
-        ignored because readers join on documents.
+        A text the library holds, under whatever id, is a duplicate; another text under a known id replaces
+        that document. An ``import_id`` that is committed already changes nothing and returns no rows. With
+        ``embed``, ``(model, pandas UDF)``, the vectors are rebuilt afterwards; if that fails, the import
+        stands and one row tells the warning, with a null document.
         """
         stamp = int(time.time() * 1000) if now is None else now
+        import_id, attempt = import_id or uuid.uuid4().hex, uuid.uuid4().hex
+        result_type = "document_id string, status string, duplicate_of string, error string"
+        if not self._stored("imports", "imports").where(F.col("import_id") == import_id).isEmpty():
+            return self.spark.createDataFrame([], result_type)
+        self._report(import_id, documents.select("document_id"), "running")
+        mark = F.lit(attempt).alias("attempt")
         good = documents.where(F.col("error_message").isNull()) if "error_message" in documents.columns else documents
         firsts = first_copies(good.select("sha256", "document_id"), "sha256", "document_id").drop("copies")
-        held = self.table("documents").select("sha256", F.col("document_id").alias("held"))
+        held = write_table(self.table("documents").select("sha256", F.col("document_id").alias("held")), "held")
         fresh = write_table(firsts.join(held, "sha256", "left_anti").select("document_id"), "fresh")
         new_docs = sized_join(good, fresh, ["document_id"], "left_semi")
         new_pages = sized_join(pages, fresh, ["document_id"], "left_semi")
-        new_outline = write_table(sized_join(outline, fresh, ["document_id"], "left_semi"), "new_outline")
+        for size in ("width", "height"):
+            if size not in new_pages.columns:
+                new_pages = new_pages.withColumn(size, F.lit(None).cast("double"))
+        level = F.least(F.greatest(F.coalesce("level", F.lit(LEVELS[0])), F.lit(LEVELS[0])), F.lit(LEVELS[1]))
+        new_outline = write_table(sized_join(outline, fresh, ["document_id"], "left_semi").withColumn("level", level), "new_outline")
         levels = outline_levels(new_outline)
         context = page_context(new_pages, new_outline, levels)
-        titled = sized_join(new_pages, write_table(new_docs.select("document_id", F.col("title").alias("document_title")), "titles"), ["document_id"])
+        titled = sized_join(new_pages.drop("width", "height"), write_table(new_docs.select("document_id", F.col("title").alias("document_title")), "titles"), ["document_id"])
         located = titled.join(context, ["document_id", "page_number"])
-        self._append("chunks", tokenized(chunk_rows(located)))
-        self._append("pages", new_pages)
-        self._append("toc_nodes", new_outline)
+        chunks = write_table(tokenized(chunk_rows(located)), "chunks")
+        self._append("chunks", chunks.select("*", mark))
+        self._append("postings", self._posted(chunks).select("*", mark))
+        self._append("pages", new_pages.select("*", mark))
+        self._append("toc_nodes", new_outline.select("*", mark))
         counts = new_pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"))
-        status = self._status(documents, firsts, held)
-        result = write_table(status, "import_status")
+        result = write_table(self._status(documents, firsts, held), "import_status")
         self._append(
             "documents",
             new_docs.join(counts, "document_id", "left").select(
-                "*", F.lit(stamp).alias("created_at")
+                "*", F.lit(stamp).alias("created_at"), mark
             ).withColumn("page_count", F.coalesce("page_count", F.lit(0))),
         )
         if self.meta("search_index_version") is None:
             self._set_meta("search_index_version", R.TOKENIZER_VERSION)
+        self._append("imports", self.spark.createDataFrame([(import_id, attempt, time.time_ns())], SCHEMAS["imports"]))
+        self._report(import_id, result.select("document_id", F.col("status").alias("stage"), F.col("error").alias("message")))
+        if embed is not None:
+            try:
+                self.rebuild_vectors(*embed)
+            except Exception as failure:  # the import stands whatever the injected model does
+                warning = self.spark.createDataFrame([(None, "warning", None, str(failure)[:500])], result_type)
+                return result.unionByName(warning)
         return result
 
+    @staticmethod
+    def _posted(chunks: DataFrame) -> DataFrame:
+        parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return postings_of(chunks).repartition(parts, "chunk_id").sortWithinPartitions("term")
+
     def _status(self, documents: DataFrame, firsts: DataFrame, held: DataFrame) -> DataFrame:
         owner = firsts.select("sha256", F.col("document_id").alias("first")).join(held, "sha256", "left")
-        owner = owner.select("sha256", F.coalesce("held", "first").alias("owner"))
+        counts = documents.groupBy("sha256").agg(F.count(F.lit(1)).alias("copies"))
+        owner = write_table(owner.join(counts, "sha256").select("sha256", "first", "held", "copies"), "owners")
         error = F.col("error_message") if "error_message" in documents.columns else F.lit(None).cast("string")
-        joined = documents.withColumn("error", error).join(owner, "sha256", "left")
+        # empty and boilerplate files share one hash
+        joined = hot_key_join(documents.select("document_id", "sha256", error.alias("error")), owner, "sha256", "copies")
+        known = F.when(F.col("held").isNotNull(), F.col("held")).when(F.col("first") != F.col("document_id"), F.col("first"))
         return joined.select(
             "document_id",
-            F.when(F.col("error").isNotNull(), "failed")
-            .when(F.col("owner") == F.col("document_id"), "imported")
-            .otherwise("duplicate")
-            .alias("status"),
-            F.when(F.col("error").isNull() & (F.col("owner") != F.col("document_id")), F.col("owner")).alias("duplicate_of"),
+            F.when(F.col("error").isNotNull(), "failed").when(known.isNotNull(), "duplicate").otherwise("imported").alias("status"),
+            F.when(F.col("error").isNull(), known).alias("duplicate_of"),
             "error",
         )
 
     def remove(self, document_id: str) -> None:
-        if self.table("documents").where(F.col("document_id") == document_id).isEmpty():
+        live = self.table("documents").where(F.col("document_id") == document_id).select("attempt", "document_id")
+        if live.isEmpty():
             raise KeyError("未找到指定资料。")
-        self._append("removed", self.spark.createDataFrame([(document_id,)], SCHEMAS["removed"]))
+        self._append("removed", live)
 
     # --- search index ---------------------------------------------------------------------------
 
     def index(self) -> SearchIndex:
-        """Inverted index over the live chunks, recomputed from page texts if the stored tokens are of
-        another tokenizer version."""
-        nodes = write_table(self.table("toc_nodes"), "outline")
-        levels = outline_levels(nodes)
-        docs = self.table("documents").select("document_id", F.col("title").alias("document_title"))
-        pages = self.table("pages").join(docs, "document_id").join(
-            page_context(self.table("pages"), nodes, levels), ["document_id", "page_number"]
-        )
-        return build_index(pages, nodes, levels)
+        """Inverted index of the live chunks, from the stored tokens and postings."""
+        nodes = write_table(self.table("toc_nodes").drop("attempt"), "outline")
+        chunks = write_table(self.table("chunks").drop("attempt"), "live_chunks")
+        postings = self.table("postings").drop("attempt")
+        return index_chunks(chunks, nodes, outline_levels(nodes), write_table(postings, "live_postings"))
 
     def ensure_search_index(self) -> bool:
-        """If the stored tokens are of another tokenizer version, recompute headings and tokens of all
-        chunks from their stored texts and publish them; tells whether it did."""
+        """If the stored tokens are of another tokenizer version, recompute headings, tokens and postings of
+        all chunks from their stored texts and publish them; tells whether it did."""
         if self.meta("search_index_version") == R.TOKENIZER_VERSION:
             return False
         nodes = write_table(self.table("toc_nodes"), "outline")
         chunks = self.table("chunks")
         context = page_context(chunks, nodes, outline_levels(nodes))
         kept = chunks.drop("heading", "sections", "tokens", "subs", "length")
-        rebuilt = tokenized(kept.join(context, ["document_id", "page_number"]))
-        folder = f"chunks_{time.time_ns()}"
-        rebuilt.select(*chunks.columns).write.parquet(f"{self.root}/{folder}")
-        self._set_meta("chunks_folder", folder)
+        rebuilt = write_table(tokenized(kept.join(context, ["document_id", "page_number"])).select(*chunks.columns), "rebuilt")
+        stamp = time.time_ns()
+        self._append("chunks", rebuilt, f"chunks_{stamp}")
+        attempts = rebuilt.select("chunk_id", "attempt")
+        self._append("postings", self._posted(rebuilt).join(attempts, "chunk_id"), f"postings_{stamp}")
+        self._set_meta("chunks_folder", f"chunks_{stamp}")
+        self._set_meta("postings_folder", f"postings_{stamp}")
         self._set_meta("search_index_version", R.TOKENIZER_VERSION)
         return True
 
     # --- vectors --------------------------------------------------------------------------------
 
-    def vectors(self) -> DataFrame:
-        """Published vectors of live chunks."""
+    def vectors(self, model: str | None = None) -> DataFrame:
+        """Published vectors of live chunks, of one model if it is named."""
         build = self.meta("embedding_build")
         if build is None:
             return self._empty("vectors")
-        return self._stored(build, "vectors").join(self.table("chunks").select("chunk_id"), "chunk_id", "left_semi")
+        rows = self._stored(build, "vectors").join(self.table("chunks").select("attempt", "chunk_id"), ["attempt", "chunk_id"], "left_semi")
+        return rows if model is None else rows.where(F.col("model") == model)
 
     def embedding_status(self, model: str) -> dict:
         total = self.table("chunks").count()
-        indexed = self.vectors().where(F.col("model") == model).count()
+        indexed = self.vectors(model).count()
         at = self.meta("embedding_indexed_at")
         return {
             "model": model,
@@ -189,21 +255,31 @@ class Library:
         """Embed the chunks that have no vector of ``model`` yet and publish the new set.
 
         ``embed`` is a pandas UDF from text to array<float>. An empty vector, mixed lengths or a missing
-        chunk fails the build and leaves the published set as it is.
+        chunk fails the build and leaves the published set as it is. What a broken-off build has stored is
+        used by the next one.
         """
         chunks = self.table("chunks")
         if chunks.isEmpty():
             raise ValueError("知识库还没有可向量化的文本块。")
-        current = self.vectors().where(F.col("model") == model)
         text = X.join_present("\n", F.col("document_title"), F.col("heading"), F.col("text"))
-        missing = chunks.join(current.select("chunk_id"), "chunk_id", "left_anti")
-        fresh = missing.select("chunk_id", F.lit(model).alias("model"), embed(text).alias("vector")).select(
-            "chunk_id", "model", F.size("vector").alias("dimensions"), "vector"
-        )
-        build = f"vectors_{time.time_ns()}"
-        current.unionByName(fresh).write.parquet(f"{self.root}/{build}")
-        staged = self._stored(build, "vectors")
-        n, low, high = staged.agg(F.count(F.lit(1)), F.min("dimensions"), F.max("dimensions")).first()
+        key = ["attempt", "chunk_id"]
+        # the staging folder of a build that failed is named in meta: what it holds is not asked for again
+        build = self.meta("embedding_staging")
+        if not build:
+            build = f"vectors_{time.time_ns()}"
+            self._set_meta("embedding_staging", build)
+            current = self.vectors(model)
+            if not current.isEmpty():
+                self._append("vectors", current, build)
+        done = self._stored(build, "vectors").where((F.col("model") == model) & (F.col("dimensions") > 0))
+        missing = chunks.join(done.select(*key), key, "left_anti")
+        fresh = missing.select(*key, F.lit(model).alias("model"), embed(text).alias("vector"))
+        self._append("vectors", fresh.withColumn("dimensions", F.size("vector")), build)
+        staged = self._stored(build, "vectors").where(F.col("model") == model).join(chunks.select(*key), key, "left_semi")
+        n, low, high = staged.agg(F.count_distinct(*key), F.min("dimensions"), F.max("dimensions")).first()
+        if low is None or low <= 0 or low != high:
+            # vectors of the wrong kind cannot be kept: the next build starts anew
+            self._set_meta("embedding_staging", "")
         if low is None or low <= 0:
             raise ValueError("向量接口返回了空向量。")
         if low != high:
@@ -211,6 +287,7 @@ class Library:
         if n != chunks.count():
             raise ValueError("向量构建未完成。")
         self._set_meta("embedding_build", build)
+        self._set_meta("embedding_staging", "")
         self._set_meta("embedding_model", model)
         self._set_meta("embedding_indexed_at", str(int(time.time() * 1000)))
         return self.embedding_status(model)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Iterator
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from leafmark.functions import text as X
 
 ROWS_PER_RUN = 10_000
-CELLS = "path string, sheet_no int, sheet_name string, row_no long, cells array<string>"
+CELLS = "path string, sheet_no int, sheet_name string, row_no long, cells array<string>, error string"
+UNREADABLE = "无法读取工作簿："
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
@@ -38,6 +40,14 @@ def flatten_sheets(rows: DataFrame, sheet: list[str] | None = None) -> DataFrame
     )
 
 
+def sheet_texts(cells: DataFrame) -> DataFrame:
+    """``(path, sheet_no, text)`` of every sheet of readable workbooks; a sheet without rows is an empty page."""
+    good = cells.where("error is null")
+    sheets = good.select("path", "sheet_no").distinct()
+    texts = flatten_sheets(good.where("row_no is not null"), ["path", "sheet_no"])
+    return sheets.join(texts, ["path", "sheet_no"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def sheet_outline(cells: DataFrame) -> DataFrame:
     """Every sheet is one page and one outline node of level 1."""
     return cells.select("path", "sheet_no", "sheet_name").distinct().select(
@@ -50,13 +60,19 @@ def sheet_outline(cells: DataFrame) -> DataFrame:
 
 
 def read_cells(files: DataFrame) -> DataFrame:
-    """Cells of ``(path, content)`` workbooks, one file per task row: ``CELLS``."""
+    """Cells of ``(path, content)`` workbooks: ``CELLS``. A sheet starts with a row without cells; a
+    workbook that cannot be read is one row with an error."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "sheet_no", "sheet_name", "row_no", "cells", "error"]
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                rows = [(path, *r) for r in _sheet_rows(content)]
-                yield pd.DataFrame(rows, columns=["path", "sheet_no", "sheet_name", "row_no", "cells"])
+                try:
+                    rows = _sheet_rows(content)
+                    while part := [(path, *r, None) for r in itertools.islice(rows, ROWS_PER_RUN)]:
+                        yield pd.DataFrame(part, columns=columns)
+                except Exception as failure:  # whatever is wrong with one file is told in its row
+                    yield pd.DataFrame([(path, None, None, None, None, f"{UNREADABLE}{failure}")], columns=columns)
 
     return files.select("path", "content").mapInPandas(parse, CELLS)
 
@@ -75,6 +91,7 @@ def _sheet_rows(content: bytes) -> Iterator[tuple]:
         sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)
         for number, sheet in enumerate(sheets, start=1):
             target = links[sheet.get(_REL)]
+            yield number, sheet.get("name"), None, None
             root = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
             for row_no, row in enumerate(root.iterfind("m:sheetData/m:row", _NS)):
                 yield number, sheet.get("name"), row_no, _cells(row, shared)

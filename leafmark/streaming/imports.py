@@ -12,16 +12,17 @@ PAGE_FEED = "document_id string, title string, kind string, sha256 string, page_
 
 
 def follow_pages(spark: SparkSession, folder: str, library: Library, checkpoint: str):
-    """Import page files as they arrive: each micro-batch is one import, copies of documents imported
-    before or within the batch are dropped. Returns the started query."""
+    """Import page files as they arrive: each micro-batch is one import, named after the checkpoint and the
+    batch, so that a batch that is run again changes nothing; copies of documents imported before or within
+    the batch are dropped. Returns the started query."""
     feed = spark.readStream.schema(PAGE_FEED).json(folder)
 
-    def take(batch: DataFrame, _: int) -> None:
+    def take(batch: DataFrame, number: int) -> None:
         documents = batch.groupBy("document_id").agg(
             F.first("sha256").alias("sha256"), F.first("title").alias("title"), F.first("kind").alias("kind")
         ).withColumn("original_filename", F.col("title"))
         pages = batch.select("document_id", "page_number", "printed_page", "text")
-        library.import_documents(documents, pages, library._empty("toc_nodes"))
+        library.import_documents(documents, pages, library._empty("toc_nodes").drop("attempt"), import_id=f"{checkpoint}#{number}")
 
     return (
         feed.writeStream.foreachBatch(take)

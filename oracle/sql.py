@@ -534,7 +534,7 @@ _COS = """near AS (SELECT b.item_id AS query_id, e.vec_id AS chunk_id, e.label,
 _NEAR = "SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM near {}) WHERE rank <= {}"
 O["vector_topk"] = stmt(_NEAR.format("", 50), _COS)
 O["vector_scoped"] = stmt(_NEAR.format("WHERE label IN (1, 3, 8)", 10), _COS)
-CV = "\ncv AS (SELECT c.chunk_id, c.document_id, e.embedding FROM chunk c JOIN embeddings e ON e.vec_id = c.page_number - 1 WHERE c.chunk_index = 0)"
+CV = "\ncv AS (SELECT c.chunk_id, c.document_id, e.embedding FROM chunk c JOIN embeddings e ON e.vec_id = c.page_number - 1)"
 O["embedding_status"] = stmt(
     "SELECT (SELECT count(*) FROM cv) AS indexed, count(*) AS total, (SELECT count(*) FROM cv) = count(*) AS complete FROM chunk",
     corpus(False), HEADING, CHUNK, CV,
@@ -574,8 +574,9 @@ wt AS MATERIALIZED (SELECT query_id, term, pow(ln(1 + n / (1 + df)), 2) AS w FRO
        WHERE df <= greatest(4, n * 3 // 10)),
 whole AS (SELECT query_id, sum(w) AS total FROM wt GROUP BY 1),
 ptok AS (SELECT DISTINCT document_id, page_number, unnest(tokens) AS term FROM tok),
-pscore AS (SELECT query_id, document_id, page_number, round(sum(w) / any_value(total), 9) AS score
-           FROM wt JOIN ptok USING (term) JOIN whole USING (query_id) GROUP BY ALL),
+pscore AS (SELECT query_id, document_id, page_number, round(coalesce(any_value(s), 0) / any_value(total), 9) AS score
+           FROM whole CROSS JOIN (SELECT DISTINCT document_id, page_number FROM tok) LEFT JOIN
+             (SELECT query_id, document_id, page_number, sum(w) AS s FROM wt JOIN ptok USING (term) GROUP BY ALL) USING (query_id, document_id, page_number) GROUP BY ALL),
 best8 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document_id, page_number) AS rank FROM pscore) WHERE rank <= 8),
 shown AS (SELECT b.*, k.chunk_id, (SELECT count(*) FROM wt WHERE wt.query_id = b.query_id AND list_contains(k.tokens, wt.term)) AS m
           FROM best8 b JOIN tok k USING (document_id, page_number)),
@@ -672,14 +673,35 @@ _topic = trim("regexp_replace(title, '^\\s*[0-9]+(\\.[0-9]+)*\\s*', '')")
 O["eval_outline_questions"] = stmt(
     f"""SELECT document_id, seq, topic || ' 怎么配置' AS question, page_number AS page_from, greatest(page_number, least(end_page, last_page)) AS page_to
 FROM (SELECT *, {_topic} AS topic FROM section) JOIN (SELECT document_id, max(page_number) AS last_page FROM page GROUP BY 1) USING (document_id)
-WHERE length(title) >= 5 AND length(topic) >= 4 AND NOT regexp_matches(title, '目录|相关文档|参考文献|版本|[.]png|[.]jpg|[.]xlsx|[.]pdf')
+WHERE length(title) >= 5 AND length(topic) >= 4 AND NOT regexp_matches(title, '目录|相关文档|参考文献|版本|(?i)[.]png|[.]jpg|[.]xlsx|[.]pdf')
   AND NOT regexp_matches(topic, '一路走来|前言|致谢|索引|术语|词汇|关于本|声明|修订|勘误|设计提示|提示和技巧')""",
     corpus(False), SECTION,
 )
+TRUTH = """
+truth AS MATERIALIZED (SELECT b.item_id AS query_id, p.document_id, p.page_number FROM benchmark b JOIN page p ON contains(p.text, b.text))"""
 O["eval_hit_rate"] = stmt(
     """SELECT 'suite' || (query_id % 3) AS suite, count(*) AS cases, count(no) AS hits, count(*) FILTER (WHERE no = 1) AS top1,
   round(avg(CASE WHEN no IS NOT NULL THEN 1 ELSE 0 END), 6) AS hit_rate
-FROM (SELECT t.query_id, min(f.no) AS no FROM best8 t LEFT JOIN (SELECT f.query_id, f.no, c.document_id, c.page_number FROM final f JOIN chunk c USING (chunk_id)) f
-      USING (query_id, document_id, page_number) WHERE t.rank = 1 GROUP BY 1) GROUP BY ALL""",
-    *reranked(False), diverse(1), LOCATE,
+FROM (SELECT t.query_id, min(f.no) AS no FROM truth t LEFT JOIN (SELECT f.query_id, f.no, c.document_id, c.page_number FROM final f JOIN chunk c USING (chunk_id)) f
+      USING (query_id, document_id, page_number) GROUP BY 1) GROUP BY ALL""",
+    *reranked(False), diverse(1), TRUTH,
+)
+O["eval_page_match"] = stmt(
+    """SELECT count(*) AS cases, count(*) FILTER (WHERE rank = 1) AS top1, count(rank) AS in_candidates
+FROM (SELECT t.query_id, min(b.rank) AS rank FROM truth t LEFT JOIN best8 b USING (query_id, document_id, page_number) GROUP BY 1)""",
+    *indexed(False), LOCATE, TRUTH,
+)
+_uncut = diverse(1).replace("CASE WHEN top > 1.6 THEN top * 0.38 ELSE 0 END", "-1e9").replace("WHERE rd <= 6", "").replace("no <= 8", "no <= 12")
+_uncut = _uncut.replace("rq <= CASE WHEN len(list_filter(aspects, lambda a_: a_.id = 'timer-inventory')) > 0 THEN 4 ELSE 8 END", "rq <= 12")
+O["retrieve_uncapped"] = stmt(CITED, *reranked(False), _uncut)
+O["lexical_uncapped"] = stmt(
+    "SELECT query_id, count(*) AS rows, count(DISTINCT chunk_id) AS chunks FROM merged JOIN lists USING (query_id, variant_no) GROUP BY 1",
+    *indexed(False), ANALYSIS,
+    selection(False).replace("(SELECT n FROM scoped_n) // 5", "f.df").replace("WHERE place <= 48", ""),
+    lexical(False).replace("WHERE place <= 160", ""), BLEND.replace("WHERE rank <= 40", ""), MERGED,
+)
+O["page_match_all_terms"] = stmt(
+    "SELECT query_id, rank, document_id, page_number, round(score, 6) AS score FROM best8",
+    *indexed(False),
+    LOCATE.replace("[1:400]", "").replace("len(ts) >= 4", "true").replace("WHERE df <= greatest(4, n * 3 // 10)", "").replace("rank <= 8", "rank <= 12"),
 )

@@ -144,7 +144,7 @@ def manual_index(spark):
         "document_id string, document_title string, page_number long, printed_page string, heading string, "
         "sections array<struct<from:bigint,titles:array<string>>>, text string",
     )
-    return build_index(pages, None, [], buckets=4)
+    return build_index(pages, None, [])
 
 
 def test_bm25_matches_sqlite_full_text(spark):
@@ -213,12 +213,12 @@ def test_diverse_selection_matches_the_greedy_rule(spark):
                 dict(
                     query_id=q, chunk_id=f"c{i:02}", document_id=f"d{rng.choice([0, 0, 0, 1, 2])}", page_number=rng.randrange(14),
                     score=round(rng.uniform(-0.2, 3 if q % 2 else 1.2), 2), rank=rng.randrange(1, 9),
-                    aspect_any=any_, aspect_heading=[a and rng.random() < 0.4 for a in any_], result_limit=8,
+                    aspect_any=any_, aspect_heading=[a and rng.random() < 0.4 for a in any_], inventory=False,
                 )
             )
         rows += hits
         want[q] = plain_selection(hits, aspects)
-    df = spark.createDataFrame(rows, "query_id long, chunk_id string, document_id string, page_number long, score double, rank int, aspect_any array<boolean>, aspect_heading array<boolean>, result_limit int")
+    df = spark.createDataFrame(rows, "query_id long, chunk_id string, document_id string, page_number long, score double, rank int, aspect_any array<boolean>, aspect_heading array<boolean>, inventory boolean")
     found = {}
     for r in rerank.select_diverse(df, 5).collect():
         found.setdefault(r.query_id, set()).add(r.chunk_id)

@@ -46,29 +46,51 @@ def put(folder, name, content):
         f.write(content)
 
 
+# nested nodes: position among the siblings at each depth, title, page
+OUTLINE_NODES = [([1], "B", 4), ([0], " A ", 1), ([0, 1], "A2", 3), ([0, 0, 0], "A1a", 2), ([0, 0], " ", 2), ([0, 2], "lost", None), ([10], "K", 9)]
+
+
 def test_files_become_pages(spark, folder):
     def pdf_reader(batches):
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                rows += [(path, 1, 0, "Flash", 5.0, 700.0), (path, 1, 1, "manual", 40.0, 700.02), (path, 1, 2, "第 1 页", 5.0, 600.0)]
-            yield pd.DataFrame(rows, columns=["path", "page_number", "run_no", "str", "x", "y"])
+                if "broken" in path:
+                    rows.append((path, None, None, None, None, None, None, None, "not a pdf"))
+                    continue
+                runs = [("Flash", 5.0, 700.0), ("manual", 40.0, 700.02), ("第 1 页", 5.0, 600.0)]
+                rows += [(path, 1, n, *run, 595.0, 842.0, None) for n, run in enumerate(runs)]
+            yield pd.DataFrame(rows, columns=["path", "page_number", "run_no", "str", "x", "y", "width", "height", "error"])
+
+    def pdf_outline(batches):
+        for batch in batches:
+            rows = [(path, place, title, page) for path in batch["path"] for place, title, page in OUTLINE_NODES]
+            yield pd.DataFrame(rows, columns=["path", "place", "title", "page_number"])
 
     put(folder, "pins.xlsx", workbook_bytes({"PB9": [["引脚", "功能"], [None, None], ["PA9", None, "USART1_TX"]], "空": []}))
     put(folder, "shot.png", b"\x89PNG\r\n\x1a\n" + b"\0" * 8 + struct.pack(">II", 640, 480) + b"rest")
     put(folder, "flash.pdf", b"%PDF")
     put(folder, "notes.txt", b"x")
+    put(folder, "broken.pdf", b"not a valid pdf")
+    put(folder, "broken.xlsx", b"not a zip")
+    put(folder, "old.xls", b"\xd0\xcf\x11\xe0")
     scanned = files.scan(spark, folder)
-    got = files.extract(scanned, pdf_reader)
+    got = files.extract(scanned, pdf_reader, pdf_outline)
     pages = {os.path.basename(r.document_id): r for r in got.pages.collect()}
-    assert pages["pins.xlsx"].text == "引脚\t功能\nPA9\t\tUSART1_TX"
     assert pages["shot.png"].text == "shot.png"
     assert pages["flash.pdf"].text == "Flash manual\n第 1 页" and pages["flash.pdf"].printed_page == "1"
     info = files.image_info(scanned).first()
     assert (info.width, info.height, info.mime_type) == (640, 480, "image/png")
     docs = {r.original_filename: r for r in got.documents.collect()}
     assert docs["notes.txt"].error_message.endswith(".txt") and docs["pins.xlsx"].kind == "xlsx"
-    assert {r.title for r in got.outline.collect()} == {"PB9", "空", "shot.png"} or {r.title for r in got.outline.collect()} == {"PB9", "shot.png"}
+    assert (pages["flash.pdf"].width, pages["flash.pdf"].height, pages["shot.png"].width) == (595, 842, 640)
+    assert {os.path.basename(r.document_id) for r in got.documents.where("error_message is not null").collect()} == {"notes.txt", "broken.pdf", "broken.xlsx", "old.xls"}
+    assert sorted(r.title for r in got.outline.where("document_id not like '%.pdf'").collect()) == sorted(["PB9", "shot.png", "空"])
+    nodes = got.outline.where("document_id like '%flash.pdf'").orderBy("seq").collect()
+    assert [(r.seq, r.title, r.level, r.page_number) for r in nodes] == [(0, "A", 1, 1), (2, "A1a", 3, 2), (3, "A2", 2, 3), (5, "B", 1, 4), (6, "K", 1, 9)]
+    assert sorted((r.page_number, r.text) for r in got.pages.where("document_id like '%pins.xlsx'").collect()) == [(1, "引脚\t功能\nPA9\t\tUSART1_TX"), (2, "")]
+    without = files.extract(scanned)
+    assert without.documents.where("error_message is not null").count() == 5 and without.pages.where("document_id like '%.pdf'").isEmpty()
 
 
 def test_manifest(spark, folder):
@@ -79,7 +101,10 @@ def test_manifest(spark, folder):
     with pytest.raises(Exception):
         files.read_manifest(spark, f"{folder}/m.json").collect()
     with pytest.raises(ValueError):
-        files.asset_path(folder, "../etc/passwd")
+        files.asset_path(spark, folder, "../etc/passwd")
+    with pytest.raises(ValueError):
+        files.asset_path(spark, folder, f"{folder}x/m.json")
+    assert files.read_asset(spark, folder, "./a/../m.json").first().content.startswith(b"[")
 
 
 DOCS = "document_id string, sha256 string, original_filename string, title string, kind string"
@@ -123,6 +148,68 @@ def test_library_lifecycle(spark, folder):
         lib.remove("nobody")
 
 
+def one(spark, name, sha, text, title="T"):
+    docs = spark.createDataFrame([(name, sha, f"{name}.pdf", title, "pdf")], DOCS)
+    return docs, spark.createDataFrame([(name, 1, "1", text)], PAGES), spark.createDataFrame([], TOC)
+
+
+def test_removed_file_can_come_back(spark, folder):
+    lib = Library(spark, f"{folder}/lib")
+    lib.import_documents(*one(spark, "a", "h1", "first text"))
+    lib.remove("a")
+    assert lib.is_empty() and lib.index().total == 0
+    assert [r.status for r in lib.import_documents(*one(spark, "a", "h1", "first text")).collect()] == ["imported"]
+    assert lib.table("chunks").count() == 1 and lib.index().total == 1
+    assert [(r.status, r.duplicate_of) for r in lib.import_documents(*one(spark, "a", "h1", "first text")).collect()] == [("duplicate", "a")]
+
+
+def test_changed_file_replaces_its_document(spark, folder):
+    lib = Library(spark, f"{folder}/lib")
+    lib.import_documents(*one(spark, "b", "h1", "old text"))
+    lib.import_documents(*one(spark, "b", "h2", "new text USART1_TX"))
+    assert [r.text for r in lib.table("pages").collect()] == ["new text USART1_TX"]
+    index = lib.index()
+    assert index.total == 1 and index.postings.where("term = 'OLD'").isEmpty() and not index.postings.where("term = 'NEW'").isEmpty()
+
+
+def test_crash_and_retry_and_replay(spark, folder, monkeypatch):
+    lib = Library(spark, f"{folder}/lib")
+    append = Library._append
+
+    def failing(self, name, df, where=None):
+        if name == "documents":
+            raise RuntimeError("lost")
+        append(self, name, df, where)
+
+    monkeypatch.setattr(Library, "_append", failing)
+    with pytest.raises(RuntimeError):
+        lib.import_documents(*one(spark, "a", "h1", "some text"), import_id="batch#1")
+    assert lib.table("chunks").count() == 0 and lib.index().total == 0
+    monkeypatch.undo()
+    for want in (1, 0):  # the retry, then a replay of the committed batch
+        assert lib.import_documents(*one(spark, "a", "h1", "some text"), import_id="batch#1").count() == want
+        assert lib.table("chunks").count() == 1 and lib.table("documents").count() == 1 and lib.index().total == 1
+    assert [(r.import_id, r.stage) for r in lib.progress().collect()] == [("batch#1", "imported")]
+
+
+def test_import_with_vectors(spark, folder):
+    @F.pandas_udf("array<float>")
+    def broken(text: pd.Series) -> pd.Series:
+        raise ValueError("model is down")
+
+    @F.pandas_udf("array<float>")
+    def fine(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [float(len(t)), 1.0])
+
+    lib = Library(spark, f"{folder}/lib")
+    rows = lib.import_documents(*one(spark, "a", "h1", "some text"), embed=("m", broken)).collect()
+    assert [r.status for r in rows] == ["imported", "warning"] and lib.table("documents").count() == 1
+    lib.import_documents(*one(spark, "b", "h2", "more text"), embed=("m", fine))
+    assert lib.embedding_status("m")["complete"] and lib.vectors("other").isEmpty()
+    lib.import_documents(*one(spark, "b", "h3", "other text"))
+    assert lib.embedding_status("m")["indexed"] == 1  # the old version's vector isn't the new one's
+
+
 def frame(text):
     return "data: " + json.dumps({"choices": [{"delta": {"content": text}}]}, ensure_ascii=False) + "\n\n"
 
