@@ -1,6 +1,53 @@
 """DuckDB statements for the queries that SQL can express."""
 
+from leafmark.llm import licences
+
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _terms(text: str) -> str:
+    return f"list_filter(regexp_split_to_array({LOWER.format(text)}, '[^a-z0-9]+'), lambda x: x <> '')"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+TEMPLATES = ", ".join(f"({k}, {_quoted(lic)}, {_quoted(t)})" for k, (lic, t) in enumerate(licences.TEMPLATES))
+LICENCES = f"""
+with tpl(k, licence, t) as (values {TEMPLATES}),
+tterm as (select k, licence, term, count(*) tf from (select k, licence, unnest({_terms('t')}) term from tpl) group by all),
+doc as (select doc_id, coalesce(text, '') as text, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(floor(doc_id / 100)::bigint::varchar, '_')
+    as dir, dir || '/' || coalesce(doc_id::varchar, '_') as path from documents),
+dterm as (select distinct doc_id, unnest({_terms('text')}) term from doc),
+total as (select (select count(*) from doc) + (select count(*) from tpl) as n),
+idf as (select v.term, ln((1 + any_value(n)) / (1 + coalesce(any_value(d.df), 0) + any_value(v.tdf))) + 1 as idf
+    from (select term, count(*) tdf from tterm group by 1) v left join (select term, count(*) df from dterm group by 1) d using (term) cross join total group by 1),
+tvec as (select k, licence, term, w / sqrt(sum(w * w) over (partition by k)) w from (select k, licence, term, tf * idf w from tterm join idf using (term))),
+seg as (select distinct doc_id, s from (
+    select doc_id, unnest(string_split(text, chr(10))) s from doc
+    union all select doc_id, unnest(list_filter(regexp_split_to_array(text, '\\n[\\x20\\x09\\r]*\\n'), lambda x: contains(x, chr(10)))) from doc)),
+sterm as (select doc_id, s, term, count(*) tf from (select doc_id, s, unnest({_terms('s')}) term from seg) group by all),
+w as (select doc_id, s, term, tf, tf * coalesce(idf, ln(1 + n) + 1) w from sterm left join idf using (term) cross join total),
+norm as (select doc_id, s, sqrt(sum(w * w)) norm, sum(tf) terms from w group by all),
+scored as (select doc_id, s, licence, terms, round(sum(w.w * tvec.w) / norm, 6) sim from w join tvec using (term) join norm using (doc_id, s) group by doc_id, s, k, licence, norm, terms),
+hit as (select doc_id, s, licence, terms, sim from scored where sim >= {licences.THRESHOLD}
+    qualify row_number() over (partition by doc_id, s order by sim desc, licence) = 1),
+best as (select doc_id, licence, sim, max(terms) over (partition by doc_id) terms from hit qualify row_number() over (partition by doc_id order by sim desc, licence) = 1),
+own as (select d.doc_id, d.dir, d.path, b.licence, b.sim, b.terms >= {licences.COVERAGE} * len({_terms('d.text')}) covered from doc d left join best b using (doc_id)),
+given as (select dir as above, licence as given from own
+    where licence is not null and (covered or regexp_matches(doc_id::varchar, '(?i)^(un)?licen[cs]es?([._-].*)?$'))
+    qualify row_number() over (partition by dir order by sim desc, licence, path) = 1),
+up as (select dir, unnest(range(0, len(string_split(dir, '/')) + 1)) depth from (select distinct dir from own)),
+near as (select u.dir, g.above, g.given from (select dir, depth, array_to_string(string_split(dir, '/')[1:depth], '/') above from up) u join given g using (above)
+    qualify row_number() over (partition by u.dir order by depth desc) = 1)
+select doc_id, path, coalesce(licence, given) licence, case when licence is not null then 'text' when given is not null then 'directory' else 'none' end origin,
+    sim similarity, case when licence is null then above end from_directory
+from own left join near using (dir)
+"""
+
 ORACLES = {
+    "op1_licences": LICENCES,
     "op7_recipes": r"""
         with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') n from documents)
         select doc_id, first_value(doc_id) over w keep_id, count(*) over (partition by n) group_size,
