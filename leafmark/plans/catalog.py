@@ -20,8 +20,9 @@ from leafmark.plans import conversations as CV
 from leafmark.plans import corpus as C
 from leafmark.plans import evaluate, library
 from leafmark.plans import retrieve as RT
-from leafmark.session import fan_out, spread, write_table
-from leafmark.sources import glyphs, workbook
+from leafmark.session import fan_out, scratch_path, spread, write_table
+from leafmark.sources import files, glyphs, workbook
+from leafmark.sources.store import Library
 from leafmark.streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -736,6 +737,51 @@ def passage_pages(spark, sf_dir) -> DataFrame:
     return C.once(spark, sf_dir, ("truth",), build)
 
 
+# --- a library that changes, outlines as they are nested -------------------------------------------
+
+
+def changed_library(spark, sf_dir) -> Library:
+    """Two imports of the given documents, one removal, one new version."""
+
+    def build():
+        lib = Library(spark, scratch_path(spark, "library"))
+        rows = C.table(spark, sf_dir, "documents").select(col("doc_id").cast("string").alias("document_id"), "doc_id", "text")
+        revised = rows.where("doc_id = 1").withColumn("text", F.concat("text", F.lit(" revised")))
+        halves = {"first": rows.where("doc_id % 2 = 0"), "second": rows.where("doc_id % 2 = 1")}
+        for name, part in (*halves.items(), ("third", revised)):
+            if name == "third":
+                lib.remove("0")
+            named = F.concat("document_id", F.lit(".pdf")).alias("original_filename")
+            documents = part.select("document_id", F.sha2("text", 256).alias("sha256"), named, col("document_id").alias("title"), F.lit("pdf").alias("kind"))
+            pages = part.select("document_id", F.lit(1).cast("long").alias("page_number"), F.lit("1").alias("printed_page"), "text")
+            lib.import_documents(documents, pages, lib._empty("toc_nodes").drop("attempt"), now=0, import_id=name)
+        return lib
+
+    return C.once(spark, sf_dir, ("changed library",), build)
+
+
+@query
+def library_after_changes(spark, sf_dir):
+    lib = changed_library(spark, sf_dir)
+    return lib.table("pages").select("document_id", F.length("text").cast("long").alias("chars"))
+
+
+@query
+def import_progress(spark, sf_dir):
+    rows = changed_library(spark, sf_dir).progress()
+    return rows.groupBy("import_id", "stage").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query
+def outline_flatten(spark, sf_dir):
+    """Nodes nested below the documents before them; some have no title."""
+    d, level = col("doc_id").cast("int"), C.node_level(col("doc_id"))
+    place = F.when(level == 1, F.array(d)).when(level == 2, F.array(d - 1, d)).when(level == 3, F.array(d - 2, d - 1, d))
+    title = F.when(col("doc_id") % 10 == 0, " ").otherwise(F.concat(F.lit(" T"), col("doc_id").cast("string")))
+    nodes = C.table(spark, sf_dir, "documents").select(col("source").alias("path"), place.alias("place"), title.alias("title"), (col("doc_id") + 1).alias("page_number"))
+    return files.flatten_outline(nodes.where("place is not null")).select("document_id", "seq", "title", long("level"), "page_number")
+
+
 # --- rankings without their cuts -------------------------------------------------------------------
 
 
@@ -751,9 +797,9 @@ def retrieve_uncapped(spark, sf_dir):
 @query
 def lexical_uncapped(spark, sf_dir):
     """All known terms of the variants, however frequent, and every chunk that holds one."""
-    analysis = analysis_of(spark, sf_dir)
+    analysis = analysed(spark, sf_dir)
     found = L.search(
-        C.index_of(spark, sf_dir), variant_terms(analysis), analysis.select("query_id", "keywords"), limit=None, term_limit=None, rare_share=None
+        C.index_of(spark, sf_dir), looked_up(spark, sf_dir), analysis.select("query_id", "keywords"), limit=None, term_limit=None, rare_share=None
     )
     return found.lists.groupBy("query_id").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("chunk_id").alias("chunks"))
 

@@ -459,7 +459,7 @@ UNION ALL SELECT 'pages', count(*) FROM page WHERE document_id NOT IN (FROM gone
 UNION ALL SELECT 'toc_nodes', count(*) FROM toc WHERE document_id NOT IN (FROM gone)
 UNION ALL SELECT 'chunks', count(*) FROM chunk WHERE document_id NOT IN (FROM gone)
 UNION ALL SELECT 'embeddings', count(*) FROM chunk JOIN embeddings ON vec_id = page_number - 1
-  WHERE chunk_index = 0 AND document_id NOT IN (FROM gone)""",
+  WHERE document_id NOT IN (FROM gone)""",
     corpus(False), HEADING, CHUNK, DOCS,
     "\ngone AS (SELECT document_id FROM docs WHERE page_count = (SELECT max(page_count) FROM docs))",
 )
@@ -705,3 +705,25 @@ O["page_match_all_terms"] = stmt(
     *indexed(False),
     LOCATE.replace("[1:400]", "").replace("len(ts) >= 4", "true").replace("WHERE df <= greatest(4, n * 3 // 10)", "").replace("rank <= 8", "rank <= 12"),
 )
+
+_HALVES = """
+e AS (SELECT min(doc_id::VARCHAR) AS id, text FROM documents WHERE doc_id % 2 = 0 GROUP BY text),
+o AS (SELECT min(doc_id::VARCHAR) AS id, text FROM documents WHERE doc_id % 2 = 1 AND text NOT IN (SELECT text FROM e) GROUP BY text)"""
+O["library_after_changes"] = stmt(
+    """SELECT id AS document_id, length(text) AS chars FROM (FROM e UNION ALL FROM o) WHERE id NOT IN ('0', '1')
+UNION ALL SELECT '1', length(text || ' revised') FROM documents WHERE doc_id = 1""",
+    _HALVES,
+)
+O["import_progress"] = stmt(
+    """SELECT * FROM (SELECT 'first' AS import_id, 'imported' AS stage, count(*) AS documents FROM e UNION ALL SELECT 'second', 'imported', count(*) FROM o
+UNION ALL SELECT 'first', 'duplicate', (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) - count(*) FROM e
+UNION ALL SELECT 'second', 'duplicate', (SELECT count(*) FROM documents WHERE doc_id % 2 = 1) - count(*) FROM o
+UNION ALL SELECT 'third', 'imported', 1) WHERE documents > 0""",
+    _HALVES,
+)
+O["outline_flatten"] = """
+SELECT source AS document_id, seq, 'T' || doc_id AS title, len(place) AS level, doc_id + 1 AS page_number FROM (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) - 1 AS seq FROM (
+    SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN [doc_id] WHEN doc_id % 7 <= 2 THEN [doc_id - 1, doc_id] ELSE [doc_id - 2, doc_id - 1, doc_id] END AS place
+    FROM documents WHERE doc_id % 7 <= 4))
+WHERE doc_id % 10 <> 0"""
