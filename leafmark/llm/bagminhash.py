@@ -15,7 +15,8 @@ probability 0.9996. Texts with the same multiset are one node, so copies cost no
 member that shares most buckets with others is the hub. All members are compared with the hub, exactly and on
 whole texts. A member that isn't linked to the hub can only be linked to another member of the star (a) if both
 have a shingle that exceeds the hub's count, or (b) if the other one is so small that what both share with the
-hub suffices; those pairs, and no others, are found by joins on such shingles and on size bins, and compared.
+hub suffices; those pairs, and no others, are found by joins on such shingles and on size bins, and compared. Members
+of several common stars meet in one of them, that of the heaviest hub, from which they differ least.
 So a group of thousands of near copies costs one comparison each, not one for each pair, and no link is lost.
 
 Defined results: a null text is an empty one; texts without words are copies of each other. Rows with null ids
@@ -236,33 +237,40 @@ def _node():
     return F.concat(F.lpad(F.hex("f1"), 16, "0"), F.lpad(F.hex("f2"), 16, "0"))
 
 
-def _member_pairs(star: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs of members of one star, one of them not linked to the hub, that can be links at all."""
+def _member_pairs(star: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The pairs of members of one star, one of them not linked to the hub, that can be links at all.
+
+    A member's top is the heaviest hub of its stars. Members with the same top meet in the star of that one only.
+    """
     label = labels.select(F.col("node").alias("b"), "component")
-    members = stored(star.join(label, "b", "left").select("a", "b", "b_n", "shared", "extra", "linked", F.coalesce("component", "b").alias("component")), "members")
+    weighed = stored(star.join(hubs, "a").drop("extra"), "weighed_stars")
+    tops = weighed.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("top")).select("b", F.col("top.a").alias("top"))
+    facts = weighed.join(tops, "b").join(label, "b", "left").select("a", "b", "top", F.coalesce("component", "b").alias("component"))
+    members = stored(star.join(facts, ["a", "b"]).select("a", "b", "top", "b_n", "shared", "extra", "linked", "component"), "members")
+    here = lambda x, y: (F.col(x) != F.col(y)) | (F.col(x) == F.col("a"))
     loose = members.where(~F.col("linked"))
     # (a) a common shingle in excess of the hub; only where a star's members of several components have it
-    codes = members.select("a", "b", "component", "linked", F.explode("extra").alias("code"))
+    codes = members.select("a", "b", "top", "component", "linked", F.explode("extra").alias("code"))
     wanted = stored(
-        codes.groupBy("a", "code").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("linked").alias("all_linked"))
-        .where("lo <> hi and not all_linked").select("a", "code"),
+        codes.groupBy("a", "code").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("linked").alias("all_linked"), F.min("top").alias("low"), F.max("top").alias("high"))
+        .where("lo <> hi and not all_linked and (low <> high or low = a)").select("a", "code"),
         "wanted",
     )
     held = stored(codes.join(wanted, ["a", "code"]), "held")
-    one = held.where(~F.col("linked")).select("a", "code", F.col("b").alias("x"), F.col("component").alias("x_component"))
-    by_code = one.join(held.select("a", "code", F.col("b").alias("y"), "component"), ["a", "code"]).where(
-        (F.col("x") != F.col("y")) & (F.col("x_component") != F.col("component"))
+    one = held.where(~F.col("linked")).select("a", "code", F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("top").alias("x_top"))
+    by_code = one.join(held.select("a", "code", F.col("b").alias("y"), "component", "top"), ["a", "code"]).where(
+        (F.col("x") != F.col("y")) & (F.col("x_component") != F.col("component")) & here("x_top", "top")
     )
     # (b) sizes: 9 * least(shared) >= 4 * (n + n'); bins of a fortieth of a doubling
     bin_of = lambda n: F.floor(F.log2(n) * 40)
     most = F.floor((F.col("shared") * 9 - F.col("b_n") * 4) / 4)
     ranged = loose.where((most >= 1) & (most * 5 >= F.col("b_n") * 4)).select(
-        "a", F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("shared").alias("x_shared"), F.col("b_n").alias("x_n"),
+        "a", F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("top").alias("x_top"), F.col("shared").alias("x_shared"), F.col("b_n").alias("x_n"),
         F.explode(F.sequence(bin_of(F.greatest(F.ceil(F.col("b_n") * 0.8), F.lit(1))), bin_of(most))).alias("bin"),
     )
-    others = members.where("b_n > 0").select("a", F.col("b").alias("y"), "component", "shared", "b_n", bin_of(F.col("b_n")).alias("bin"))
+    others = members.where("b_n > 0").select("a", F.col("b").alias("y"), "component", "top", "shared", "b_n", bin_of(F.col("b_n")).alias("bin"))
     by_size = ranged.join(others, ["a", "bin"]).where(
-        (F.col("x") != F.col("y")) & (F.col("x_component") != F.col("component"))
+        (F.col("x") != F.col("y")) & (F.col("x_component") != F.col("component")) & here("x_top", "top")
         & _alike(F.least("x_shared", "shared"), F.col("x_n"), F.col("b_n"))
     )
     pairs = by_code.select("x", "y").unionByName(by_size.select("x", "y"))
@@ -292,7 +300,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = stored(_compared(pairs, texts), "star")
     links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = stored(components(links), "components")
-    second = _compared(stored(_member_pairs(first, labels), "more_pairs"), texts).where("linked")
+    second = _compared(stored(_member_pairs(first, labels, hubs.select(F.col("hub.node").alias("a"), F.col("hub.weight").alias("weight")).distinct()), "more_pairs"), texts).where("linked")
     second = stored(second.select(F.col("a").alias("u"), F.col("b").alias("v")), "more_links")
     if not second.isEmpty():
         joined = links.unionByName(second)
