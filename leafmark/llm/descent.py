@@ -6,13 +6,16 @@ Start: nodes are sorted by the signs of random projections, in several orders; e
 sort is by ranges of (order, signs, projection), so a third of all vectors in one spot is cut into many ranges.
 Descend: whoever is in the list of a node, or has the node in its own, meets the others there: neighbours of
 neighbours. Lists keep the best, until a round changes next to nothing.
-Saturated lists: a list full of links may have left out some. The lists of that component are enlarged to the
-whole component: its members meet each other in blocks, and only the counts of links leave the tasks.
+Saturated lists: a list full of links may have left out some. A link is left out only if both lists are full, so
+all nodes with full lists, of whatever component, meet each other in blocks; only the counts of links and the
+components they join leave the tasks. Blocks hold nodes of one component next to each other in an order. The angle
+between two centres and the radii tell of most pairs of blocks that all or none of their members are links.
 Audit: for a fixed number of nodes, chosen by hash, the links are counted against all vectors. If the lists give
-less than ``target`` of those, more orders are added and the descent goes on.
+less than ``target`` of those, more orders are added and the descent goes on; after a few such passes all nodes
+meet each other in blocks, which is exact.
 
-Links are the pairs found with a cosine of at least the threshold, in double precision. Counting the links of a
-component costs products of its blocks, so their number is the square of its blocks; nothing is emitted per pair.
+Links are the pairs found with a cosine of at least the threshold, in double precision. Pairs of blocks that centres
+and radii leave open cost a product each, the square of their number at worst; nothing is emitted per pair.
 
 Defined results: vectors that are null, empty, zero, hold null or non-finite numbers, or whose length is not the
 commonest one (the longest of several), link with nothing: no links, a component of their own. Equal rows are
@@ -26,8 +29,8 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,7 +42,11 @@ THRESHOLD = 0.9
 LIST = 12
 ORDERS, NEXT = 12, 8
 AUDITED, TARGET = 1024, 0.95
+#: passes of more orders each; if the audit still misses its target then, all nodes are compared with each other
+PASSES = 3
 BLOCK = 512
+#: angles are taken as equal within this, many times the rounding error of an arc cosine
+SLACK = 1e-6
 EDGE = "u long, v long, cos double"
 
 
@@ -67,7 +74,7 @@ def _order_rows(orders: range, bits: int, size: int):
             signs = (p > 0) @ (1 << np.arange(bits, dtype=np.int64)[::-1])
             for k, order in enumerate(orders):
                 columns = [pa.array(np.full(batch.num_rows, order, np.int32)), pa.array(signs[:, k]), pa.array(p[:, k].sum(axis=1)), *batch.columns]
-                yield pa.RecordBatch.from_arrays(columns, ["order", "signs", "place", "node", "vector"])
+                yield pa.RecordBatch.from_arrays(columns, ["order", "signs", "place", *batch.schema.names])
 
     return run
 
@@ -160,43 +167,146 @@ def _descend(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.repartition(tasks, "host").sortWithinPartitions("host").mapInArrow(_meeting_rows, EDGE)
 
 
-def _block_counts(threshold: float):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(rows["vector"].tolist(), np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
-        a, b = np.flatnonzero(rows["block"] == lo), np.flatnonzero(rows["block"] == hi)
-        linked = x[a] @ x[b].T >= threshold
-        often, node = rows["copies"].to_numpy(), rows["node"].to_numpy()
-        if lo == hi:
+BLOCKS = "block long, cut long, component long, n long, m long, centre array<double>, radius double, node array<long>, label array<long>, copies array<long>, vector array<double>"
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (cut, label, node, copies, vector) as blocks, one row each: of one ``cut``, ``BLOCK`` nodes at most."""
+    number, held = TaskContext.get().partitionId() << 33, None
+
+    def blocks(rows: pa.Table, starts: np.ndarray, end: int):
+        nonlocal number
+        rows = rows.slice(0, end).combine_chunks()
+        cut, label, node, copies = (rows.column(i).to_numpy() for i in range(4))
+        x = _matrix(rows.column(4).combine_chunks())
+        sizes = np.diff(np.append(starts, end))
+        centre = np.add.reduceat(x, starts)
+        length = np.linalg.norm(centre, axis=1, keepdims=True)
+        centre = np.where(length > 1e-6, centre / np.maximum(length, 1e-6), x[starts])
+        near = np.minimum.reduceat(np.einsum("ij,ij->i", x, np.repeat(centre, sizes, axis=0)), starts)
+        same = np.minimum.reduceat(label, starts) == np.maximum.reduceat(label, starts)
+        ends = np.append(starts, end).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (node, label, copies)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(number + np.arange(len(starts))), pa.array(cut[starts]), pa.array(np.where(same, label[starts], -1)),
+                pa.array(np.add.reduceat(copies, starts)), pa.array(sizes.astype(np.int64)),
+                pa.ListArray.from_arrays((np.arange(len(starts) + 1) * x.shape[1]).astype(np.int32), pa.array(centre.ravel())),
+                pa.array(np.arccos(np.clip(near, -1, 1))), *lists, pa.ListArray.from_arrays(ends * x.shape[1], pa.array(x.ravel())),
+            ],
+            ["block", "cut", "component", "n", "m", "centre", "radius", "node", "label", "copies", "vector"],
+        )
+        number += len(starts)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        cut = rows.column(0).to_numpy()
+        runs = np.append(np.flatnonzero(np.append(True, np.diff(cut) != 0)), len(cut))
+        starts = np.concatenate([np.arange(i, j, BLOCK) for i, j in zip(runs[:-1], runs[1:])])
+        if len(starts) > 1:
+            yield from blocks(rows, starts[:-1], int(starts[-1]))
+        held = rows.slice(int(starts[-1]))
+    if held is not None:
+        yield from blocks(held, np.zeros(1, np.int64), held.num_rows)
+
+
+def _bound_rows(shared, threshold: float):
+    """For each block: ``(lo, hi)`` of the pairs that only products can tell, and with ``hi`` null the rows ``n`` and
+    nodes ``m`` of the blocks whose members are all links of all of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, component, often, sizes, centre, radius = shared.value
+        limit = math.acos(threshold)
+        for batch in batches:
+            mine = batch.column(0).to_numpy()
+            for some in np.array_split(mine, -(-len(mine) * len(block) // 4_000_000)) if len(mine) else []:
+                angle = np.arccos(np.clip(centre[some] @ centre.T, -1, 1))
+                reach = radius[some][:, None] + radius
+                alike = (component[some][:, None] == component) & (component >= 0) & (some[:, None] != np.arange(len(block)))
+                sure = alike & (angle + reach < limit - SLACK)
+                i, j = np.nonzero(~sure & (angle - reach <= limit + SLACK) & (some[:, None] <= np.arange(len(block))))
+                zero = np.zeros(len(i), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(block[some[i]]), pa.array(block[j]), pa.array(zero), pa.array(zero)], ["lo", "hi", "n", "m"])
+                yield pa.RecordBatch.from_arrays([pa.array(block[some]), pa.nulls(len(some), pa.int64()), pa.array(sure @ often), pa.array(sure @ sizes)], ["lo", "hi", "n", "m"])
+
+    return run
+
+
+def _product_rows(threshold: float):
+    """Two blocks, or one with itself: ``(node, n, m)`` of their members, and ``(u, v)`` of components that a link joins."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        sides = []
+        for k in (0, rows.num_rows - 1):
+            node, label, copies, flat = (rows.column(c)[k].values.to_numpy(zero_copy_only=False) for c in ("node", "label", "copies", "vector"))
+            sides.append((node, label, copies, flat.reshape(len(node), -1)))
+        (a, p, f, x), (b, q, g, y) = sides
+        linked = x @ y.T >= threshold
+        if rows.num_rows == 1:
             np.fill_diagonal(linked, False)
-            return pd.DataFrame({"node": node[a], "n": linked @ often[b]})
-        return pd.DataFrame({"node": np.append(node[a], node[b]), "n": np.append(linked @ often[b], linked.T @ often[a])})
+            node, n, m = a, linked @ g, linked.sum(axis=1)
+        else:
+            node, n, m = np.append(a, b), np.append(linked @ g, f @ linked), np.append(linked.sum(axis=1), linked.sum(axis=0))
+        i, j = np.nonzero(linked & (p[:, None] != q))
+        joined = np.unique(np.stack((p[i], q[j])), axis=1)
+        none, nothing = pa.nulls(joined.shape[1], pa.int64()), pa.nulls(len(node), pa.int64())
+        whole = lambda v, rest: pa.concat_arrays([pa.array(v.astype(np.int64)), rest])
+        both = [pa.concat_arrays([nothing, pa.array(v)]) for v in joined]
+        return pa.table([whole(node, none), whole(n, none), whole(m, none), *both], ["node", "n", "m", "u", "v"])
 
     return run
 
 
-def _enlarged(lists: DataFrame, labels: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """``(node, n)`` for all nodes of components that have a list full of links."""
-    full = lists.where(F.col("cos") >= threshold).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LIST)
-    wide = labels.join(full, labels["node"] == full["u"]).select("component").distinct()
-    sizes = labels.join(wide, "component").groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    sizes = stored(sizes.select("component", F.ceil(F.col("size") / BLOCK).cast("long").alias("blocks")), "wide")
-    members = labels.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    with_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    pairs = members.join(nodes, "node").select("component", "node", "copies", "vector", "block", with_)
-    pairs = pairs.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other")
-    counts = pairs.groupBy("component", "lo", "hi").applyInPandas(_block_counts(threshold), "node long, n long")
-    return counts.groupBy("node").agg(F.sum("n").alias("n"))
-
-
-def _links(lists: DataFrame, nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``(node, n)`` with the links to other nodes' rows, and ``(node, component)`` of nodes with links."""
+def _among(members: DataFrame, nodes: DataFrame, threshold: float, bits: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """``(node, n, m)``, the links - rows and nodes - that ``members(node, label, cut)`` have among themselves, and
+    ``(u, v)``, the labels that such links join. Blocks whose centres and radii leave no doubt are not multiplied."""
+    spark = nodes.sparkSession
+    vector = nodes.schema["vector"].dataType.simpleString()
+    given = members.join(nodes, "node").select("node", "vector", "cut", "label", "copies")
+    placed = given.mapInArrow(_order_rows(range(1), bits, size), f"order int, signs long, place double, node long, vector {vector}, cut long, label long, copies long")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = placed.repartitionByRange(tasks, "cut", "signs", "place", "node").sortWithinPartitions("cut", "signs", "place", "node")
+    blocks = stored(ranged.select("cut", "label", "node", "copies", "vector").mapInArrow(_block_rows, BLOCKS), "blocks")
+    facts = blocks.select("block", "component", "n", "m", "radius", "centre").toArrow().combine_chunks()  # one row a block
+    radius = facts.column("radius").to_numpy()
+    centre = facts.column("centre").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(radius), -1) if len(radius) else np.zeros((0, size))
+    shared = spark.sparkContext.broadcast((*(facts.column(c).to_numpy() for c in ("block", "component", "n", "m")), centre, radius))
+    pairs = stored(spark.range(len(radius)).mapInArrow(_bound_rows(shared, threshold), "lo long, hi long, n long, m long"), "pairs")
+    held = blocks.select("block", "node", "label", "copies", "vector")
+    sure = pairs.where("hi is null and m > 0").select(F.col("lo").alias("block"), "n", "m").join(blocks.select("block", "node"), "block")
+    sure = sure.select(F.explode("node").alias("node"), "n", "m")
+    sides = pairs.where("hi is not null").select("lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("block")).join(held, "block")
+    told = stored(sides.groupBy("lo", "hi").applyInArrow(_product_rows(threshold), "node long, n long, m long, u long, v long"), "products")
+    counts = told.where("node is not null").select("node", "n", "m").unionByName(sure)
+    return counts, told.where("node is null").select("u", "v").distinct()
+
+
+def _links(lists: DataFrame, nodes: DataFrame, threshold: float, bits: int, size: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``(node, n, m, full)`` with the links to other nodes' rows and to other nodes and whether the node's list is full
+    of links, and ``(node, component)`` of nodes with links. With ``every``, all nodes are compared with each other."""
     found = stored(_best(lists.where(F.col("cos") >= threshold), 2**31 - 1), "links")
     labels = stored(components(found.select("u", "v")), "components")
-    wide = stored(_enlarged(lists, labels, nodes, threshold), "enlarged")
-    listed = found.join(nodes.select(F.col("node").alias("v"), "copies"), "v").groupBy("u").agg(F.sum("copies").alias("n"))
-    counts = listed.select(F.col("u").alias("node"), "n").join(wide, "node", "left_anti").unionByName(wide)
+    # a link found is in the list of either node unless both are full, so only links among full ones can be cut off
+    full = lists.where(F.col("cos") >= threshold).groupBy("u").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LIST)
+    full = stored(full.select(F.col("u").alias("node")), "full")
+    if every:
+        labels = stored(nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "components")
+        members = labels.select("node", F.col("component").alias("label"), F.lit(0).cast("long").alias("cut"))
+    else:
+        members = labels.join(full, "node").select("node", F.col("component").alias("label"), F.col("component").alias("cut"))
+    counts, joined = _among(members, nodes, threshold, bits, size)
+    if not every:
+        one, two = (full.select(F.col("node").alias(c), F.lit(True).alias(f"full_{c}")) for c in ("u", "v"))
+        cut = found.join(one, "u", "left").join(two, "v", "left").where("full_u is null or full_v is null")
+        listed = cut.join(nodes.select(F.col("node").alias("v"), "copies"), "v").select(F.col("u").alias("node"), F.col("copies").alias("n"), F.lit(1).cast("long").alias("m"))
+        counts = counts.unionByName(listed)
+    counts = counts.groupBy("node").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    counts = counts.join(full.withColumn("full", F.lit(True)), "node", "left").select("node", "n", "m", F.coalesce("full", F.lit(False)).alias("full"))
+    if not joined.isEmpty():
+        top = components(joined).select(F.col("node").alias("component"), F.col("component").alias("top"))
+        labels = stored(labels.join(top, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "joined")
     return stored(counts, "counts"), labels
 
 
@@ -236,16 +346,20 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, target: float =
     n = nodes.count()
     bits, orders, recall = max(4, math.ceil(math.log2(max(n, 2) / 16))), range(0, ORDERS), 0.0
     lists = None
-    while n:
+    for _ in range(PASSES if n else 0):
         found = _start(nodes, orders, bits, size)
         lists = stored(_best(found if lists is None else found.unionByName(lists)), "lists")
         for _ in range(2):
             lists = stored(_best(lists.unionByName(_descend(lists, nodes))), "lists")
-        counts, labels = _links(lists, nodes, threshold)
+        counts, labels = _links(lists, nodes, threshold, bits, size)
         recall = audit(nodes, counts, threshold)
         if recall >= target:
             break
         orders = range(orders.stop, 2 * orders.stop)
+    else:
+        if n:
+            counts, labels = _links(lists, nodes, threshold, bits, size, every=True)
+            recall = 1.0
     alone = F.col("vec_id").alias("component_id")
     if not n:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), alone, F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))

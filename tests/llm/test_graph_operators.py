@@ -180,6 +180,34 @@ def test_vectors(spark, monkeypatch):
     assert descent.near_vectors(data.where("vec_id < 5")).count() == 4
 
 
+def plain_links(rows):
+    """Least id of the component and number of links of each vector, by all pairs."""
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.9
+    np.fill_diagonal(linked, False)
+    label = np.arange(len(rows))
+    while (new := np.minimum(label, np.where(linked, label, len(rows)).min(axis=1))).tolist() != label.tolist():
+        label = new
+    return sorted((r[0], int(n), rows[k][0]) for r, n, k in zip(rows, linked.sum(axis=1), label, strict=True))
+
+
+@pytest.mark.parametrize("target", [descent.TARGET, 2.0])
+def test_vectors_of_two_tight_groups(spark, monkeypatch, target):
+    """Lists are full from inside of each group, but all links across count; a target out of reach ends exactly."""
+    monkeypatch.setattr(descent, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    rows = list(rng.standard_normal((60, 16)))
+    for turn in (0.0, 0.35):
+        centre = np.r_[np.cos(turn), np.sin(turn), np.zeros(14)]
+        rows += [centre + 0.03 * rng.standard_normal(16) for _ in range(40)]
+    rows = [(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(rows)]
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    found = descent.near_vectors(data, target=target).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == plain_links(rows)
+    assert {r["component_id"] for r in found if r["vec_id"] >= 60} == {60}
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipeline
 
