@@ -5,14 +5,14 @@ Equal vectors are one node with a multiplicity. Every node has a list of its nea
 Start: nodes are sorted by the signs of random projections, in several orders; each meets those next to it. The
 sort is by ranges of (order, signs, projection), so a third of all vectors in one spot is cut into many ranges.
 Descend: whoever is in the list of a node, or has the node in its own, meets the others there: neighbours of
-neighbours. Lists keep the best, until a round changes next to nothing.
+neighbours. Lists keep the best, until a round changes less than ``CHANGED`` of their entries.
 Saturated lists: a list full of links may have left out some. A link is left out only if both lists are full, so
 all nodes with full lists, of whatever component, meet each other in blocks; only the counts of links and the
 components they join leave the tasks. Blocks hold nodes of one component next to each other in an order. The angle
 between two centres and the radii tell of most pairs of blocks that all or none of their members are links.
-Audit: for a fixed number of nodes, chosen by hash, the links are counted against all vectors. If the lists give
-less than ``target`` of those, more orders are added and the descent goes on; after a few such passes all nodes
-meet each other in blocks, which is exact.
+Audit: for a fixed number of nodes with full lists and of others, chosen by hash, the links are counted against all
+vectors. If the mean share found of a node's links is less than ``target`` in either group, more orders are added
+and the descent goes on; after a few such passes all nodes meet each other in blocks, which is exact.
 
 Links are the pairs found with a cosine of at least the threshold, in double precision. Pairs of blocks that centres
 and radii leave open cost a product each, the square of their number at worst; nothing is emitted per pair.
@@ -42,6 +42,8 @@ THRESHOLD = 0.9
 LIST = 12
 ORDERS, NEXT = 12, 8
 AUDITED, TARGET = 1024, 0.95
+#: the descent of a pass ends with a round that changes less than this share of all list entries
+CHANGED = 0.01
 #: passes of more orders each; if the audit still misses its target then, all nodes are compared with each other
 PASSES = 3
 BLOCK = 512
@@ -311,9 +313,13 @@ def _links(lists: DataFrame, nodes: DataFrame, threshold: float, bits: int, size
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """The share of the links of ``audited`` nodes, chosen by hash, that was found; 1 if they have none."""
+    """The share of a node's links to other nodes that was found, each node with links counting alike and each link
+    once: the mean over ``audited`` nodes with full lists and that over as many others, whichever is less. Nodes are
+    chosen by hash; a mean over none is 1."""
     spark = nodes.sparkSession
-    some = nodes.orderBy(F.xxhash64("node"), "node").limit(audited).select("node", "vector").collect()  # bounded
+    asked = nodes.select("node", "vector").join(counts.select("node", "m", "full"), "node", "left")
+    asked = asked.select("node", "vector", F.coalesce("m", F.lit(0)).alias("m"), F.coalesce("full", F.lit(False)).alias("full"))
+    some = [r for full in (F.col("full"), ~F.col("full")) for r in asked.where(full).orderBy(F.xxhash64("node"), "node").limit(audited).collect()]  # bounded
     ids = np.array([r["node"] for r in some])
     x = np.array([r["vector"] for r in some], np.float64)
     shared = spark.sparkContext.broadcast((ids, x / np.linalg.norm(x, axis=1, keepdims=True)))
@@ -323,13 +329,14 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, audited: int =
         total = np.zeros(len(asked), np.int64)
         for batch in batches:
             if batch.num_rows:
-                node, often = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                total += ((y @ _matrix(batch.column(1)).T >= threshold) & (asked[:, None] != node)) @ often
+                node = batch.column(0).to_numpy()
+                total += ((y @ _matrix(batch.column(1)).T >= threshold) & (asked[:, None] != node)).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(total)], ["node", "true"])
 
-    true = nodes.select("node", "vector", "copies").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    row = true.join(counts, "node", "left").agg(F.sum("true").alias("true"), F.sum(F.least(F.coalesce("n", F.lit(0)), "true")).alias("found")).first()
-    return row["found"] / row["true"] if row["true"] else 1.0
+    rows = nodes.select("node", "vector").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true")).collect()
+    true = {r["node"]: r["true"] for r in rows}
+    shares = [[min(r["m"], true[r["node"]]) / true[r["node"]] for r in some if r["full"] == full and true[r["node"]]] for full in (True, False)]
+    return min((sum(x) / len(x) for x in shares if x), default=1.0)
 
 
 def near_vectors(table: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -349,8 +356,10 @@ def near_vectors(table: DataFrame, threshold: float = THRESHOLD, target: float =
     for _ in range(PASSES if n else 0):
         found = _start(nodes, orders, bits, size)
         lists = stored(_best(found if lists is None else found.unionByName(lists)), "lists")
-        for _ in range(2):
-            lists = stored(_best(lists.unionByName(_descend(lists, nodes))), "lists")
+        changed = 1.0
+        while changed >= CHANGED:
+            before, lists = lists, stored(_best(lists.unionByName(_descend(lists, nodes))), "lists")
+            changed = lists.join(before.select("u", "v"), ["u", "v"], "left_anti").count() / max(1, lists.count())
         counts, labels = _links(lists, nodes, threshold, bits, size)
         recall = audit(nodes, counts, threshold)
         if recall >= target:

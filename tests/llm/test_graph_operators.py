@@ -208,6 +208,18 @@ def test_vectors_of_two_tight_groups(spark, monkeypatch, target):
     assert {r["component_id"] for r in found if r["vec_id"] >= 60} == {60}
 
 
+def test_audit_counts_nodes_alike(spark):
+    """A large group with all links found does not hide pairs that were missed, nor do copies."""
+    rows = [(i, [1.0, 0.001 * i, 0.0, 0.0, 0.0], 100) for i in range(50)]
+    rows += [(50, [0.0, 0.0, 1.0, 0.0, 0.0], 1), (51, [0.0, 0.0, 1.0, 0.1, 0.0], 1), (52, [0.0, 0.0, 0.0, 0.0, 1.0], 1)]
+    nodes = spark.createDataFrame(rows, "node long, vector array<double>, copies long")
+    counts = spark.createDataFrame([(i, 4900, 49, True) for i in range(50)], "node long, n long, m long, full boolean")
+    assert descent.audit(nodes, counts, 0.9) == 0.0
+    pair = spark.createDataFrame([(50, 1, 1, False)], counts.schema)
+    assert descent.audit(nodes, counts.unionByName(pair), 0.9) == 0.5
+    assert descent.audit(nodes.where("node < 50"), counts, 0.9) == 1.0
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as pipeline
 
