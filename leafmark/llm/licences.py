@@ -53,6 +53,8 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("Proprietary", "Copyright. All rights reserved. Proprietary and confidential."),
+    # a short notice has a template of its own: within a longer one its cosine falls as the other terms' idf grows
+    ("Proprietary", "All rights reserved."),
 ]
 
 

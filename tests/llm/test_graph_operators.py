@@ -61,6 +61,21 @@ def test_licence_similarities_without_anchors(spark, sf_dir):
     assert found == want and want
 
 
+def test_licence_notices_of_a_larger_table(spark):
+    """Whole lines that are notices give their document a licence, however many documents there are."""
+    notices = {
+        "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Released under the MIT License.": "MIT",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "All rights reserved.": "Proprietary",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").selectExpr("doc_id", "cast(doc_id as string) path", "text")
+    want = collections.defaultdict(set)
+    for r in docs.where("text is not null").collect():
+        for line in set(r["text"].split("\n")) & set(notices):
+            want[notices[line]].add(r["doc_id"])
+    found = {r["doc_id"]: r["licence"] for r in licences.scan(docs, ["doc_id"]).where("origin = 'text' and similarity = 1").collect()}
+    assert want["Proprietary"] and all(found.get(i) in {k for k, v in want.items() if i in v} for v in want.values() for i in v)
+
+
 def plain_host(url):
     if url is None or "://" not in url:
         return "", ""
