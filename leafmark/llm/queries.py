@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmark.llm import bagminhash, bpe, descent, hosts, language, lattice, licences, mixing, pii, recipes
+from leafmark.llm import bagminhash, bpe, descent, hosts, language, lattice, licences, mixing, pii, prefix_trie, recipes, strata, syncmers
 from leafmark.llm.common import table
 
 
@@ -66,7 +66,33 @@ def op10_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source")
 
 
+def op11_euler_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.grafted_trie(table(spark, sf_dir, "conversations")).drop("enter_at", "exit_at")
+
+
+def op12_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strata.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_licences, op2_hosts, op3_pii, op4_bagminhash, op5_bpe, op6_lattice, op7_recipes, op8_language, op9_descent, op10_cube)
+    for f in (
+        op1_licences,
+        op2_hosts,
+        op3_pii,
+        op4_bagminhash,
+        op5_bpe,
+        op6_lattice,
+        op7_recipes,
+        op8_language,
+        op9_descent,
+        op10_cube,
+        op11_euler_trie,
+        op12_syncmers,
+        op13_strata,
+    )
 }
