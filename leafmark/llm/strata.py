@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from leafmark.llm.common import stored
+from leafmark.llm.common import slices, stored
 from leafmark.operators.joins import sized_join
 
 #: what stands between terms, and terms
@@ -100,16 +100,26 @@ def _inverted(table: pa.Table) -> pa.Table:
     return pa.table({"m": same[0], "cell": same[1], "term": term, "tf": np.r_[0, tf[new]].astype(np.int64), "docs": lists})
 
 
+def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with the number of its terms."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            n = pc.count_substring_regex(part.column("text"), TERM).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([*part.columns, n], [*part.schema.names, "n"])
+
+
 def index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Index all of ``docs``: one pass counts, one shuffles each text to its cell, where it is inverted.
 
     A stratum that holds any share of all rows is cut into as many cells as its size asks for.
     """
-    counted = documents(docs, id_col, text_col).withColumn("n", F.size(terms(F.col("text"))).cast("long")).where("n > 0")
-    n, total = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    placed = counted.withColumn("m", normaliser(F.col("n"), n, total))
-    by_docs, by_terms = F.count(F.lit(1)) / CELL_DOCS, F.sum("n") / CELL_TERMS
-    strata = stored(placed.groupBy("m").agg(F.ceil(F.greatest(by_docs, by_terms)).cast("long").alias("cells")), "strata")
+    counted = documents(docs, id_col, text_col).mapInArrow(_counting, "doc_id long, text string, n long").where("n > 0")
+    lengths = stored(counted.groupBy("n").agg(F.count(F.lit(1)).alias("docs")), "lengths")
+    n, total = lengths.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum(F.col("n") * F.col("docs")), F.lit(0))).first()
+    m = normaliser(F.col("n"), n, total).alias("m")
+    by_docs, by_terms = F.sum("docs") / CELL_DOCS, F.sum(F.col("n") * F.col("docs")) / CELL_TERMS
+    strata = stored(lengths.groupBy(m).agg(F.ceil(F.greatest(by_docs, by_terms)).cast("long").alias("cells")), "strata")
+    placed = counted.select("doc_id", "text", m)
     dealt = sized_join(placed, strata, ["m"]).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text"), F.col("cells")))
     cells = dealt.select("m", "cell", "doc_id", "text").groupBy("m", "cell")
     return Index(stored(cells.applyInArrow(_inverted, INDEX), "postings"), n, total)
