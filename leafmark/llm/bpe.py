@@ -112,7 +112,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
         self.letters = byte_letters()
-        self.words: dict[str, tuple[int, str, str]] = {}
+        self.words: dict[str | tuple[str], tuple[int, str, str]] = {}
         self.fits: dict[int, bool] = {}
         self.general = regex.compile(vocabulary.pattern)
         self.kinds: dict[str, int] = {}
@@ -134,17 +134,17 @@ class Encoder:
         kind = max(map(self.kinds.__getitem__, seen), default=0)
         return (LATIN if kind == 0 else PLAIN if kind == 1 else self.general).findall(text)
 
-    def pieces(self, text: str | None) -> list[str]:
-        """Words and special tokens in order; a special token is marked by a leading NUL pair."""
+    def pieces(self, text: str | None) -> list[str | tuple[str]]:
+        """Words and special tokens in order; a special token is a tuple, which no text can look like."""
         if not text:
             return []
         if not any(special in text for special in self.v.special):
             return self.split(text)
-        out: list[str] = []
+        out: list[str | tuple[str]] = []
         at = 0
         for m in self.specials.finditer(text):
             out += self.split(text[at : m.start()])
-            out.append("\0\0" + m.group())
+            out.append((m.group(),))
             at = m.end()
         return out + self.split(text[at:])
 
@@ -234,13 +234,13 @@ class Encoder:
                     heapq.heappush(heap, (self.v.merges[pair][0], left, pair))
         return [i for i in ids if i >= 0]
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: set[str | tuple[str]]) -> None:
         """Encode words that are not known yet."""
         fresh = [w for w in words if w not in self.words]
         if not fresh:
             return
         n = len(self.v.tokens)
-        proposals = [[self.v.special[w[2:]]] if w.startswith("\0\0") else self.propose(w) for w in fresh]
+        proposals = [[self.v.special[w[0]]] if isinstance(w, tuple) else self.propose(w) for w in fresh]
         wanted = {a * n + b for tokens in proposals for a, b in zip(tokens, tokens[1:])}
         wanted = [k for k in wanted if k not in self.fits]
         if wanted:
