@@ -47,7 +47,11 @@ class Model:
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORDS.findall(text.lower()) if text else []
+    """Runs of letters in lower case. ``WORDS`` takes number signs for letters, so runs with one are cut at them."""
+    words = WORDS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, words)):
+        return words
+    return [part for word in words for part in ([word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split())]
 
 
 def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
