@@ -88,8 +88,9 @@ def landing(sizes: list[float], chances: list[float]) -> list[float]:
     return options[np.lexsort((number, words))[0]].tolist()
 
 
-def _decide(last: bool):
+def _decide():
     def run(block: pd.DataFrame) -> pd.DataFrame:
+        last = block["blocks"].iloc[0] == 1  # of this source, however many blocks others have
         block = block.sort_values(["size", "_k1", "_k2", "doc_id"], ascending=[False, True, True, True], na_position="last")
         rng = random.Random(f"{block['source_no'].iloc[0]}/{block['block'].iloc[0]}/{len(block)}")
         sizes, chances = block["size"].astype(float).tolist(), block["chance"].tolist()
@@ -134,18 +135,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     expected = F.col("copies") * F.col("chance")
     state = state.withColumn("sure", F.floor(expected + F.lit(SURE)).cast("long")).withColumn("chance", F.greatest(expected - F.col("sure"), F.lit(0.0)))
     most, decided = max(x[6] for x in plan), []
-    columns = [c for c in state.columns if c != "blocks"]
     while True:
-        last = most == 1
-        moved = state.select(*columns).groupBy("source_no", "block").applyInPandas(_decide(last), state.select(*columns).schema)
-        moved = stored(moved, "flight")
-        open_ = (F.col("chance") > SURE) & (F.col("chance") < 1 - SURE)
+        moved = stored(state.groupBy("source_no", "block").applyInPandas(_decide(), state.schema), "flight")
+        open_ = (F.col("chance") > SURE) & (F.col("chance") < 1 - SURE) & (F.col("blocks") > 1)
         decided.append(moved.where(~open_))
-        if last:
+        if most == 1:
             break
         # a block leaves two documents, three if their sizes are equal, so the next round has a fraction of the blocks
-        most = -(-most * 3 // block)
-        state = moved.where(open_).withColumn("block", F.pmod(F.col("block"), F.lit(most)))
+        fewer = lambda n: -(-n * 3 // block)
+        most = fewer(most)
+        left = moved.where(open_).withColumn("blocks", F.ceil(F.col("blocks") * 3 / block).cast("long"))
+        state = left.withColumn("block", F.pmod(F.col("block"), F.col("blocks"))).select(state.columns)
     out = decided[0]
     for more in decided[1:]:
         out = out.unionByName(more)

@@ -190,6 +190,27 @@ def test_language(spark):
     assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in kept.collect()) == sorted([r[0] for r in rows] + [-1, 903])
 
 
+def test_number_signs_are_no_letters(spark):
+    assert language.words_of("½ ² 10 Ⅷ ①") == [] and language.words_of("A½b ²c d٣e") == ["a", "b", "c", "d", "e"]
+    docs = spark.createDataFrame([(i, "abc abd", "aa", "s", 1) for i in range(9)] + [(50, "½ ² 10", "aa", "s", 1)], SCHEMA)
+    found = {r["doc_id"]: r for r in language.identify(docs, language.learn(language.training(docs)), ["doc_id"]).collect()}
+    assert (found[50]["lang_pred"], found[50]["score"]) == ("und", 0) and found[0]["lang_pred"] == "aa"
+
+
+def test_learned_counts_equal_plain_ones(spark):
+    rng = random.Random(12)
+    rows = [(words(rng, 12, "abc"), rng.choice(["aa", "bb"])) for _ in range(60)]
+    model = language.learn(spark.createDataFrame(rows, "text string, lang string"))
+    for table, pieces in ((model.words, lambda w: [w]), (model.grams, language.grams_of)):
+        counts = {lang: collections.Counter(g for t, own in rows if own == lang for w in t.split() for g in pieces(w)) for lang in ("aa", "bb")}
+        assert table.keys() == counts["aa"].keys() | counts["bb"].keys()
+        for gram, scores in table.items():
+            alike = [g for g in table if table is model.words or len(g) == len(gram)]
+            for lang, score in zip(("aa", "bb"), scores, strict=True):
+                total = sum(counts[lang][g] for g in alike)
+                assert score == pytest.approx(math.log((counts[lang][gram] + 0.5) / (total + 0.5 * len(alike))))
+
+
 def test_language_backoff_is_longest_known_gram():
     grams = {"_a": [1.0, 2.0], "ab": [3.0, 1.0], "b_": [0.5, 0.5], "a": [9.0, 9.0], "b": [7.0, 7.0]}
     model = language.Model(["x", "y"], {"known": [-1.0, -2.0]}, grams, [-5.0, -5.0])
@@ -239,6 +260,17 @@ def test_mix(docs, rows, block):
     assert all(0 <= r["times"] <= 2 for r in found)
 
 
+def test_a_small_source_lands_beside_a_large_one(spark):
+    rng = random.Random(3)
+    text = lambda n: "w " * n
+    large = [(i, text(rng.randint(1, 60)), "en", "big", 1) for i in range(1500)]
+    small = [(5000 + i, text(rng.randint(20, 120)), "en", "tiny", 1) for i in range(120)] + [(6000, text(900), "en", "tiny", 1)]
+    found = mixing.mix(spark.createDataFrame(large + small, SCHEMA), block=200).collect()
+    for source in ("big", "tiny"):
+        own = [r for r in found if r["source"] == source]
+        assert abs(sum(r["size"] * r["times"] for r in own) - own[0]["target"]) <= 0.02 * own[0]["target"]
+
+
 def test_mixture_repeats_rows(spark, docs, rows, empty):
     taken = sum(r["times"] for r in mixing.mix(docs).collect())
     out = mixing.mixture(clashing(spark, rows))
@@ -251,7 +283,7 @@ def tokenizer():
     return pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary_path())
 
 
-ODD = [None, "", "  ", "Hello, World!  It's 12,345 o'clock", "naïve ÉCOLE straße İstanbul ΣΑΣ ς", "a" * 5000, "日本語 テキスト 🎉👩‍👩‍👧", "<|endoftext|>x<|startoftext|> <|endoftext", "é   x\x00y\x1c", "don't we'll I'M 'S", "½ ² ³ ١٢٣ Ⅷ", "ﬁ ﷺ K Å"]
+ODD = [None, "", "  ", "Hello, World!  It's 12,345 o'clock", "naïve ÉCOLE straße İstanbul ΣΑΣ ς", "a" * 5000, "日本語 テキスト 🎉👩‍👩‍👧", "<|endoftext|>x<|startoftext|> <|endoftext", "é   x\x00y\x1c", "don't we'll I'M 'S", "½ ² ³ ١٢٣ Ⅷ", "ﬁ ﷺ K Å", "\0\0!", "\0\0\0 a\0\0<|endoftext|>\0\0", "\x01\x02 \x7f\x80\x9f", "\0"]
 
 
 def test_bpe_equals_the_library(spark, tokenizer, rows):
