@@ -128,6 +128,11 @@ def printed_page(text: Column, fallback: Column) -> Column:
     )
 
 
+def _part(wide: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from ``start`` (from 0) of a text in four bytes a character: no walk from the front."""
+    return F.decode(F.substring(wide, start * 4 + 1, size * 4), "UTF-32")
+
+
 def chunk_texts(
     text: Column,
     max_chars: int = R.CHUNK_CHARS,
@@ -136,44 +141,53 @@ def chunk_texts(
 ) -> Column:
     """Overlapping chunks of one normalised page, as an array of strings.
 
-    The fold's state is the text that is still to be cut. A chunk ends after the last sentence mark
-    (or blank before a CJK character) between ``min_chars`` and ``max_chars``, or at ``max_chars``.
+    A chunk ends after the last sentence mark (or blank before a CJK character) between ``min_chars`` and
+    ``max_chars``, or at ``max_chars``; the next one starts ``overlap`` before it, at a character that is no blank.
+    The fold's state is where the next chunk starts, and the bounds of those found. A step looks at ``max_chars``
+    characters in place, so the work grows with the length of the page.
     """
     width = max_chars - min_chars + 1
     break_mark = rf"(?s)^.{{0,{max(width - 1, 0)}}}(?:[\n。！？；.!?;]| (?={R.CJK}))"
-
-    def cut(acc: Column) -> Column:
-        if width > 0:
-            head = F.regexp_extract(F.substring(acc["rest"], min_chars + 1, width + 1), break_mark, 0)
-            found = F.length(head)
-        else:
-            found = F.lit(0)
-        end = (
-            F.when(F.length(acc["rest"]) <= max_chars, F.length(acc["rest"]))
-            .when(found > 0, F.least(found + min_chars, F.length(acc["rest"])))
-            .otherwise(F.lit(max_chars))
+    # the bounds found so far are numbers, added outside of ``let``: what a fold or ``let`` returns is copied
+    packed = lambda t: F.array(F.shiftleft(t["start"].cast("long"), 32).bitwiseOR(t["end"].cast("long")))
+
+    def last_mark(wide: Column, start: Column) -> Column:
+        if width <= 0:
+            return F.lit(0)
+        return F.length(F.regexp_extract(_part(wide, start + min_chars, F.lit(width + 1)), break_mark, 0))
+
+    def cut(wide: Column, n: Column, start: Column) -> Column:
+        mark = last_mark(wide, start)
+        end = F.when(n - start <= max_chars, n).otherwise(
+            let(mark, lambda m: F.when(m > 0, F.least(start + min_chars + m, n)).otherwise(start + max_chars))
         )
-        return let(
-            end,
-            lambda e: F.struct(
-                F.when(e >= F.length(acc["rest"]), F.lit(""))
-                .otherwise(
-                    F.ltrim(F.substr(acc["rest"], F.greatest(F.lit(1), e - overlap) + 1), F.lit(R.WS_CHARS))
-                )
-                .alias("rest"),
-                F.concat(acc["pieces"], F.array(strip(F.substr(acc["rest"], F.lit(1), e)))).alias("pieces"),
+        after = lambda e: F.when(e >= n, n).otherwise(F.greatest(start + 1, e - overlap))
+        return let(end, lambda e: F.struct(after(e).alias("at"), start.alias("start"), e.alias("end")))
+
+    def step(wide: Column, n: Column, at: Column) -> Column:
+        # blanks before a chunk: a run longer than the part looked at takes steps of its own
+        ahead = _part(wide, at, F.lit(max_chars))
+        blank = F.when(at == 0, F.lit(0)).otherwise(let(ahead, lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(R.WS_CHARS)))))
+        skipped = lambda k: F.struct((at + k).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("end"))
+        return let(blank, lambda k: F.when((k >= max_chars) | (at + k >= n), skipped(k)).otherwise(cut(wide, n, at + k)))
+
+    def chunks(wide: Column) -> Column:
+        n = F.shiftright(F.length(wide), 2)
+        stride = max(1, min(min_chars + 1, max_chars) - overlap)
+        steps = F.ceil(n / stride).cast("int") + F.ceil(n / max_chars).cast("int")
+        nothing = F.struct(*[F.lit(0).alias(c) for c in ("at", "start", "end")])
+        walked = F.aggregate(
+            F.sequence(F.lit(0), steps),
+            F.struct(nothing.alias("last"), F.array().cast("array<bigint>").alias("found")),
+            lambda acc, _: F.when(acc["last"]["at"] >= n, acc).otherwise(
+                F.struct(step(wide, n, acc["last"]["at"]).alias("last"), F.concat(acc["found"], packed(acc["last"])).alias("found"))
             ),
+            lambda acc: F.concat(acc["found"], packed(acc["last"])),
         )
+        start, end = lambda b: F.shiftright(b, 32).cast("int"), lambda b: b.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        return F.transform(walked, lambda b: strip(_part(wide, start(b), end(b) - start(b))))
 
-    stride = max(1, min_chars + 1 - overlap)
-    state = F.struct(text.alias("rest"), F.array().cast("array<string>").alias("pieces"))
-    pieces = F.aggregate(
-        F.sequence(F.lit(0), F.ceil(F.length(text) / stride).cast("int")),
-        state,
-        lambda acc, _: F.when(acc["rest"] == "", acc).otherwise(cut(acc)),
-        lambda acc: acc["pieces"],
-    )
-    return F.filter(pieces, lambda p: p != "")
+    return F.filter(let(F.encode(text, "UTF-32"), chunks), lambda p: p != "")
 
 
 def excerpt(text: Column, limit: int = 420) -> Column:

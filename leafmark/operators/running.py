@@ -53,3 +53,24 @@ def _scan(points, entries, keys, pos, values, inclusive):
         .where(F.col("_side") == point_side)
         .drop("_side")
     )
+
+
+def running_fold(
+    rows: DataFrame, keys: list[str], pos: str, order: list[str], span_bits: int = SPAN_BITS, **values: tuple
+) -> DataFrame:
+    """``rows`` with running values over the rows of the same keys before each row, its own left out.
+
+    ``values`` maps a name to ``(fold, column, start)``; ``fold`` is "sum" or "max" and ``start`` stands for no rows.
+    Rows are ordered by ``pos`` (a long), then by ``order``. As above, a window holds one span of ``pos`` at most,
+    and the totals of spans are folded one level up.
+    """
+    folds = {"sum": F.sum, "max": F.max}
+    joined = {"sum": lambda a, b: a + b, "max": F.greatest}
+    cut = rows.withColumns({"_span": F.shiftright(F.col(pos).cast("long"), span_bits), **{f"_{n}": c for n, (_, c, _) in values.items()}})
+    inside = W.partitionBy(*keys, "_span").orderBy(pos, *order).rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    totals = cut.groupBy(*keys, "_span").agg(*[folds[f](f"_{n}").alias(f"_{n}") for n, (f, _, _) in values.items()])
+    carried = totals.select(*keys, "_span", *[folds[f](f"_{n}").over(before).alias(f"_c_{n}") for n, (f, _, _) in values.items()])
+    local = cut.select(*rows.columns, "_span", *[folds[f](f"_{n}").over(inside).alias(f"_l_{n}") for n, (f, _, _) in values.items()])
+    both = {n: joined[f](F.coalesce(f"_l_{n}", F.lit(s)), F.coalesce(f"_c_{n}", F.lit(s))) for n, (f, _, s) in values.items()}
+    return local.join(carried, [*keys, "_span"]).select(*rows.columns, *[c.alias(n) for n, c in both.items()])

@@ -23,7 +23,7 @@ from leafmark.plans import retrieve as RT
 from leafmark.session import fan_out, scratch_path, spread, write_table
 from leafmark.sources import files, glyphs, workbook
 from leafmark.sources.store import Library
-from leafmark.streaming import events
+from leafmark.streaming import events, imports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -663,6 +663,17 @@ def sse_parse(spark, sf_dir):
     return parsed.select("stream_id", long("frame_no"), "delta")
 
 
+@query
+def sse_stream(spark, sf_dir):
+    """The same pieces as files of a stream, in four micro-batches and no order, each stream ended by a marker."""
+    pieces = wire_pieces(spark, sf_dir)
+    ends = pieces.groupBy("stream_id").agg((F.max("seq") + 1).alias("seq"), F.lit(None).cast("string").alias("piece"))
+    feed, sink = scratch_path(spark, "feed"), scratch_path(spark, "deltas")
+    pieces.unionByName(ends).repartition(4, F.xxhash64("stream_id", "seq")).write.json(feed, ignoreNullFields=False)
+    imports.follow_answers(spark, feed, sink, scratch_path(spark, "frames"), files_per_batch=1).awaitTermination()
+    return spark.read.schema(events.FRAME_OUT).parquet(sink).select("stream_id", "frame_no", "delta")
+
+
 def chat_events(spark, sf_dir) -> DataFrame:
     """Turns as events of their conversation's answer: system turns replace, others append; the last
     turn completes, or fails in every fifth conversation."""
@@ -695,6 +706,17 @@ def chat_event_fold(spark, sf_dir):
     return events.fold_events(chat_events(spark, sf_dir)).select("message_id", "content", "status", "citations", "error")
 
 
+@query
+def chat_event_stream(spark, sf_dir):
+    """The same events as a stream of four micro-batches in no order; every message as it stands at the end."""
+    rows = chat_events(spark, sf_dir).withColumn("message_id", col("message_id").cast("string"))
+    feed, sink = scratch_path(spark, "feed"), scratch_path(spark, "messages")
+    rows.repartition(4, F.xxhash64("message_id", "seq")).write.json(feed)
+    imports.follow_messages(spark, feed, sink, scratch_path(spark, "folds"), files_per_batch=1).awaitTermination()
+    found = imports.latest_messages(spark, sink)
+    return found.select(long("message_id"), "content", "status", "citations", "error")
+
+
 # --- evaluation ------------------------------------------------------------------------------------
 
 

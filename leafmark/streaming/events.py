@@ -1,7 +1,8 @@
 """Answer events: server-sent frames to deltas, deltas and replacements to messages.
 
-The batch form works on stored pieces; the streaming form keeps the unfinished frame of every stream
-as state.
+Both have a batch form over stored rows and a streaming form with the same results: frames keep the unfinished frame
+of every stream as state and are flushed by an end marker or after a quiet time; messages keep what their events have
+said so far and are rewritten whenever an event changes them. Rows may come in any order and any split.
 """
 
 from __future__ import annotations
@@ -12,109 +13,186 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from leafmark.functions import rules as R
+from leafmark.operators.running import running_fold
 
 DELTA = "$.choices[0].delta.content"
+DONE = "[DONE]"
 
 
 def parse_frames(pieces: DataFrame) -> DataFrame:
-    """``(stream_id, seq, piece)`` to ``(stream_id, frame_no, delta)`` - one stream is one answer.
+    """``(stream_id, seq, piece)`` to ``(stream_id, frame_no, line_no, delta)`` - one stream is one answer.
+
+    Frames end at a blank line. Once a piece has completed a frame that says [DONE], later pieces are ignored; a last
+    frame without a blank line counts unless the stream was done.
 
-    Frames end at a blank line. Once a piece has completed a frame that says [DONE], later pieces are
-    ignored; a last frame without a blank line counts unless the stream was done. A piece is located by
-    its end offset in the stream, which tells the piece in which each frame was completed.
+    No stream is put together: a piece is cut where it lies. A blank line may be split between pieces, so a piece
+    needs to know whether an odd number of line ends stands right before it, and how many frames end before it. Both
+    are running values over spans of pieces. Only the parts of one frame meet.
     """
-    whole = pieces.groupBy("stream_id").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "piece"))).alias("parts")
-    )
-    running = "aggregate({0}, cast(array() as array<bigint>), (acc, x) -> concat(acc, array(coalesce(try_element_at(acc, -1), 0L) + {1})))"
-    text = whole.select(
-        "stream_id",
-        F.split(F.array_join("parts.piece", ""), "\n\n").alias("cut"),
-        F.expr(running.format("parts.piece", "length(x)")).alias("ends"),
-    )
-    # the offsets are bound once per stream: inside the inner lambda they would be summed up per frame
-    located = text.select(
-        "stream_id",
-        F.expr(
-            f"""
-            transform(array(struct({running.format("cut", "length(x) + 2")} as closes, ends)), o ->
-                transform(cut, (f, i) -> named_struct(
-                    'frame_no', i, 'frame', f, 'open', i = size(cut) - 1,
-                    'piece_no', size(filter(o.ends, e -> e < o.closes[i])))))[0]
-            """
-        ).alias("frames"),
+    rows = pieces.where("piece is not null").select("stream_id", F.col("seq").cast("long").alias("seq"), "piece")
+    body = F.length(F.rtrim("piece", F.lit("\n")))
+    placed = running_fold(rows, ["stream_id"], "seq", [], start=("sum", F.length("piece").cast("long"), 0))
+    solid = F.when(body > 0, F.col("start") + body)
+    placed = running_fold(placed, ["stream_id"], "seq", [], text_end=("max", solid, 0))
+    odd = (F.col("start") - F.col("text_end")) % 2 == 1
+    # the line end before the piece is put in front of it to find the cuts, and taken off again
+    parts = F.split(F.concat(F.when(odd, "\n").otherwise(""), "piece"), "\n\n")
+    own = F.transform(parts, lambda p, i: F.when(odd & (i == 0), F.substr(p, F.lit(2))).otherwise(p))
+    cut = placed.select("stream_id", "seq", own.alias("parts"))
+    counted = running_fold(cut, ["stream_id"], "seq", [], first=("sum", (F.size("parts") - 1).cast("long"), 0))
+    split = counted.select("stream_id", "seq", "first", F.size("parts").alias("n"), F.posexplode("parts").alias("k", "part"))
+    frames = split.groupBy("stream_id", (F.col("first") + F.col("k")).alias("frame_no")).agg(
+        F.array_join(F.array_sort(F.collect_list(F.struct("seq", "part")))["part"], "").alias("frame"),
+        F.max(F.when(F.col("k") < F.col("n") - 1, F.col("seq"))).alias("closed"),
     )
-    frames = located.select("stream_id", F.inline("frames"))
-    lines = frames.select(
-        "stream_id",
-        "frame_no",
-        "open",
-        "piece_no",
-        F.posexplode(F.split("frame", r"\r?\n")).alias("line_no", "line"),
-    ).where(F.col("line").startswith("data:"))
-    data = lines.withColumn("data", F.regexp_replace(F.substring("line", 6, 1 << 30), r"^\s+", ""))
-    done = (
-        data.where((F.col("data") == "[DONE]") & ~F.col("open"))
-        .groupBy("stream_id")
-        .agg(F.min("piece_no").alias("done_piece"))
+    lines = frames.select("stream_id", "frame_no", "closed", F.posexplode(F.split("frame", r"\r?\n")).alias("line_no", "line"))
+    data = lines.where(F.col("line").startswith("data:")).withColumn(
+        "data", F.regexp_replace(F.substring("line", 6, 1 << 30), rf"^{R.WS}+", "")
     )
+    done = data.where((F.col("data") == DONE) & F.col("closed").isNotNull()).groupBy("stream_id").agg(F.min("closed").alias("done"))
     return (
         data.join(done, "stream_id", "left")
-        .where(
-            F.col("done_piece").isNull() | (~F.col("open") & (F.col("piece_no") <= F.col("done_piece")))
-        )
+        .where(F.col("done").isNull() | (F.col("closed") <= F.col("done")))
         .select("stream_id", "frame_no", "line_no", F.get_json_object("data", DELTA).alias("delta"))
         .where(F.col("delta").isNotNull() & (F.col("delta") != ""))
     )
 
 
-FRAME_STATE = T.StructType([T.StructField("buffer", T.StringType()), T.StructField("done", T.BooleanType())])
-FRAME_OUT = "stream_id string, seq long, delta string"
+FRAME_OUT = "stream_id string, frame_no long, line_no int, delta string"
+FRAME_STATE = "buffer string, done boolean, next_seq long, frame_no long"
 
 
-def _deltas(frame: str) -> tuple[list[str], bool]:
+def _deltas(frame: str) -> tuple[list[tuple[int, str]], bool]:
+    """``(line number, text)`` of a frame's deltas, and whether it says [DONE]."""
     found, done = [], False
-    for line in frame.replace("\r\n", "\n").split("\n"):
+    for n, line in enumerate(frame.replace("\r\n", "\n").split("\n")):
         if not line.startswith("data:"):
             continue
-        data = line[5:].lstrip()
-        if data == "[DONE]":
+        data = line[5:].lstrip(R.WS_CHARS)
+        if data == DONE:
             done = True
             continue
         try:
             delta = json.loads(data)["choices"][0]["delta"]["content"]
         except (ValueError, LookupError, TypeError):
             continue
-        if delta:
-            found.append(delta)
+        if isinstance(delta, str) and delta:
+            found.append((n, delta))
     return found, done
 
 
-def _advance(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    buffer, done = state.get if state.exists else ("", False)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    out = []
-    for seq, piece in zip(rows["seq"], rows["piece"]):
-        if done:
-            break
-        *frames, buffer = (buffer + piece).split("\n\n")
+class Frames(StatefulProcessor):
+    """Frames of one stream. ``seq`` counts from 0; pieces that come early wait in state for those before them. A
+    null piece marks the end of its stream; with ``quiet_ms``, a stream that is quiet for so long is over as well,
+    whatever is missing. What was left then is read as a last frame, and pieces that come later are ignored."""
+
+    def __init__(self, quiet_ms: int | None = None):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("frames", FRAME_STATE)
+        self.early = handle.getMapState("early", "seq long", "piece string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state = self._read()
+        if state["next_seq"] < 0:
+            return
+        waiting = {k[0]: v[0] for k, v in self.early.iterator()} if self.early.exists() else {}
+        known = set(waiting)
+        for batch in rows:
+            for seq, piece in zip(batch["seq"], batch["piece"], strict=True):
+                if seq >= state["next_seq"]:
+                    waiting[int(seq)] = None if pd.isna(piece) else piece
+        out: list[tuple] = []
+        while state["next_seq"] in waiting:
+            piece = waiting.pop(state["next_seq"])
+            if piece is None:
+                self._flush(state, out)
+                break
+            self._push(state, piece, out)
+            state["next_seq"] += 1
+        over = state["next_seq"] < 0
+        for seq in known if over else known - waiting.keys():
+            self.early.removeKey((seq,))
+        if not over:
+            for seq in waiting.keys() - known:
+                self.early.updateValue((seq,), (waiting[seq],))
+        self._write(state)
+        if self.quiet_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+        if self.quiet_ms is not None and not over:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
+        yield self._rows(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, out = self._read(), []
+        waiting = {k[0]: v[0] for k, v in self.early.iterator()} if self.early.exists() else {}
+        for seq in sorted(waiting):
+            if waiting[seq] is not None:
+                self._push(state, waiting[seq], out)
+            self.early.removeKey((seq,))
+        self._flush(state, out)
+        self._write(state)
+        yield self._rows(key, out)
+
+    def close(self) -> None:
+        pass
+
+    def _read(self) -> dict:
+        buffer, done, next_seq, frame_no = self.state.get() if self.state.exists() else ("", False, 0, 0)
+        return {"buffer": buffer, "done": done, "next_seq": next_seq, "frame_no": frame_no}
+
+    def _write(self, state: dict) -> None:
+        self.state.update((state["buffer"], state["done"], state["next_seq"], state["frame_no"]))
+
+    @staticmethod
+    def _push(state: dict, piece: str, out: list) -> None:
+        if state["done"]:
+            return
+        *frames, state["buffer"] = (state["buffer"] + piece).split("\n\n")
         for frame in frames:
-            deltas, ended = _deltas(frame)
-            done = done or ended
-            out += [(key[0], int(seq), d) for d in deltas]
-    state.update((buffer, done))
-    yield pd.DataFrame(out, columns=["stream_id", "seq", "delta"])
-
-
-def stream_frames(pieces: DataFrame) -> DataFrame:
-    """Streaming form of ``parse_frames`` over ``(stream_id string, seq long, piece string)``: emits the
-    deltas of every completed frame, keeping the rest of the stream's text for its next piece."""
-    return pieces.groupBy("stream_id").applyInPandasWithState(
-        _advance, FRAME_OUT, FRAME_STATE, "append", "NoTimeout"
+            found, ended = _deltas(frame)
+            state["done"] = state["done"] or ended
+            out += [(state["frame_no"], n, d) for n, d in found]
+            state["frame_no"] += 1
+
+    @staticmethod
+    def _flush(state: dict, out: list) -> None:
+        """The rest as a last frame. A negative ``next_seq`` marks a stream that is over."""
+        if not state["done"]:
+            out += [(state["frame_no"], n, d) for n, d in _deltas(state["buffer"])[0]]
+        state["buffer"], state["next_seq"] = "", -1
+
+    @staticmethod
+    def _rows(key, out: list) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["stream_id", "frame_no", "line_no", "delta"])
+
+
+def stream_frames(pieces: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+    """Streaming form of ``parse_frames`` over ``(stream_id string, seq long, piece string)``: the deltas of every
+    frame once it is complete. Needs the RocksDB state store (:func:`use_state_store`). With ``quiet_ms`` the state
+    has timers, and the query needs a trigger that goes on without new rows."""
+    return pieces.groupBy("stream_id").transformWithStateInPandas(
+        statefulProcessor=Frames(quiet_ms),
+        outputStructType=FRAME_OUT,
+        outputMode="Append",
+        timeMode="None" if quiet_ms is None else "ProcessingTime",
     )
 
 
+def use_state_store(spark) -> None:
+    """Keyed state with timers is kept in RocksDB, for this session's streams."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+UNKNOWN_ERROR = "未知错误"
+
+
 def fold_events(events: DataFrame, part_size: int = 1000) -> DataFrame:
     """``(message_id, seq, type, delta, content, citations, error)`` to one row per message.
 
@@ -138,7 +216,7 @@ def fold_events(events: DataFrame, part_size: int = 1000) -> DataFrame:
         .agg(F.array_join(F.array_sort(F.collect_list(F.struct("run", "part")))["part"], "").alias("tail"))
     )
     said = F.concat(F.coalesce("replaced.content", F.lit("")), F.coalesce("tail", F.lit("")))
-    reason = F.coalesce("ended.error", F.lit("未知错误"))
+    reason = F.coalesce("ended.error", F.lit(UNKNOWN_ERROR))
     broken = F.when(
         said != "", F.concat(said, F.lit("\n\n[回答中断："), reason, F.lit("]"))
     ).otherwise(F.concat(F.lit("回答失败："), reason))
@@ -149,3 +227,61 @@ def fold_events(events: DataFrame, part_size: int = 1000) -> DataFrame:
         F.col("cited.citations").alias("citations"),
         F.col("ended.error").alias("error"),
     )
+
+
+MESSAGE_OUT = "message_id string, content string, status string, citations string, error string"
+EVENT_IN = "message_id string, seq long, type string, delta string, content string, citations string, error string"
+HEAD_STATE = (
+    "replaced_seq long, replaced string, cited_seq long, citations string, ended_seq long, ended string, error string"
+)
+#: what a message is before its first event
+NO_HEAD = (-1, "", -1, None, -1, None, None)
+
+
+class Messages(StatefulProcessor):
+    """One message. A state machine over the events' own numbers, so that late events find their place: the last
+    replacement with the deltas after it, the last citations and the last end. A replacement drops what it
+    overwrites from state; what an earlier replacement says later on changes nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", HEAD_STATE)
+        self.deltas = handle.getMapState("deltas", "seq long", "delta string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        replaced_seq, replaced, cited_seq, citations, ended_seq, ended, error = self.head.get() if self.head.exists() else NO_HEAD
+        stored = {k[0]: v[0] for k, v in self.deltas.iterator()} if self.deltas.exists() else {}
+        said = dict(stored)
+        for batch in rows:
+            plain = batch.astype(object).where(batch.notna(), None)
+            for e in plain.itertuples(index=False):
+                if e.type == "delta":
+                    said[int(e.seq)] = e.delta or ""
+                elif e.type == "replace" and e.seq > replaced_seq:
+                    replaced_seq, replaced = int(e.seq), e.content or ""
+                if e.type in ("sources", "complete") and e.seq > cited_seq:
+                    cited_seq, citations = int(e.seq), e.citations
+                if e.type in ("complete", "error") and e.seq > ended_seq:
+                    ended_seq, ended, error = int(e.seq), e.type, e.error
+        kept = {s: d for s, d in said.items() if s > replaced_seq}
+        for seq in stored.keys() - kept.keys():
+            self.deltas.removeKey((seq,))
+        for seq in kept.keys() - stored.keys():
+            self.deltas.updateValue((seq,), (kept[seq],))
+        self.head.update((replaced_seq, replaced, cited_seq, citations, ended_seq, ended, error))
+        content = replaced + "".join(kept[s] for s in sorted(kept))
+        if ended == "error":
+            reason = error if error is not None else UNKNOWN_ERROR
+            content = f"{content}\n\n[回答中断：{reason}]" if content else f"回答失败：{reason}"
+        row = (str(key[0]), content, ended or "streaming", citations, error)
+        yield pd.DataFrame([row], columns=["message_id", "content", "status", "citations", "error"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_messages(events: DataFrame) -> DataFrame:
+    """Streaming form of ``fold_events`` over ``EVENT_IN`` rows in any order: a message's row as it is after each
+    micro-batch that brought events of it, in update mode. Needs the RocksDB state store."""
+    return events.groupBy("message_id").transformWithStateInPandas(
+        statefulProcessor=Messages(), outputStructType=MESSAGE_OUT, outputMode="Update", timeMode="None"
+    )

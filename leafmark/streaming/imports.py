@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmark.sources.store import Library
-from leafmark.streaming.events import stream_frames
+from leafmark.streaming.events import EVENT_IN, MESSAGE_OUT, stream_frames, stream_messages, use_state_store
 
 PAGE_FEED = "document_id string, title string, kind string, sha256 string, page_number long, printed_page string, text string"
 
@@ -32,15 +32,48 @@ def follow_pages(spark: SparkSession, folder: str, library: Library, checkpoint:
     )
 
 
-def follow_answers(spark: SparkSession, folder: str, sink: str, checkpoint: str):
-    """Deltas of answer streams whose pieces arrive as JSON files ``(stream_id, seq, piece)``."""
-    pieces = spark.readStream.schema("stream_id string, seq long, piece string").json(folder)
-    return (
-        stream_frames(pieces)
+def follow_answers(spark: SparkSession, folder: str, sink: str, checkpoint: str, quiet_ms: int | None = None, files_per_batch: int | None = None):
+    """Deltas of answer streams whose pieces arrive as JSON files ``(stream_id, seq, piece)``; a null piece ends
+    its stream. The query takes what is there and stops; with ``quiet_ms`` it goes on, and streams that are cut off
+    end once they have been quiet for so long."""
+    use_state_store(spark)
+    reader = spark.readStream.schema("stream_id string, seq long, piece string")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    writer = (
+        stream_frames(reader.json(folder), quiet_ms)
         .writeStream.format("parquet")
         .option("path", sink)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
+    )
+    return (writer.trigger(availableNow=True) if quiet_ms is None else writer.trigger(processingTime="1 second")).start()
+
+
+def follow_messages(spark: SparkSession, folder: str, sink: str, checkpoint: str, files_per_batch: int | None = None):
+    """Messages folded from events that arrive as JSON files (``EVENT_IN``). Each micro-batch writes the messages it
+    changed to a folder of its own under ``sink``, so that a batch run again writes the same; :func:`latest_messages`
+    reads the state."""
+    use_state_store(spark)
+    reader = spark.readStream.schema(EVENT_IN)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return (
+        stream_messages(reader.json(folder))
+        .writeStream.foreachBatch(keep)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("update")
         .trigger(availableNow=True)
         .start()
     )
+
+
+def latest_messages(spark: SparkSession, sink: str) -> DataFrame:
+    """Every message as the last micro-batch that changed it left it."""
+    rows = spark.read.schema(f"{MESSAGE_OUT}, batch long").parquet(sink)
+    said = F.struct("content", "status", "citations", "error")
+    return rows.groupBy("message_id").agg(F.max_by(said, "batch").alias("m")).select("message_id", "m.*")

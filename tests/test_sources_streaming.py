@@ -1,8 +1,10 @@
 import io
 import json
 import os
+import random
 import struct
 import tempfile
+import time
 import zipfile
 
 import pandas as pd
@@ -234,10 +236,77 @@ def test_frames_in_batch_and_stream(spark, folder):
         spark.createDataFrame(part, "stream_id string, seq long, piece string").coalesce(1).write.mode("append").json(f"{folder}/in")
         q = imports.follow_answers(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ck")
         q.awaitTermination(120)
-    out = spark.read.parquet(f"{folder}/out").where("stream_id = 's'").orderBy("seq").collect()
+    out = spark.read.parquet(f"{folder}/out").where("stream_id = 's'").orderBy("frame_no").collect()
     assert [r.delta for r in out] == ["US", "ART1"]
 
 
+PIECES = "stream_id string, seq long, piece string"
+
+
+def plain_frames(pieces):
+    """All frames of a stream by pushing one piece after the other."""
+    state, out = {"buffer": "", "done": False, "next_seq": 0, "frame_no": 0}, []
+    for piece in pieces:
+        events.Frames._push(state, piece, out)
+    events.Frames._flush(state, out)
+    return out
+
+
+def all_splits():
+    texts = {"w": frame("US") + "event: x\r\ndata: {bad\n\n\n\n\n" + frame("ART1") + "data: [DONE]\n\n" + frame("late") + "\n"}
+    texts["o"] = frame("A") + "\n" + frame("B").rstrip("\n")
+    return {f"{name}{size}": cut(text, size) for name, text in texts.items() for size in range(1, 12)}
+
+
+def test_frames_of_any_split_and_order(spark, folder):
+    streams = all_splits()
+    want = sorted((s, *r) for s, pieces in streams.items() for r in plain_frames(pieces))
+    rows = [(s, i, p) for s, pieces in streams.items() for i, p in enumerate(pieces)]
+    assert sorted(tuple(r) for r in events.parse_frames(spark.createDataFrame(rows, PIECES)).collect()) == want
+    rows += [(s, len(pieces), None) for s, pieces in streams.items()]
+    random.Random(4).shuffle(rows)
+    for n in range(3):
+        spark.createDataFrame(rows[n::3], PIECES).coalesce(1).write.mode("append").json(f"{folder}/in", ignoreNullFields=False)
+    imports.follow_answers(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ck", files_per_batch=1).awaitTermination(200)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()) == want
+
+
+def test_quiet_streams_are_flushed(spark, folder):
+    rows = [("o", i, p) for i, p in enumerate(cut(frame("A") + frame("B").rstrip("\n"), 9)) if i != 2]
+    spark.createDataFrame(rows, PIECES).coalesce(1).write.json(f"{folder}/in")
+    query = imports.follow_answers(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ck", quiet_ms=1000)
+    want = [("o", *r) for r in plain_frames([p for _, _, p in rows])]
+    found, until = [], time.time() + 90
+    while found != want and time.time() < until:
+        time.sleep(1)
+        if os.path.isdir(f"{folder}/out/_spark_metadata"):
+            found = [tuple(r) for r in spark.read.schema(events.FRAME_OUT).parquet(f"{folder}/out").collect()]
+    query.stop()
+    assert want and found == want
+
+
+def test_a_long_stream_takes_seconds(spark):
+    one = spark.range(100_000).select(F.lit("s").alias("stream_id"), F.col("id").alias("seq"), F.expr("if(id % 5 = 4, concat(id, '\"}}]}\n\n'), if(id % 5 = 0, 'data: {\"choices\":[{\"delta\":{\"content\":\"', 'x'))").alias("piece"))
+    start = time.time()
+    assert events.parse_frames(one).agg(F.count("*"), F.max("frame_no")).first()[:] == (20_000, 19_999)
+    assert time.time() - start < 60
+
+
+def test_messages_of_any_order(spark, folder):
+    rng, rows = random.Random(9), []
+    for m in range(15):
+        for seq in range(rng.randrange(1, 9)):
+            kind = rng.choice(["delta", "delta", "delta", "replace", "sources", "complete", "error"])
+            cited = f"S{seq}" if kind in ("sources", "complete") else None
+            rows.append((f"m{m}", seq, kind, f"d{seq}" if kind == "delta" else None, f"R{seq}" if kind == "replace" else None, cited, rng.choice([None, "boom"]) if kind == "error" else None))
+    want = sorted((tuple(r) for r in events.fold_events(spark.createDataFrame(rows, events.EVENT_IN)).collect()), key=str)
+    rng.shuffle(rows)
+    for n in range(4):
+        spark.createDataFrame(rows[n::4], events.EVENT_IN).coalesce(1).write.mode("append").json(f"{folder}/in")
+    imports.follow_messages(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ck", 1).awaitTermination(200)
+    assert sorted((tuple(r) for r in imports.latest_messages(spark, f"{folder}/out").collect()), key=str) == want
+
+
 def test_streamed_import(spark, folder):
     feed = [("a", "A", "pdf", "h1", 1, "1", "first text"), ("b", "B", "pdf", "h1", 1, "1", "first text")]
     schema = imports.PAGE_FEED
