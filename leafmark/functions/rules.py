@@ -17,7 +17,8 @@ WORD = "[A-Z0-9_]"
 SUBTOKEN_SPLIT = r"[_\x{4DC0}-\x{4DFF}]+"
 
 # --- index constants (fixed values) ---
-TOKENIZER_VERSION = "2"
+# counts up when stored tokens or postings change
+TOKENIZER_VERSION = "3"
 CHUNK_CHARS = 700
 CHUNK_OVERLAP = 120
 CHUNK_MIN = 160

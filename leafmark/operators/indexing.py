@@ -55,15 +55,22 @@ def tokenized(chunks: DataFrame) -> DataFrame:
 
 
 def postings_of(chunks: DataFrame) -> DataFrame:
-    repeated = F.size(F.array_distinct("subs")) < F.size("subs")
-    counted = F.when(
-        repeated,
-        F.transform(
-            F.array_distinct("subs"),
-            lambda s: F.struct(s.alias("term"), F.size(F.filter("subs", lambda x: x == s)).alias("tf")),
-        ),
-    ).otherwise(F.transform("subs", lambda s: F.struct(s.alias("term"), F.lit(1).alias("tf"))))
-    return chunks.select("chunk_id", "document_id", "length", F.inline(counted).alias("term", "tf"))
+    """One row for each piece of a chunk: how often and where it stands among the pieces, and whether it is a search
+    term itself (``exact``). A search term that is split into pieces has a row of its own with tf 0, which only those
+    see who ask for exact terms: no piece holds a character at which terms are split."""
+    row = lambda term, at, exact: F.struct(term.alias("term"), F.size(at).alias("tf"), at.alias("positions"), exact.alias("exact"))
+    places = F.sequence(F.lit(0), F.size("subs") - 1)
+    split = F.size("tokens") != F.size(F.array_intersect("tokens", "subs"))
+    nowhere = F.array().cast("array<int>")
+    pieces = F.transform(
+        F.array_distinct("subs"),
+        lambda s: row(s, F.filter(places, lambda i: F.get("subs", i) == s), F.array_contains("tokens", s)),
+    )
+    whole = F.transform(F.array_except("tokens", "subs"), lambda t: row(t, nowhere, F.lit(True)))
+    plain = F.transform("subs", lambda s, i: row(s, F.array(i), F.lit(True)))
+    simple = ~split & (F.size("subs") == F.size("tokens"))
+    rows = F.when(simple, plain).when(F.size("subs") > 0, F.concat(pieces, whole)).otherwise(whole)
+    return chunks.select("chunk_id", "document_id", "page_number", "length", F.inline(rows))
 
 
 def build_index(pages: DataFrame, outline: DataFrame, levels: list[int]) -> SearchIndex:
@@ -85,6 +92,6 @@ def index_chunks(
         postings = write_table(
             postings_of(chunks).repartition(parts, "chunk_id").sortWithinPartitions("term"), "postings"
         )
-    term_stats = write_table(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term_stats")
+    term_stats = write_table(postings.where("tf > 0").groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term_stats")
     total, length = chunks.agg(F.count(F.lit(1)), F.sum("length")).first()
     return SearchIndex(chunks, postings, term_stats, outline, levels, total, (length or 0) / total if total else 0.0)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import rules as R
 from leafmark.functions import text as X
+from leafmark.operators.blockmax import best_chunks
 from leafmark.operators.indexing import SearchIndex
 from leafmark.operators.joins import sized_join
 from leafmark.session import fan_out, write_table
@@ -41,7 +42,8 @@ def scoped_total(index: SearchIndex, scope: list[str] | None) -> int:
 def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """Adds ``(chunk_id, document_id, length, tf)`` to a stored table with a ``term`` column.
 
-    A term the index splits (``USART1_TX``) is a phrase: its pieces must stand side by side.
+    A term the index splits (``USART1_TX``) is a phrase: its pieces must stand side by side, which the positions in
+    the postings tell; no text or token list of a chunk is read.
     """
     pieces = X.subtokens(F.col("term"))
     single = terms.where(F.size(pieces) == 1).withColumn("piece", pieces[0])
@@ -51,26 +53,22 @@ def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
     phrases = terms.where(F.size(pieces) > 1)
     if phrases.isEmpty():
         return found
-    listed = phrases.select("term").distinct().withColumn("pieces", pieces)
-    wanted = listed.select(
-        "term", F.explode(F.array_distinct("pieces")).alias("piece"), F.size(F.array_distinct("pieces")).alias("n")
-    )
-    both = (
+    listed = phrases.select("term").distinct()
+    wanted = listed.select("term", F.size(pieces).alias("width"), F.posexplode(pieces).alias("k", "piece"))
+    met = (
         sized_join(posted, wanted, ["piece"])
         .groupBy("term", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("have"), F.first("n").alias("n"))
-        .where(F.col("have") == F.col("n"))
-        .select("term", "chunk_id", X.subtokens(F.col("term")).alias("pieces"))
-    )
-    width = F.size("pieces")
-    starts = F.when(F.size("subs") >= width, F.sequence(F.lit(1), F.size("subs") - width + 1))
-    tf = F.size(F.filter(starts, lambda i: F.slice("subs", i, width) == F.col("pieces")))
-    seq = index.chunks.select("chunk_id", "document_id", "length", "subs")
-    side_by_side = (
-        sized_join(seq, write_table(both, "phrase_candidates"), ["chunk_id"])
-        .select("term", "chunk_id", "document_id", "length", tf.alias("tf"))
-        .where(F.col("tf") > 0)
+        .agg(
+            F.first("document_id").alias("document_id"),
+            F.first("length").alias("length"),
+            F.first("width").alias("width"),
+            # where the phrase would have to start for each piece to stand where it does
+            F.collect_list(F.transform("positions", lambda p: p - F.col("k"))).alias("starts"),
+        )
+        .where(F.size("starts") == F.col("width"))
     )
+    common = F.aggregate(F.slice("starts", 2, F.size("starts")), F.get("starts", F.lit(0)), lambda a, b: F.array_intersect(a, b))
+    side_by_side = met.select("term", "chunk_id", "document_id", "length", F.size(common).alias("tf")).where(F.col("tf") > 0)
     return found.unionByName(sized_join(side_by_side, phrases, ["term"]).select(*found.columns))
 
 
@@ -143,8 +141,14 @@ def bm25_candidates(
 ) -> DataFrame:
     """Best ``depth`` chunks of each term set ``(set_id, term, idf)``, or all with any of its terms.
 
-    The per-set ranking is limited inside every task before rows are shuffled by set.
+    With a ``depth``, postings are shuffled once, by chunk, and each shard passes on its best chunks of every set
+    (see ``blockmax``); the product of sets and chunks is never shuffled.
     """
+    if depth is not None:
+        best = block_max(index, set_terms, scope, depth).where(F.col("chunk_id").isNotNull())
+        scored = best.select("set_id", "chunk_id", F.round("bm25", 9).alias("bm25"))
+        w = W.partitionBy("set_id").orderBy(F.desc("bm25"), "chunk_id")
+        return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= depth)
     occ = in_scope(term_occurrences(index, set_terms), scope)
     norm = R.BM25_K1 * (1 - R.BM25_B + R.BM25_B * F.col("length") / F.lit(index.avg_length))
     part = F.col("idf") * F.col("tf") * (R.BM25_K1 + 1) / (F.col("tf") + norm)
@@ -153,8 +157,14 @@ def bm25_candidates(
         .agg(F.round(F.sum(part), 9).alias("bm25"))
     )
     w = W.partitionBy("set_id").orderBy(F.desc("bm25"), "chunk_id")
-    placed = scored.withColumn("place", F.row_number().over(w))
-    return placed if depth is None else placed.where(F.col("place") <= depth)
+    return scored.withColumn("place", F.row_number().over(w))
+
+
+def block_max(index: SearchIndex, set_terms: DataFrame, scope: list[str] | None, depth: int) -> DataFrame:
+    """Best chunks of each shard with the postings read; ``blockmax.FOUND``."""
+    asked = write_table(set_terms.select("term").distinct(), "asked_terms")
+    occurring = write_table(in_scope(term_occurrences(index, asked), scope), "asked_postings")
+    return best_chunks(occurring, set_terms, depth, index.total, R.BM25_K1, R.BM25_B, index.avg_length)
 
 
 def term_sets(

@@ -62,7 +62,8 @@ def rank_pages(
     terms = transcript_terms(transcripts, term_limit)
     weights = write_table(term_weights(index, terms, scope, least_terms, rare_share), "locate_weights")
     chunks = in_scope(index.chunks, scope)
-    on_page = chunks.select(*PAGE, F.explode("tokens").alias("term"))
+    # exact terms, not pieces of them: the postings tell which are
+    on_page = in_scope(index.postings, scope).where("exact").select(*PAGE, "term")
     matched = write_table(
         sized_join(on_page, weights, ["term"])
         .groupBy("query_id", *PAGE, "term")

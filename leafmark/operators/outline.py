@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as X
+from leafmark.operators.keywords import containing
 from leafmark.operators.running import running_max
+from leafmark.session import write_table
 
 OPEN_END = 9007199254740991
 
@@ -107,28 +109,17 @@ def toc_sections(outline: DataFrame, levels: list[int]) -> DataFrame:
 def section_matches(sections: DataFrame, keywords: DataFrame) -> DataFrame:
     """Sections whose title contains a keyword, for ``(query_id, keyword)`` rows.
 
-    Titles and keywords meet on a character gram - the keyword's first five, three or two characters,
-    as many as it has - so only titles that share a gram are compared, once per distinct word.
+    All keywords together walk once over each title (:mod:`leafmark.operators.keywords`); what is joined afterwards
+    are hits, by keyword.
     """
     asked = keywords.select("query_id", X.fold(F.col("keyword")).alias("keyword")).where(F.length("keyword") >= 2)
-    n = F.length("keyword")
-    words = asked.select("keyword").distinct().withColumn(
-        "gram", F.substr("keyword", F.lit(1), F.when(n >= 5, 5).when(n >= 3, 3).otherwise(2))
-    )
-    grams = F.expr(
-        """
-        flatten(transform(sequence(1, greatest(length(title_key) - 1, 1)), i -> array(
-            substr(title_key, i, 2), substr(title_key, i, 3), substr(title_key, i, 5))))
-        """
-    )
-    titles = sections.withColumn("title_key", X.fold(F.col("title")))
-    node = ["document_id", "seq"]
-    by_gram = titles.select(*node, F.explode(grams).alias("gram")).distinct()
-    shared = by_gram.join(words, "gram").select(*node, "keyword")
-    named = shared.join(titles.select(*node, "title_key"), node).where(F.contains("title_key", "keyword"))
-    hits = named.select(*node, "keyword").join(asked.distinct(), "keyword").select("query_id", *node).distinct()
-    return titles.join(hits, node).select(
-        "query_id", *node, F.col("page_number").alias("from_page"), F.col("end_page").alias("to_page")
+    asked = write_table(asked.distinct(), "asked_keywords")
+    titles = sections.select("document_id", "seq", "page_number", "end_page", X.fold(F.col("title")).alias("title_key"))
+    hits = containing(titles, "title_key", asked.select("keyword")).drop("title_key")
+    return (
+        hits.join(asked, "keyword")
+        .select("query_id", "document_id", "seq", F.col("page_number").alias("from_page"), F.col("end_page").alias("to_page"))
+        .distinct()
     )
 
 

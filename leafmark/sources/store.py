@@ -34,7 +34,8 @@ SCHEMAS = {
     "chunks": "attempt string, document_id string, document_title string, page_number long, printed_page string, heading string, "
     "sections array<struct<from:bigint,titles:array<string>>>, chunk_index int, text string, chunk_id string, "
     "tokens array<string>, subs array<string>, length int",
-    "postings": "attempt string, chunk_id string, document_id string, length int, term string, tf int",
+    "postings": "attempt string, chunk_id string, document_id string, page_number long, length int, term string, tf int, "
+    "positions array<int>, exact boolean",
     "removed": "attempt string, document_id string",
     "imports": "import_id string, attempt string, at long",
     "progress": "import_id string, document_id string, stage string, message string, at long",
