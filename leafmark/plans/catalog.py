@@ -21,7 +21,7 @@ from leafmark.plans import corpus as C
 from leafmark.plans import evaluate, library
 from leafmark.plans import retrieve as RT
 from leafmark.session import fan_out, scratch_path, spread, write_table
-from leafmark.sources import files, glyphs, workbook
+from leafmark.sources import files, glyphs, numbers, workbook
 from leafmark.sources.store import Library
 from leafmark.streaming import events, imports
 
@@ -171,6 +171,23 @@ def workbook_pages(spark, sf_dir):
 # --- outline -----------------------------------------------------------------------------------
 
 
+@query
+def workbook_formats(spark, sf_dir):
+    """Line items as a workbook shows them: dates, thousands, percentages and powers under format codes."""
+    rows = C.table(spark, sf_dir, "lineitem")
+    day = numbers.serial_day(col("l_shipdate"))
+    show = lambda value, code: numbers.shown_numbers(value, F.lit(code))
+    return rows.select(
+        "l_orderkey",
+        long("l_linenumber"),
+        show(day, "yyyy-mm-dd").alias("shipped"),
+        show(day, "dddd d mmm yy").alias("shipped_long"),
+        show(col("l_extendedprice").cast("double"), "#,##0.00").alias("price"),
+        show(col("l_discount"), "0%").alias("discount"),
+        show(col("l_quantity"), '000 "pcs"').alias("quantity"),
+    )
+
+
 @query
 def heading_for_page(spark, sf_dir):
     context, _, _ = C.library_base(spark, sf_dir)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as X
+from leafmark.sources.numbers import BUILT_IN, shown
 
 ROWS_PER_RUN = 10_000
 CELLS = "path string, sheet_no int, sheet_name string, row_no long, cells array<string>, error string"
@@ -88,16 +89,28 @@ def _sheet_rows(content: bytes) -> Iterator[tuple]:
             r.get("Id"): r.get("Target").lstrip("/")
             for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))
         }
-        sheets = ElementTree.fromstring(book.read("xl/workbook.xml")).findall("m:sheets/m:sheet", _NS)
+        root = ElementTree.fromstring(book.read("xl/workbook.xml"))
+        properties = root.find("m:workbookPr", _NS)
+        from_1904 = properties is not None and properties.get("date1904") in ("1", "true")
+        codes = _codes(ElementTree.fromstring(book.read("xl/styles.xml"))) if "xl/styles.xml" in names else []
+        sheets = root.findall("m:sheets/m:sheet", _NS)
         for number, sheet in enumerate(sheets, start=1):
             target = links[sheet.get(_REL)]
             yield number, sheet.get("name"), None, None
             root = ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}"))
             for row_no, row in enumerate(root.iterfind("m:sheetData/m:row", _NS)):
-                yield number, sheet.get("name"), row_no, _cells(row, shared)
+                yield number, sheet.get("name"), row_no, _cells(row, shared, codes, from_1904)
 
 
-def _cells(row, shared: list[str]) -> list[str | None]:
+def _codes(styles) -> list[str]:
+    """The number-format code of each cell style."""
+    own = {f.get("numFmtId"): f.get("formatCode") for f in styles.iterfind("m:numFmts/m:numFmt", _NS)}
+    named = [x.get("numFmtId", "0") for x in styles.iterfind("m:cellXfs/m:xf", _NS)]
+    return [own.get(n) or BUILT_IN.get(int(n), "General") for n in named]
+
+
+def _cells(row, shared: list[str], codes: list[str], from_1904: bool) -> list[str | None]:
+    """The texts a row shows: numbers, percentages and dates under the format of their cell."""
     cells: list[str | None] = []
     for cell in row.iterfind("m:c", _NS):
         place = _column(cell.get("r")) if cell.get("r") else len(cells)
@@ -112,6 +125,9 @@ def _cells(row, shared: list[str]) -> list[str | None]:
             cells.append(shared[int(value.text)])
         elif kind == "b":
             cells.append("TRUE" if value.text == "1" else "FALSE")
+        elif kind in (None, "n") and value.text:
+            style = int(cell.get("s") or 0)
+            cells.append(shown(float(value.text), codes[style] if style < len(codes) else None, from_1904))
         else:
             cells.append(value.text)
     return cells

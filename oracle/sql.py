@@ -669,6 +669,9 @@ said AS (SELECT conv_id, string_agg(text, '' ORDER BY turn) AS t FROM conversati
 SELECT conv_id AS message_id, CASE WHEN conv_id % 5 = 0 THEN CASE WHEN t <> '' THEN t || {NL} || {NL} || '[回答中断：timeout]' ELSE '回答失败：timeout' END ELSE t END AS content,
   CASE WHEN conv_id % 5 = 0 THEN 'error' ELSE 'complete' END AS status,
   CASE WHEN conv_id % 5 <> 0 THEN 'S' || (conv_id % 8) END AS citations, CASE WHEN conv_id % 5 = 0 THEN 'timeout' END AS error FROM said"""
+O["workbook_formats"] = """SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, strftime(l_shipdate, '%Y-%m-%d') AS shipped,
+  strftime(l_shipdate, '%A %-d %b %y') AS shipped_long, format('{:,.2f}', l_extendedprice::DECIMAL(18, 2)) AS price,
+  round(l_discount * 100)::BIGINT || '%' AS discount, lpad(round(l_quantity)::BIGINT::VARCHAR, 3, '0') || ' pcs' AS quantity FROM lineitem"""
 O["sse_stream"], O["chat_event_stream"] = O["sse_parse"], O["chat_event_fold"]
 _topic = trim("regexp_replace(title, '^\\s*[0-9]+(\\.[0-9]+)*\\s*', '')")
 O["eval_outline_questions"] = stmt(
