@@ -2,21 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 HOT_SHARE = 1000
 
 
+def _weight(df: DataFrame) -> Column:
+    """About the bytes of a row: texts by their length, arrays and structs by their length as JSON, others 8."""
+    parts, nested = [F.lit(8 * len(df.columns))], []
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            parts.append(F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)))
+        elif isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            nested.append(F.col(f"`{field.name}`"))
+    if nested:
+        parts.append(F.coalesce(F.octet_length(F.to_json(F.struct(*nested))), F.lit(0)))
+    return reduce(lambda a, b: a + b, [p.cast("long") for p in parts])
+
+
 def sized_join(
-    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS
+    big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Join against a stored side that is broadcast only if its counted rows stay under ``limit``.
+    """Join against a stored side that is broadcast only if its counted rows stay under ``limit`` and its measured
+    bytes under ``most``.
 
-    Above the limit both sides are shuffled and adaptive execution splits hot partitions.
+    Above either both sides are shuffled and adaptive execution splits hot partitions.
     """
-    fits = small.limit(limit + 1).count() <= limit
+    rows, size = small.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(_weight(small))).first()
+    fits = rows <= limit and (size or 0) <= most
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmark.functions import answers as A
 from leafmark.functions import query as Q
@@ -811,6 +813,30 @@ def import_progress(spark, sf_dir):
     return rows.groupBy("import_id", "stage").agg(F.count(F.lit(1)).alias("documents"))
 
 
+@query
+def import_stages(spark, sf_dir):
+    """How many documents each import had behind each stage."""
+    return changed_library(spark, sf_dir).stages().select("import_id", "stage", "documents")
+
+
+@query
+def embedding_progress(spark, sf_dir):
+    """Vectors of the changed library in four batches: what each has added, and what was there by then."""
+
+    def build():
+        lib = changed_library(spark, sf_dir)
+
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
+        def embed(text: pd.Series) -> pd.Series:
+            return text.map(lambda t: [float(len(t)), 1.0])
+
+        lib.rebuild_vectors("lengths", embed, batches=4)
+        return lib
+
+    found = C.once(spark, sf_dir, ("embedded library",), build).embedding_progress()
+    return found.select("model", long("batch"), "embedded", "indexed", "total")
+
+
 @query
 def outline_flatten(spark, sf_dir):
     """Nodes nested below the documents before them; some have no title."""

@@ -11,6 +11,7 @@ the search index is read, not computed. Vectors are built into a new folder per
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Callable
@@ -39,9 +40,24 @@ SCHEMAS = {
     "removed": "attempt string, document_id string",
     "imports": "import_id string, attempt string, at long",
     "progress": "import_id string, document_id string, stage string, message string, at long",
+    "stages": "import_id string, stage string, documents long, at long",
+    "embedding": "build string, model string, batch int, embedded long, indexed long, total long, at long",
     "meta": "key string, value string, at long",
     "vectors": "attempt string, chunk_id string, model string, dimensions int, vector array<float>",
 }
+#: what is compacted: the table, the columns it is dealt by, its order inside a file
+COMPACTED = [
+    ("documents", ["document_id"], []),
+    ("pages", ["document_id", "page_number"], []),
+    ("toc_nodes", ["document_id"], []),
+    ("chunks", ["chunk_id"], []),
+    ("postings", ["chunk_id"], ["term"]),
+    ("imports", ["import_id"], []),
+    ("progress", ["import_id", "document_id"], []),
+    ("stages", ["import_id"], []),
+    ("embedding", ["build"], []),
+]
+FILE_BYTES = 128 << 20
 #: outline levels of a document; anything else is taken as the nearest of these
 LEVELS = (1, 12)
 
@@ -49,6 +65,8 @@ LEVELS = (1, 12)
 class Library:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._seen: tuple | None = None
+        self._folders: dict[str, str] | None = None
 
     # --- tables -------------------------------------------------------------------------------
 
@@ -57,8 +75,21 @@ class Library:
         df.select(*names).write.mode("append").parquet(f"{self.root}/{folder or self._folder(name)}")
 
     def _folder(self, name: str) -> str:
-        """Chunks and postings move to new folders when they are rebuilt."""
-        return (self.meta(f"{name}_folder") or name) if name in ("chunks", "postings") else name
+        """Tables move to new folders when they are rebuilt or compacted; one row in ``meta`` names them all."""
+        if name in ("meta", "vectors"):
+            return name
+        if self._folders is None:
+            self.refresh()
+        return self._folders.get(name, name)
+
+    def refresh(self) -> None:
+        """Look up where the tables are now; done before every import, removal and read of live rows."""
+        self._folders = json.loads(self.meta("folders") or "{}")
+
+    def _publish(self, folders: dict[str, str]) -> None:
+        self.refresh()
+        self._set_meta("folders", json.dumps(self._folders | folders))
+        self._folders, self._seen = self._folders | folders, None
 
     def _empty(self, name: str) -> DataFrame:
         return self.spark.createDataFrame([], SCHEMAS[name])
@@ -72,17 +103,26 @@ class Library:
 
     def _live(self) -> DataFrame:
         """``(attempt, document_id)`` of the latest committed version of every document, if not removed."""
-        documents = self._stored("documents", "documents").select("attempt", "document_id")
-        committed = sized_join(documents, self._stored("imports", "imports").select("attempt", "at"), ["attempt"])
+        documents = self._stored(self._folder("documents"), "documents").select("attempt", "document_id")
+        committed = sized_join(documents, self._stored(self._folder("imports"), "imports").select("attempt", "at"), ["attempt"])
         latest = committed.groupBy("document_id").agg(F.max_by("attempt", F.struct("at", "attempt")).alias("attempt"))
-        return sized_join(latest, self._stored("removed", "removed"), ["attempt", "document_id"], "left_anti")
+        return sized_join(latest, self._stored(self._folder("removed"), "removed"), ["attempt", "document_id"], "left_anti")
+
+    def live(self) -> DataFrame:
+        """The live versions, stored anew only after an import, a removal or a compaction."""
+        self.refresh()
+        removed = self._stored(self._folder("removed"), "removed").count()
+        version = (self._stored(self._folder("imports"), "imports").agg(F.max("at")).first()[0], removed, str(self._folders))
+        if self._seen is None or self._seen[0] != version:
+            self._seen = version, write_table(self._live(), "live")
+        return self._seen[1]
 
     def table(self, name: str) -> DataFrame:
-        """Live rows."""
+        """Live rows, read in place."""
         rows = self._stored(self._folder(name), name)
         if "document_id" not in rows.columns or name in ("removed", "progress"):
             return rows
-        return sized_join(rows, write_table(self._live(), "live"), ["attempt", "document_id"], "left_semi")
+        return sized_join(rows, self.live(), ["attempt", "document_id"], "left_semi")
 
     def meta(self, key: str) -> str | None:
         row = self._stored("meta", "meta").where(F.col("key") == key).agg(F.max_by("value", "at")).first()
@@ -99,11 +139,20 @@ class Library:
 
     def progress(self) -> DataFrame:
         """Latest stage of every document of every import: running, imported, duplicate or failed."""
-        rows = self._stored("progress", "progress")
+        rows = self._stored(self._folder("progress"), "progress")
         return rows.groupBy("import_id", "document_id").agg(F.max_by(F.struct("stage", "message"), "at").alias("last")).select(
             "import_id", "document_id", "last.stage", "last.message"
         )
 
+    def _stage(self, import_id: str, stage: str, documents: int) -> None:
+        self._append("stages", self.spark.createDataFrame([(import_id, stage, documents, time.time_ns())], SCHEMAS["stages"]))
+
+    def stages(self) -> DataFrame:
+        """What each import has behind it: hashed, extracted, chunked, indexed, with the documents that came so far.
+        A stage that ran again after a crash counts as it ended last."""
+        rows = self._stored(self._folder("stages"), "stages")
+        return rows.groupBy("import_id", "stage").agg(F.max_by("documents", "at").alias("documents"), F.max("at").alias("at"))
+
     # --- import and removal ---------------------------------------------------------------------
 
     def is_empty(self) -> bool:
@@ -121,25 +170,33 @@ class Library:
         now: int | None = None,
         import_id: str | None = None,
         embed: tuple[str, Callable] | None = None,
+        grown: DataFrame | None = None,
     ) -> DataFrame:
         """Import documents; returns ``(document_id, status, duplicate_of, error)`` rows.
 
         A text the library holds, under whatever id, is a duplicate; another text under a known id replaces
         that document. An ``import_id`` that is committed already changes nothing and returns no rows. With
         ``embed``, ``(model, pandas UDF)``, the vectors are rebuilt afterwards; if that fails, the import
-        stands and one row tells the warning, with a null document.
+        stands and one row tells the warning, with a null document. Documents of ``grown(document_id)`` come with
+        more pages than the library holds of them: they are imported again under their own id though their text is
+        known.
         """
         stamp = int(time.time() * 1000) if now is None else now
+        self.refresh()
         import_id, attempt = import_id or uuid.uuid4().hex, uuid.uuid4().hex
         result_type = "document_id string, status string, duplicate_of string, error string"
-        if not self._stored("imports", "imports").where(F.col("import_id") == import_id).isEmpty():
+        if not self._stored(self._folder("imports"), "imports").where(F.col("import_id") == import_id).isEmpty():
             return self.spark.createDataFrame([], result_type)
         self._report(import_id, documents.select("document_id"), "running")
         mark = F.lit(attempt).alias("attempt")
         good = documents.where(F.col("error_message").isNull()) if "error_message" in documents.columns else documents
         firsts = first_copies(good.select("sha256", "document_id"), "sha256", "document_id").drop("copies")
-        held = write_table(self.table("documents").select("sha256", F.col("document_id").alias("held")), "held")
+        known = self.table("documents")
+        if grown is not None:
+            known = known.join(grown, "document_id", "left_anti")
+        held = write_table(known.select("sha256", F.col("document_id").alias("held")), "held")
         fresh = write_table(firsts.join(held, "sha256", "left_anti").select("document_id"), "fresh")
+        self._stage(import_id, "hashed", documents.count())
         new_docs = sized_join(good, fresh, ["document_id"], "left_semi")
         new_pages = sized_join(pages, fresh, ["document_id"], "left_semi")
         for size in ("width", "height"):
@@ -152,10 +209,14 @@ class Library:
         titled = sized_join(new_pages.drop("width", "height"), write_table(new_docs.select("document_id", F.col("title").alias("document_title")), "titles"), ["document_id"])
         located = titled.join(context, ["document_id", "page_number"])
         chunks = write_table(tokenized(chunk_rows(located)), "chunks")
-        self._append("chunks", chunks.select("*", mark))
-        self._append("postings", self._posted(chunks).select("*", mark))
         self._append("pages", new_pages.select("*", mark))
         self._append("toc_nodes", new_outline.select("*", mark))
+        self._stage(import_id, "extracted", fresh.count())
+        chunked = chunks.select("document_id").distinct().count()
+        self._append("chunks", chunks.select("*", mark))
+        self._stage(import_id, "chunked", chunked)
+        self._append("postings", self._posted(chunks).select("*", mark))
+        self._stage(import_id, "indexed", chunked)
         counts = new_pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("page_count"))
         result = write_table(self._status(documents, firsts, held), "import_status")
         self._append(
@@ -205,11 +266,9 @@ class Library:
     # --- search index ---------------------------------------------------------------------------
 
     def index(self) -> SearchIndex:
-        """Inverted index of the live chunks, from the stored tokens and postings."""
+        """Inverted index of the live chunks over the stored tokens and postings, which are read in place."""
         nodes = write_table(self.table("toc_nodes").drop("attempt"), "outline")
-        chunks = write_table(self.table("chunks").drop("attempt"), "live_chunks")
-        postings = self.table("postings").drop("attempt")
-        return index_chunks(chunks, nodes, outline_levels(nodes), write_table(postings, "live_postings"))
+        return index_chunks(self.table("chunks").drop("attempt"), nodes, outline_levels(nodes), self.table("postings").drop("attempt"))
 
     def ensure_search_index(self) -> bool:
         """If the stored tokens are of another tokenizer version, recompute headings, tokens and postings of
@@ -225,11 +284,35 @@ class Library:
         self._append("chunks", rebuilt, f"chunks_{stamp}")
         attempts = rebuilt.select("chunk_id", "attempt")
         self._append("postings", self._posted(rebuilt).join(attempts, "chunk_id"), f"postings_{stamp}")
-        self._set_meta("chunks_folder", f"chunks_{stamp}")
-        self._set_meta("postings_folder", f"postings_{stamp}")
+        self._publish({name: f"{name}_{stamp}" for name in ("chunks", "postings")})
         self._set_meta("search_index_version", R.TOKENIZER_VERSION)
         return True
 
+    # --- compaction -----------------------------------------------------------------------------
+
+    def _files(self, name: str) -> int:
+        """How many files of about ``FILE_BYTES`` a table's rows make."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{self._folder(name)}")
+        system = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return max(1, -(-system.getContentSummary(path).getLength() // FILE_BYTES)) if system.exists(path) else 1
+
+    def compact(self) -> dict[str, str]:
+        """Write the live rows of all tables anew, in files of about ``FILE_BYTES``, and publish the new folders by
+        one row; returns them. However many imports and removals there were, readers then open few files.
+
+        Readers that are at work keep their old folders. No import may run meanwhile: what it appends to the old
+        folders after they were read is not in the new ones.
+        """
+        stamp, folders = time.time_ns(), {}
+        self.refresh()
+        for name, by, order in COMPACTED:
+            rows = self.table(name).repartition(self._files(name), *by)
+            folders[name] = f"{name}_{stamp}"
+            self._append(name, rows.sortWithinPartitions(*order) if order else rows, folders[name])
+        folders["removed"] = f"removed_{stamp}"  # tombstones of versions that are no longer there: none is written
+        self._publish(folders)
+        return folders
+
     # --- vectors --------------------------------------------------------------------------------
 
     def vectors(self, model: str | None = None) -> DataFrame:
@@ -252,9 +335,20 @@ class Library:
             "indexed_at": int(at) if at else None,
         }
 
-    def rebuild_vectors(self, model: str, embed: Callable) -> dict:
+    def embedding_progress(self) -> DataFrame:
+        """``(build, model, batch, embedded, indexed, total)`` of the batches of all builds, in the order they ended;
+        ``indexed`` counts the vectors that were there by then."""
+        rows = self._stored(self._folder("embedding"), "embedding")
+        return rows.groupBy("build", "model", "batch").agg(
+            F.max_by(F.struct("embedded", "indexed", "total"), "at").alias("p"), F.max("at").alias("at")
+        ).select("build", "model", "batch", "p.*", "at")
+
+    def rebuild_vectors(self, model: str, embed: Callable, batches: int = 1) -> dict:
         """Embed the chunks that have no vector of ``model`` yet and publish the new set.
 
+        The chunks are dealt to ``batches`` by a hash of their id, each of which is written and reported when it
+        is done (:meth:`embedding_progress`), so that a build that breaks off keeps the batches before.
+
         ``embed`` is a pandas UDF from text to array<float>. An empty vector, mixed lengths or a missing
         chunk fails the build and leaves the published set as it is. What a broken-off build has stored is
         used by the next one.
@@ -274,8 +368,16 @@ class Library:
                 self._append("vectors", current, build)
         done = self._stored(build, "vectors").where((F.col("model") == model) & (F.col("dimensions") > 0))
         missing = chunks.join(done.select(*key), key, "left_anti")
-        fresh = missing.select(*key, F.lit(model).alias("model"), embed(text).alias("vector"))
-        self._append("vectors", fresh.withColumn("dimensions", F.size("vector")), build)
+        total, number = chunks.count(), F.conv(F.substring(F.md5("chunk_id"), 1, 6), 16, 10).cast("long") % batches
+        indexed = total - missing.count()
+        for batch in range(batches):
+            wanted = missing if batches == 1 else missing.where(number == batch)
+            fresh = write_table(wanted.select(*key, F.lit(model).alias("model"), embed(text).alias("vector")).withColumn("dimensions", F.size("vector")), "batch")
+            self._append("vectors", fresh, build)
+            embedded = fresh.count()
+            indexed += embedded
+            row = (build, model, batch, embedded, indexed, total, time.time_ns())
+            self._append("embedding", self.spark.createDataFrame([row], SCHEMAS["embedding"]))
         staged = self._stored(build, "vectors").where(F.col("model") == model).join(chunks.select(*key), key, "left_semi")
         n, low, high = staged.agg(F.count_distinct(*key), F.min("dimensions"), F.max("dimensions")).first()
         if low is None or low <= 0 or low != high:
@@ -285,7 +387,7 @@ class Library:
             raise ValueError("向量接口返回了空向量。")
         if low != high:
             raise ValueError(f"向量维度不一致：{low} / {high}。")
-        if n != chunks.count():
+        if n != total:
             raise ValueError("向量构建未完成。")
         self._set_meta("embedding_build", build)
         self._set_meta("embedding_staging", "")

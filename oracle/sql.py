@@ -725,6 +725,23 @@ UNION ALL SELECT 'second', 'duplicate', (SELECT count(*) FROM documents WHERE do
 UNION ALL SELECT 'third', 'imported', 1) WHERE documents > 0""",
     _HALVES,
 )
+_chunked = f"count(*) FILTER (WHERE {normalize('text')} <> '')"
+O["import_stages"] = stmt(
+    f"""SELECT import_id, unnest(['hashed', 'extracted', 'chunked', 'indexed']) AS stage, unnest([given, fresh, filled, filled]) AS documents FROM (
+SELECT 'first' AS import_id, (SELECT count(*) FROM documents WHERE doc_id % 2 = 0) AS given, count(*) AS fresh, {_chunked} AS filled FROM e
+UNION ALL SELECT 'second', (SELECT count(*) FROM documents WHERE doc_id % 2 = 1), count(*), {_chunked} FROM o UNION ALL SELECT 'third', 1, 1, 1)""",
+    _HALVES,
+)
+O["embedding_progress"] = stmt(
+    """SELECT 'lengths' AS model, batch, embedded, sum(embedded) OVER (ORDER BY batch)::BIGINT AS indexed, sum(embedded) OVER ()::BIGINT AS total
+FROM (SELECT b AS batch, count(chunk_id) AS embedded FROM range(4) r(b) LEFT JOIN chunk ON ('0x' || substr(md5(chunk_id), 1, 6))::BIGINT % 4 = b GROUP BY 1)""",
+    _HALVES,
+    """
+page AS (SELECT id AS document_id, 1 AS page_number, text FROM (FROM e UNION ALL FROM o) WHERE id NOT IN ('0', '1')
+    UNION ALL SELECT '1', 1, text || ' revised' FROM documents WHERE doc_id = 1),
+headed AS (SELECT document_id, page_number, NULL::VARCHAR AS heading FROM page)""",
+    CHUNK,
+)
 O["outline_flatten"] = """
 SELECT source AS document_id, seq, 'T' || doc_id AS title, len(place) AS level, doc_id + 1 AS page_number FROM (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY place) - 1 AS seq FROM (

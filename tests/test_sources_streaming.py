@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import answers as A
 from leafmark.plans import conversations as CV
-from leafmark.sources import files, glyphs
+from leafmark.sources import files, glyphs, numbers, workbook
 from leafmark.sources.store import Library
 from leafmark.streaming import events, imports
 
@@ -155,6 +155,27 @@ def one(spark, name, sha, text, title="T"):
     return docs, spark.createDataFrame([(name, 1, "1", text)], PAGES), spark.createDataFrame([], TOC)
 
 
+def test_compaction_keeps_everything_in_few_files(spark, folder):
+    lib = Library(spark, f"{folder}/lib")
+    for n in range(5):
+        lib.import_documents(*one(spark, f"d{n}", f"h{n}", f"text {n} USART1_TX"), import_id=f"i{n}")
+    lib.remove("d0")
+    names = ("documents", "pages", "toc_nodes", "chunks", "postings")
+    state = lambda of: {n: sorted(map(str, of.table(n).collect())) for n in names}
+    before, progress = state(lib), sorted(map(str, lib.progress().collect()))
+    other = Library(spark, f"{folder}/lib")
+    assert state(other) == before
+    lib.compact()
+    for reader in (lib, other, Library(spark, f"{folder}/lib")):
+        assert state(reader) == before and sorted(map(str, reader.progress().collect())) == progress
+    for name in (*names, "imports", "progress", "stages"):
+        files_ = [f for f in os.listdir(f"{folder}/lib/{lib._folder(name)}") if f.endswith(".parquet")]
+        assert len(files_) <= 1, name
+    assert lib.import_documents(*one(spark, "d1", "h1", "text 1"), import_id="i1").count() == 0
+    assert [r.status for r in other.import_documents(*one(spark, "d0", "h0", "text 0 USART1_TX"), import_id="i9").collect()] == ["imported"]
+    assert lib.table("documents").count() == 5 and lib.index().total == 5
+
+
 def test_removed_file_can_come_back(spark, folder):
     lib = Library(spark, f"{folder}/lib")
     lib.import_documents(*one(spark, "a", "h1", "first text"))
@@ -308,16 +329,109 @@ def test_messages_of_any_order(spark, folder):
 
 
 def test_streamed_import(spark, folder):
-    feed = [("a", "A", "pdf", "h1", 1, "1", "first text"), ("b", "B", "pdf", "h1", 1, "1", "first text")]
+    feed = [("a", "A", "pdf", "h1", 1, "1", "first text", None), ("b", "B", "pdf", "h1", 1, "1", "first text", None)]
     schema = imports.PAGE_FEED
     spark.createDataFrame(feed, schema).write.json(f"{folder}/in")
     lib = Library(spark, f"{folder}/lib")
     imports.follow_pages(spark, f"{folder}/in", lib, f"{folder}/ck").awaitTermination(120)
-    spark.createDataFrame([("c", "C", "pdf", "h1", 1, "1", "first text"), ("d", "D", "pdf", "h9", 1, "1", "other")], schema).write.mode("append").json(f"{folder}/in")
+    spark.createDataFrame([("c", "C", "pdf", "h1", 1, "1", "first text", 1), ("d", "D", "pdf", "h9", 1, "1", "other", 1)], schema).write.mode("append").json(f"{folder}/in")
     imports.follow_pages(spark, f"{folder}/in", lib, f"{folder}/ck").awaitTermination(120)
     assert {r.document_id for r in lib.table("documents").collect()} == {"a", "d"}
 
 
+def test_documents_are_assembled_over_micro_batches(spark, folder):
+    def page(document, sha, number, of):
+        return (document, document.upper(), "pdf", sha, number, str(number), f"{document} page {number}", of)
+
+    files_ = [
+        [page("a", "h1", 1, 3), page("b", "h2", 1, None), page("c", "h3", 1, 2)],
+        [page("a", "h1", 3, 3), page("b", "h2", 2, None), page("a", "h1", 1, 3)],
+        [page("a", "h1", 2, 3), page("d", "h1", 1, 1)],
+    ]
+    lib, log = Library(spark, f"{folder}/lib"), imports.Progress()
+    spark.streams.addListener(log)
+    seen = []
+    for rows in files_:
+        spark.createDataFrame(rows, imports.PAGE_FEED).coalesce(1).write.mode("append").json(f"{folder}/in")
+        imports.follow_pages(spark, f"{folder}/in", lib, f"{folder}/ck").awaitTermination(200)
+        found = lib.table("pages").groupBy("document_id").agg(F.sort_array(F.collect_list("page_number")).alias("p")).collect()
+        seen.append({r.document_id: r.p for r in found})
+    assert seen == [{"b": [1]}, {"b": [1, 2]}, {"a": [1, 2, 3], "b": [1, 2]}]
+    assembly = imports.Assembly(lib, f"{folder}/ck")
+    assert [(r.document_id, r.page_number) for r in assembly.waiting(2).collect()] == [("c", 1)]
+    for _ in range(2):  # a batch that is run again changes nothing
+        assembly.take(spark.createDataFrame(files_[2], imports.PAGE_FEED), 2)
+        assert lib.table("pages").count() == 5 and lib.table("documents").where("document_id = 'd'").isEmpty()
+    assembly.take(spark.createDataFrame([], imports.PAGE_FEED), 3, force=True)
+    assert lib.table("pages").where("document_id = 'c'").count() == 1 and assembly.waiting(3).isEmpty()
+    until = time.time() + 20
+    while [r[3] for r in log.rows].count("ended") < 3 and time.time() < until:
+        time.sleep(0.5)
+    spark.streams.removeListener(log)
+    events_ = [r.event for r in log.table(spark).collect()]
+    assert events_.count("started") == 3 and events_.count("ended") == 3
+    assert sum(r.input_rows for r in log.table(spark).collect()) >= 8
+
+
+def test_vectors_in_batches_are_resumed_and_reported(spark, folder):
+    lib = Library(spark, f"{folder}/lib")
+    docs = spark.createDataFrame([(f"d{i}", f"h{i}", "x.pdf", "T", "pdf") for i in range(12)], DOCS)
+    pages = spark.createDataFrame([(f"d{i}", 1, "1", f"text {i}") for i in range(12)], PAGES)
+    lib.import_documents(docs, pages, spark.createDataFrame([], TOC), import_id="one")
+    assert {r.stage: r.documents for r in lib.stages().collect()} == {"hashed": 12, "extracted": 12, "chunked": 12, "indexed": 12}
+
+    @F.pandas_udf("array<float>")
+    def broken(text: pd.Series) -> pd.Series:
+        if text.str.contains("text 7").any():
+            raise ValueError("model is down")
+        return text.map(lambda t: [1.0, 2.0])
+
+    @F.pandas_udf("array<float>")
+    def fine(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: [3.0, 4.0])
+
+    with pytest.raises(Exception):
+        lib.rebuild_vectors("m", broken, batches=4)
+    kept = lib.embedding_progress().collect()
+    assert lib.vectors("m").isEmpty() and len(kept) < 4
+    assert lib.rebuild_vectors("m", fine, batches=4)["complete"]
+    rows = lib.embedding_progress().orderBy("at").collect()
+    assert rows[-1].indexed == rows[-1].total == 12 and len({r.build for r in rows}) == 1
+    assert lib.vectors("m").where("vector[0] = 1").count() == sum(r.embedded for r in kept)
+
+
+def test_workbook_cells_are_shown_as_formatted(spark, folder):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    plain = workbook_bytes({"S": [["x"]]})
+    cells = [("1", "0.5"), ("2", "1234567.891"), ("3", "0.256"), ("4", "44197.75"), ("5", "-5"), ("6", "7"), (None, "3.10")]
+    sheet = "".join(f'<c r="{chr(65 + i)}1"' + (f' s="{s}"' if s else "") + f"><v>{v}</v></c>" for i, (s, v) in enumerate(cells))
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(plain)) as old, zipfile.ZipFile(out, "w") as z:
+        for name in old.namelist():
+            z.writestr(name, old.read(name) if "sheet1" not in name else f"<worksheet {ns}><sheetData><row r='1'>{sheet}</row></sheetData></worksheet>")
+        own = '<numFmts><numFmt numFmtId="164" formatCode="yyyy-mm-dd hh:mm"/><numFmt numFmtId="165" formatCode="0.0;(0.0)"/></numFmts>'
+        xfs = "".join(f'<xf numFmtId="{n}"/>' for n in (0, 12, 4, 9, 164, 165, 49))
+        z.writestr("xl/styles.xml", f"<styleSheet {ns}>{own}<cellXfs>{xfs}</cellXfs></styleSheet>")
+    put(folder, "f.xlsx", out.getvalue())
+    row = workbook.read_cells(files.scan(spark, folder)).where("row_no is not null").first()
+    assert row.cells == [" 1/2", "1,234,567.89", "26%", "2021-01-01 18:00", "(5.0)", "7", "3.1"]
+
+
+SHOWN = [
+    (1234.5, "General", "1234.5"), (0.1 + 0.2, None, "0.3"), (1e12, "General", "1E+12"), (1234567, "#,##0", "1,234,567"), (-1234.567, "#,##0.00", "-1,234.57"),
+    (0.2567, "0.00%", "25.67%"), (44197.75, "m/d/yy h:mm", "1/1/21 18:00"), (44197.75, "h:mm AM/PM", "6:00 PM"), (1.5, "[h]:mm:ss", "36:00:00"),
+    (-5, "#,##0 ;(#,##0)", "(5)"), (0, '0;-0;"zero"', "zero"), (12345, "0.00E+00", "1.23E+04"), (12345, "##0.0E+0", "12.3E+3"), (1.25, "# ??/??", "1  1/4 "),
+    (3, "000", "003"), (1234567, '0.0,,"M"', "1.2M"), (1.5, "[$€-407] 0.0", "€ 1.5"), (44197, "dddd, d mmmm yyyy", "Friday, 1 January 2021"),
+    (0.0423611, "mm:ss", "01:00"), (44197.5, "yyyy年m月d日", "2021年1月1日"), (150, '[>100]"big";"small"', "big"), (50, '[>100]"big";"small"', "small"),
+    (0.5, "#.##", ".5"), (2, "0.0#", "2.0"), (59, "d-mmm", "28-Feb"), (61, "d-mmm", "1-Mar"), (-0.001, "0.00", "0.00"), (7, "@", "7"), (float("nan"), "0", None),
+]
+
+
+@pytest.mark.parametrize("value,code,text", SHOWN)
+def test_format_codes(value, code, text):
+    assert numbers.shown(value, code) == text
+
+
 def test_event_fold(spark):
     rows = [
         ("m1", 1, "delta", "a", None, None, None), ("m1", 2, "replace", None, "R", None, None),
