@@ -13,10 +13,9 @@ it is later than all components, which for all but the shortest texts is after o
 Bands of five components give the candidates; with 20 bands a pair of similarity 0.8 shares a band with
 probability 0.9996. Texts with the same multiset are one node, so copies cost nothing. In every bucket the
 member that shares most buckets with others is the hub. All members are compared with the hub, exactly and on
-whole texts. A member that isn't linked to the hub can only be linked to another member of the star (a) if both
-have a shingle that exceeds the hub's count, or (b) if the other one is so small that what both share with the
-hub suffices; those pairs, and no others, are found by joins on such shingles and on size bins, and compared. Members
-of several common stars meet in one of them, that of the heaviest hub, from which they differ least.
+whole texts. Members that aren't linked to the hub may be linked to other members of the star. That is found from
+where each differs from what most members of the star have: members close to that are linked by the triangle
+inequality, and any other link has differences in common, by which members meet, the rarest first (:func:`_in_groups`).
 So a group of thousands of near copies costs one comparison each, not one for each pair, and no link is lost.
 
 Defined results: a null text is an empty one; texts without words are copies of each other. Rows with null ids
@@ -28,16 +27,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import IS_SPACE, keep_rows, mix, slices, stored, table_of, text_bytes, text_keys
 from leafmark.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: members with a difference in common that are compared pair by pair; more of them are a group
+FEW = 16
 BANDS, ROWS = 20, 5
 U = np.uint64
 BYTES = table_of(11)
@@ -193,7 +196,7 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlap and sizes of each pair; what of the second text exceeds the first, as (code, occurrence) hashes."""
+    """Overlap and sizes of each pair, and the elements, (code, occurrence) hashes, that only one of the texts has."""
     last: tuple = (None, None)
     for batch in batches:
         for part in slices(batch, "b_text"):
@@ -207,14 +210,21 @@ def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     (x, m), (y, n) = last[1], _bag(b_texts[i].as_py() or "")
                     at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
                     held = np.where(x[at] == y, m[at], 0) if len(x) else np.zeros(len(y), np.int64)
-                    extra = n - np.minimum(held, n)
-                    first = np.repeat(np.minimum(held, n), extra)
-                    step = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra)
-                    more = mix(np.repeat(y, extra) + (first + step).astype(np.uint64) * U(P))
-                    for kept, value in zip(out, (int(m.sum()), int(n.sum()), int(np.minimum(held, n).sum()), more.view(np.int64)), strict=True):
-                        kept.append(value)
+                    place = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+                    kept = np.where(y[place] == x, n[place], 0) if len(y) else np.zeros(len(x), np.int64)
+                    apart = np.concatenate((_beyond(y, n, held), _beyond(x, m, kept)))
+                    for column, value in zip(out, (int(m.sum()), int(n.sum()), int(np.minimum(held, n).sum()), apart.view(np.int64)), strict=True):
+                        column.append(value)
             arrays = [part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "a_n", "b_n", "shared", "extra"])
+            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "a_n", "b_n", "shared", "apart"])
+
+
+def _beyond(codes: np.ndarray, counts: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Elements of a bag beyond those of another one, which holds each code ``held`` times."""
+    first = np.minimum(held, counts)
+    more = counts - first
+    step = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    return mix(np.repeat(codes, more) + (np.repeat(first, more) + step).astype(np.uint64) * U(P))
 
 
 def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -223,7 +233,7 @@ def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b"
     )
     rows = both.select("a", "b", "a_text", "b_text").mapInArrow(
-        _compare_rows, "a string, b string, a_n long, b_n long, shared long, extra array<long>"
+        _compare_rows, "a string, b string, a_n long, b_n long, shared long, apart array<long>"
     )
     return rows.withColumn("linked", _alike(F.col("shared"), F.col("a_n"), F.col("b_n")))
 
@@ -237,44 +247,70 @@ def _node():
     return F.concat(F.lpad(F.hex("f1"), 16, "0"), F.lpad(F.hex("f2"), 16, "0"))
 
 
-def _member_pairs(star: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
-    """The pairs of members of one star, one of them not linked to the hub, that can be links at all.
+def _members(star: DataFrame) -> DataFrame:
+    """``(g, b, n, apart)``: members of the stars in which some member isn't linked to the hub, with the elements by
+    which they and the hub differ."""
+    open_ = star.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.min("linked").alias("all_linked")).where("size > 1 and not all_linked")
+    some = star.where("b_n > 0").join(open_.select("a"), "a")
+    return some.select(F.xxhash64("a").alias("g"), "b", F.col("b_n").alias("n"), "apart")
+
 
-    A member's top is the heaviest hub of its stars. Members with the same top meet in the star of that one only.
+def _in_groups(members: DataFrame, codes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One level: links that follow from distances, pairs to compare, and ``members`` and ``codes`` of the next level.
+
+    ``codes(g, b, code)`` says where a member differs from its group's reference. The reference is moved to what
+    most members have. With d differences and n shingles, two members are linked if and only if their differences d,
+    d' and the number o of common ones satisfy (9 d - n) + (9 d' - n') <= 18 o. If that holds with o = 0, both are
+    linked to the member of the least 9 d - n, and to find that takes one comparison of numbers each. Other links
+    have so many common differences that the rarest differences of both must meet in one; members that have one in
+    common are compared pair by pair if they are ``FEW`` at most, and are a group of the next level otherwise, in
+    which they have one difference less from their reference.
     """
-    label = labels.select(F.col("node").alias("b"), "component")
-    weighed = stored(star.join(hubs, "a").drop("extra"), "weighed_stars")
-    tops = weighed.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("top")).select("b", F.col("top.a").alias("top"))
-    facts = weighed.join(tops, "b").join(label, "b", "left").select("a", "b", "top", F.coalesce("component", "b").alias("component"))
-    members = stored(star.join(facts, ["a", "b"]).select("a", "b", "top", "b_n", "shared", "extra", "linked", "component"), "members")
-    here = lambda x, y: (F.col(x) != F.col(y)) | (F.col(x) == F.col("a"))
-    loose = members.where(~F.col("linked"))
-    # (a) a common shingle in excess of the hub; only where a star's members of several components have it
-    codes = members.select("a", "b", "top", "component", "linked", F.explode("extra").alias("code"))
-    wanted = stored(
-        codes.groupBy("a", "code").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("linked").alias("all_linked"), F.min("top").alias("low"), F.max("top").alias("high"))
-        .where("lo <> hi and not all_linked and (low <> high or low = a)").select("a", "code"),
-        "wanted",
-    )
-    held = stored(codes.join(wanted, ["a", "code"]), "held")
-    one = held.where(~F.col("linked")).select("a", "code", F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("top").alias("x_top"))
-    by_code = one.join(held.select("a", "code", F.col("b").alias("y"), "component", "top"), ["a", "code"]).where(
-        (F.col("x") != F.col("y")) & (F.col("x_component") != F.col("component")) & here("x_top", "top")
-    )
-    # (b) sizes: 9 * least(shared) >= 4 * (n + n'); bins of a fortieth of a doubling
-    bin_of = lambda n: F.floor(F.log2(n) * 40)
-    most = F.floor((F.col("shared") * 9 - F.col("b_n") * 4) / 4)
-    ranged = loose.where((most >= 1) & (most * 5 >= F.col("b_n") * 4)).select(
-        "a", F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("top").alias("x_top"), F.col("shared").alias("x_shared"), F.col("b_n").alias("x_n"),
-        F.explode(F.sequence(bin_of(F.greatest(F.ceil(F.col("b_n") * 0.8), F.lit(1))), bin_of(most))).alias("bin"),
-    )
-    others = members.where("b_n > 0").select("a", F.col("b").alias("y"), "component", "top", "shared", "b_n", bin_of(F.col("b_n")).alias("bin"))
-    by_size = ranged.join(others, ["a", "bin"]).where(
-        (F.col("x") != F.col("y")) & (F.col("x_component") != F.col("component")) & here("x_top", "top")
-        & _alike(F.least("x_shared", "shared"), F.col("x_n"), F.col("b_n"))
-    )
-    pairs = by_code.select("x", "y").unionByName(by_size.select("x", "y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).select("a", "b")
+    size = members.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    flips = codes.groupBy("g", "code").agg(F.count(F.lit(1)).alias("c")).join(size, "g").where(F.col("c") * 2 > F.col("size")).select("g", "code")
+    moved = codes.unionByName(members.select("g", "b").join(flips, "g").select("g", "b", "code"))
+    apart = stored(moved.groupBy("g", "b", "code").agg(F.count(F.lit(1)).alias("c")).where("c = 1").select("g", "b", "code"), "apart")
+    counts = apart.groupBy("g", "b").agg(F.count(F.lit(1)).alias("d"))
+    keyed = members.join(counts, ["g", "b"], "left").withColumn("d", F.coalesce("d", F.lit(0))).withColumn("key", F.col("d") * 9 - F.col("n"))
+    keyed = stored(keyed, "distances")
+    least = keyed.groupBy("g").agg(F.min(F.struct("key", "b")).alias("least"))
+    near = stored(keyed.join(least, "g").join(labels.select(F.col("node").alias("b"), "component"), "b", "left"), "near")
+    direct = near.where((F.col("key") + F.col("least.key") <= 0) & (F.col("b") != F.col("least.b"))).select(F.col("b").alias("u"), F.col("least.b").alias("v"))
+    need = F.greatest(F.ceil((F.col("key") + F.col("least.key")) / 18), F.lit(1))
+    prefix = near.select("g", "b", F.coalesce("component", "b").alias("component"), (F.col("d") - need + 1).alias("prefix")).where("prefix > 0")
+    often = apart.groupBy("g", "code").agg(F.count(F.lit(1)).alias("often"))
+    ranked = apart.join(often, ["g", "code"]).join(prefix, ["g", "b"])
+    place = F.row_number().over(W.partitionBy("g", "b").orderBy("often", "code"))
+    probe = stored(ranked.withColumn("place", place).where("place <= prefix and often > 1").select("g", "b", "code", "component"), "probe")
+    met = probe.groupBy("g", "code").agg(
+        F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("b")).alias("who")
+    ).where("size > 1 and lo <> hi")
+    # the same members may have many differences in common: they meet once
+    met = stored(met.groupBy("g", "who", "size").agg(F.min("code").alias("code")), "met")
+    few = probe.join(met.where(F.col("size") <= FEW).select("g", "code"), ["g", "code"])
+    other = few.select("g", "code", F.col("b").alias("y"), F.col("component").alias("y_component"))
+    pairs = few.join(other, ["g", "code"]).where((F.col("b") < F.col("y")) & (F.col("component") != F.col("y_component"))).select(F.col("b").alias("a"), F.col("y").alias("b"))
+    many = probe.join(met.where(F.col("size") > FEW).select("g", "code"), ["g", "code"]).select("g", "b", F.xxhash64("g", "code").alias("next"))
+    many = stored(many, "many")
+    deeper = many.join(keyed.select("g", "b", "n"), ["g", "b"]).select(F.col("next").alias("g"), "b", "n")
+    deeper_codes = many.join(apart, ["g", "b"]).select(F.col("next").alias("g"), "b", "code")
+    return direct, pairs, deeper, deeper_codes
+
+
+def _further(star: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links between members of one star that need no comparison, and the other pairs that can be links."""
+    found = stored(_members(star), "apart_from_hub")
+    members, codes = found.select("g", "b", "n"), found.select("g", "b", F.explode("apart").alias("code"))
+    links, pairs = [], []
+    while True:
+        direct, some, members, codes = _in_groups(members, codes, labels)
+        links.append(stored(direct, "direct"))
+        pairs.append(stored(some.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).select("a", "b"), "some_pairs"))
+        members, codes = stored(members, "next_members"), stored(codes, "next_codes")
+        if members.isEmpty():
+            break
+    both = reduce(DataFrame.unionByName, pairs)
+    return reduce(DataFrame.unionByName, links), both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).select("a", "b")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -300,11 +336,11 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = stored(_compared(pairs, texts), "star")
     links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = stored(components(links), "components")
-    second = _compared(stored(_member_pairs(first, labels, hubs.select(F.col("hub.node").alias("a"), F.col("hub.weight").alias("weight")).distinct()), "more_pairs"), texts).where("linked")
-    second = stored(second.select(F.col("a").alias("u"), F.col("b").alias("v")), "more_links")
+    direct, more = _further(first, labels)
+    second = _compared(more, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    second = stored(second.unionByName(direct), "more_links")
     if not second.isEmpty():
-        joined = links.unionByName(second)
-        labels = stored(components(joined), "components")
+        labels = stored(components(links.unionByName(second)), "components")
     return rows, labels
 
 
