@@ -9,6 +9,7 @@ from oracle.sql import ORACLES
 
 TABLES = "documents embeddings pages benchmark labels conversations lineitem".split()
 NAMES = ["library_list", "doc_dedup", "toc_parents", "toc_sections", "search_terms_cjk", "bm25_phrase", "retrieve_citations_cjk", "page_match_top8", "vector_topk", "sse_parse"]
+NAMES += ["sse_stream", "chat_event_stream", "workbook_formats", "import_stages", "embedding_progress", "section_match", "bm25_topk"]
 
 
 def rows(columns, data):
