@@ -147,6 +147,32 @@ def test_star_loses_no_link(spark):
     assert {r["doc_id"]: r["class_id"] for r in found} == want
 
 
+@pytest.mark.parametrize("few", [2, 16])
+def test_members_meet_around_what_most_have(spark, few, monkeypatch):
+    """Edited copies of a base that is not there, most of them too far from each other, families with edits of
+    their own inside, and closer pairs."""
+    monkeypatch.setattr(bagminhash, "FEW", few)
+    rng = random.Random(11)
+    base = words(rng, 200).split()
+
+    def edited(text, n, name):
+        out = list(text)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"{name}x{at}"
+        return out
+
+    texts = [edited(base, rng.choice([3, 4, 5, 6]), f"c{k}") for k in range(60)]
+    for family in range(3):
+        own = edited(base, 7, f"f{family}")
+        texts += [edited(own, rng.choice([1, 2, 3]), f"m{family}y{k}") for k in range(8)]
+    texts += [base[: 200 - n] for n in (4, 12, 25, 31)] + [base + words(rng, n).split() for n in (9, 30, 60)]
+    rows = [(i, " ".join(t), "en", "a", 1) for i, t in enumerate(texts)]
+    found = bagminhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    want = {i: min(ids) for ids in classes(rows).values() for i in ids}
+    assert {r["doc_id"]: r["class_id"] for r in found} == want
+    assert 3 < len(set(want.values())) < len(rows)
+
+
 def test_drop_near_duplicates_keeps_columns(spark, rows):
     out = bagminhash.drop_near_duplicates(clashing(spark, rows))
     assert out.columns == clashing(spark, rows[:1]).columns
