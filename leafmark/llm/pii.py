@@ -55,7 +55,7 @@ SPELLED = {w: str(i) for i, w in enumerate("zero one two three four five six sev
 
 UNHIDE = re.compile(f"[{HIDDEN}]")
 LETTER_DIGIT = re.compile(r"(?<=[0-9])[OolI]+(?=[0-9])")
-BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
+BRACKETED = re.compile(r"[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.I)
 DOT_NEXT = r"(?=[A-Za-z0-9-]+(?:\s+dot\s|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]|\.[A-Za-z0-9-]+\s+dot\s))"
 AT_WORD = re.compile(rf"(?<=[A-Za-z0-9])\s+at\s+{DOT_NEXT}", re.I)
 DOT_WORD = re.compile(r"(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])", re.I)
@@ -134,29 +134,43 @@ FINDERS = {"email": emails, "ip": ips, "card": cards, "phone": phones}
 
 def edits_of(text: str) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with look-alikes replaced (same length), and the edits that change lengths, in order."""
-    edits: dict[int, tuple[int, int, str]] = {}
+    hidden: list[tuple[int, int, str]] = []
     if not text.isascii():
         text = text.translate(HOMOGLYPHS)
-        edits |= {m.start(): (m.start(), m.end(), "") for m in UNHIDE.finditer(text)}
+        hidden = [(m.start(), m.end(), "") for m in UNHIDE.finditer(text)]
     text = LETTER_DIGIT.sub(lambda m: "".join("0" if c in "Oo" else "1" for c in m.group()), text)
     low = text.lower()
     found: list[tuple[int, int, str]] = []
     if any(c in text for c in "[({<"):
-        found += [(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "@") else ".") for m in BRACKETED.finditer(text)]
+        found += bracketed(text)
     if "dot" in low:
         found += [(m.start(), m.end(), "@") for m in AT_WORD.finditer(text)]
         found += [(m.start(), m.end(), ".") for m in DOT_WORD.finditer(text)]
     if any(w in low for w in SPELLED) or "plus" in low:
         found += spoken_digits(text)
-    end = 0
+    edits, end, at = [], 0, 0
     for s, e, to in sorted(found, key=lambda x: (x[0], -x[1])):
         if s >= end:
-            inside = [k for k in edits if s <= k < e]
-            for k in inside:
-                del edits[k]
-            edits[s] = (s, e, to)
+            while at < len(hidden) and hidden[at][0] < s:
+                edits.append(hidden[at])
+                at += 1
+            while at < len(hidden) and hidden[at][0] < e:  # goes with what it is hidden in
+                at += 1
+            edits.append((s, e, to))
             end = e
-    return text, [edits[k] for k in sorted(edits)]
+    return text, edits + hidden[at:]
+
+
+def bracketed(text: str) -> list[tuple[int, int, str]]:
+    """Edits for an at or dot in brackets with the blanks around it, found from the bracket to both sides."""
+    out, end = [], 0
+    for m in BRACKETED.finditer(text):
+        start = m.start()
+        while start > end and text[start - 1].isspace():
+            start -= 1
+        end = m.end()
+        out.append((start, end, "@" if m.group(1).lower() in ("at", "@") else "."))
+    return out
 
 
 def spoken_digits(text: str) -> list[tuple[int, int, str]]:
