@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafmark.functions import text as X
 from leafmark.operators.indexing import SearchIndex
 from leafmark.operators.joins import sized_join
+from leafmark.operators.keywords import containing
 from leafmark.session import write_table
 
 # wording that marks a title as not worth asking about (fixed values)
@@ -37,7 +38,8 @@ def containing_pages(index: SearchIndex, passages: DataFrame, pages: DataFrame)
     """``(query_id, document_id, page_number)`` of every page whose text contains ``(query_id, question)``.
 
     Candidates are the pages that hold the rarest term of the passage without its first and last word, which
-    may be parts of longer words in the page; a passage without such a term is compared with no page.
+    may be parts of longer words in the page. Passages without such a term are looked for in all pages, all of them
+    in one walk over each page.
     """
     inner = F.regexp_replace("question", r"^\s*\S+\s|\s\S+\s*$", " ")
     terms = passages.select("query_id", F.explode(X.search_terms(inner)).alias("term")).where(F.size(X.subtokens(F.col("term"))) == 1)
@@ -47,7 +49,12 @@ def containing_pages(index: SearchIndex, passages: DataFrame, pages: DataFrame)
     placed = held.join(index.chunks.select("chunk_id", "document_id", "page_number"), "chunk_id")
     near = write_table(placed.select("query_id", "document_id", "page_number").distinct(), "near_pages")
     whole = sized_join(pages, near, ["document_id", "page_number"]).join(passages, "query_id")
-    return whole.where(F.contains("text", F.col("question"))).select("query_id", "document_id", "page_number")
+    found = whole.where(F.contains("text", F.col("question"))).select("query_id", "document_id", "page_number")
+    bare = write_table(passages.join(rarest, "query_id", "left_anti").where(F.length("question") > 0).select("query_id", F.col("question").alias("keyword")), "bare_passages")
+    if bare.isEmpty():
+        return found
+    walked = containing(pages.select("document_id", "page_number", "text"), "text", bare.select("keyword")).drop("text")
+    return found.unionByName(walked.join(bare, "keyword").select(found.columns))
 
 
 def page_match_rate(truth: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafmark.operators import blockmax, indexing, keywords, lexical
+from leafmark.plans import evaluate
 from leafmark.session import write_table
 
 CHUNKS = "chunk_id string, document_id string, page_number long, document_title string, heading string, text string"
@@ -122,3 +123,13 @@ def test_automaton_finds_every_keyword(spark):
     for chars in (1 << 20, 30):
         assert sorted(tuple(r) for r in keywords.containing(df, "t", asked, chars).collect()) == want
     assert keywords.containing(df, "t", asked.where("false")).collect() == []
+
+
+def test_truth_holds_passages_of_any_kind(spark):
+    index = library(spark)
+    pages = index.chunks.groupBy("document_id", "page_number").agg(F.array_join(F.sort_array(F.collect_list("text")), "\n").alias("text"))
+    asked = ["GPIO", "USART1_TX", "x_", "TX", "mode GPIO", "模式", "nowhere", "", "clock ADC mode", "USART1_TX A_A_B", "C"]
+    passages = spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")
+    got = sorted(tuple(r) for r in evaluate.containing_pages(index, passages, pages).collect())
+    want = sorted((q, p.document_id, p.page_number) for p in pages.collect() for q, text in enumerate(asked) if text and text in p.text)
+    assert got == want and len({q for q, *_ in got}) >= 7
