@@ -247,12 +247,28 @@ def _node():
     return F.concat(F.lpad(F.hex("f1"), 16, "0"), F.lpad(F.hex("f2"), 16, "0"))
 
 
-def _members(star: DataFrame) -> DataFrame:
-    """``(g, b, n, apart)``: members of the stars in which some member isn't linked to the hub, with the elements by
-    which they and the hub differ."""
-    open_ = star.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.min("linked").alias("all_linked")).where("size > 1 and not all_linked")
-    some = star.where("b_n > 0").join(open_.select("a"), "a")
-    return some.select(F.xxhash64("a").alias("g"), "b", F.col("b_n").alias("n"), "apart")
+def _members(star: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``(g, a, b, n, top, apart)``: members of the stars in which some pair is still open, with the elements by which
+    they and the hub differ.
+
+    A member's top is the heaviest hub of its stars; members of one top meet in the star of that one only, so a star
+    whose members all have one other top is left out. A member that is linked to the hub stays if sizes leave open that
+    it is linked to one that isn't: with d and d' differences from the hub, they have at least d' - d from each other.
+    """
+    facts = star.where("b_n > 0").select("a", "b", F.col("b_n").alias("n"), "linked", (F.col("a_n") + F.col("b_n") - 2 * F.col("shared")).alias("d"))
+    tops = facts.join(hubs, "a").groupBy("b").agg(F.max(F.struct("weight", "a")).alias("top")).select("b", F.col("top.a").alias("top"))
+    facts = stored(facts.join(tops, "b"), "facts")
+    far, near = F.col("d") * 9 - F.col("n"), F.col("d") * 9 + F.col("n")
+    stars = facts.groupBy("a").agg(
+        F.count(F.lit(1)).alias("size"),
+        F.min("linked").alias("all_linked"),
+        F.min("top").alias("low"),
+        F.max("top").alias("high"),
+        F.min(F.when(~F.col("linked"), far)).alias("nearest"),
+    ).where("size > 1 and not all_linked and (low <> high or low = a)")
+    asked = facts.join(stars.select("a", "nearest"), "a").where(~F.col("linked") | (near >= F.col("nearest")))
+    kept = asked.select("a", "b", "n", "top")
+    return star.select("a", "b", "apart").join(kept, ["a", "b"]).select(F.xxhash64("a").alias("g"), "a", "b", "n", "top", "apart")
 
 
 def _in_groups(members: DataFrame, codes: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -277,30 +293,37 @@ def _in_groups(members: DataFrame, codes: DataFrame, labels: DataFrame) -> tuple
     near = stored(keyed.join(least, "g").join(labels.select(F.col("node").alias("b"), "component"), "b", "left"), "near")
     direct = near.where((F.col("key") + F.col("least.key") <= 0) & (F.col("b") != F.col("least.b"))).select(F.col("b").alias("u"), F.col("least.b").alias("v"))
     need = F.greatest(F.ceil((F.col("key") + F.col("least.key")) / 18), F.lit(1))
-    prefix = near.select("g", "b", F.coalesce("component", "b").alias("component"), (F.col("d") - need + 1).alias("prefix")).where("prefix > 0")
+    prefix = near.select("g", "a", "b", "top", F.coalesce("component", "b").alias("component"), (F.col("d") - need + 1).alias("prefix")).where("prefix > 0")
     often = apart.groupBy("g", "code").agg(F.count(F.lit(1)).alias("often"))
     ranked = apart.join(often, ["g", "code"]).join(prefix, ["g", "b"])
     place = F.row_number().over(W.partitionBy("g", "b").orderBy("often", "code"))
-    probe = stored(ranked.withColumn("place", place).where("place <= prefix and often > 1").select("g", "b", "code", "component"), "probe")
+    probe = stored(ranked.withColumn("place", place).where("place <= prefix and often > 1").select("g", "a", "b", "top", "code", "component"), "probe")
     met = probe.groupBy("g", "code").agg(
-        F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("b")).alias("who")
-    ).where("size > 1 and lo <> hi")
+        F.count(F.lit(1)).alias("size"),
+        F.min("component").alias("lo"),
+        F.max("component").alias("hi"),
+        F.min("top").alias("low"),
+        F.max("top").alias("high"),
+        F.min("a").alias("a"),
+        F.bit_xor(F.xxhash64("b")).alias("who"),
+    ).where("size > 1 and lo <> hi and (low <> high or low = a)")
     # the same members may have many differences in common: they meet once
     met = stored(met.groupBy("g", "who", "size").agg(F.min("code").alias("code")), "met")
     few = probe.join(met.where(F.col("size") <= FEW).select("g", "code"), ["g", "code"])
-    other = few.select("g", "code", F.col("b").alias("y"), F.col("component").alias("y_component"))
-    pairs = few.join(other, ["g", "code"]).where((F.col("b") < F.col("y")) & (F.col("component") != F.col("y_component"))).select(F.col("b").alias("a"), F.col("y").alias("b"))
+    other = few.select("g", "code", F.col("b").alias("y"), F.col("component").alias("y_component"), F.col("top").alias("y_top"))
+    here = (F.col("top") != F.col("y_top")) | (F.col("top") == F.col("a"))
+    pairs = few.join(other, ["g", "code"]).where((F.col("b") < F.col("y")) & (F.col("component") != F.col("y_component")) & here).select(F.col("b").alias("a"), F.col("y").alias("b"))
     many = probe.join(met.where(F.col("size") > FEW).select("g", "code"), ["g", "code"]).select("g", "b", F.xxhash64("g", "code").alias("next"))
     many = stored(many, "many")
-    deeper = many.join(keyed.select("g", "b", "n"), ["g", "b"]).select(F.col("next").alias("g"), "b", "n")
+    deeper = many.join(keyed.select("g", "a", "b", "n", "top"), ["g", "b"]).select(F.col("next").alias("g"), "a", "b", "n", "top")
     deeper_codes = many.join(apart, ["g", "b"]).select(F.col("next").alias("g"), "b", "code")
     return direct, pairs, deeper, deeper_codes
 
 
-def _further(star: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _further(star: DataFrame, labels: DataFrame, hubs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Links between members of one star that need no comparison, and the other pairs that can be links."""
-    found = stored(_members(star), "apart_from_hub")
-    members, codes = found.select("g", "b", "n"), found.select("g", "b", F.explode("apart").alias("code"))
+    found = stored(_members(star, hubs), "apart_from_hub")
+    members, codes = found.drop("apart"), found.select("g", "b", F.explode("apart").alias("code"))
     links, pairs = [], []
     while True:
         direct, some, members, codes = _in_groups(members, codes, labels)
@@ -336,7 +359,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = stored(_compared(pairs, texts), "star")
     links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = stored(components(links), "components")
-    direct, more = _further(first, labels)
+    direct, more = _further(first, labels, hubs.select(F.col("hub.node").alias("a"), F.col("hub.weight").alias("weight")).distinct())
     second = _compared(more, texts).where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     second = stored(second.unionByName(direct), "more_links")
     if not second.isEmpty():
