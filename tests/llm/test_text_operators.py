@@ -148,11 +148,9 @@ def test_star_loses_no_link(spark):
     assert {r["doc_id"]: r["class_id"] for r in found} == want
 
 
-@pytest.mark.parametrize("few", [2, 16])
-def test_members_meet_around_what_most_have(spark, few, monkeypatch):
+def test_edited_copies_of_an_absent_base(spark):
     """Edited copies of a base that is not there, most of them too far from each other, families with edits of
     their own inside, and closer pairs."""
-    monkeypatch.setattr(bagminhash, "FEW", few)
     rng = random.Random(11)
     base = words(rng, 200).split()
 
