@@ -36,9 +36,10 @@ def join_present(sep: str, *parts: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC through the ICU library Spark ships; ASCII text is returned as it is."""
+    """Unicode NFKC through the ICU library Spark ships; text of characters that it leaves alone, in any order, is
+    returned as it is (``rules.NFKC_STABLE``: ASCII and the Latin letters with accents)."""
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
+    return F.when(text.rlike(f"[^{R.NFKC_STABLE}]"), composed).otherwise(text)
 
 
 def fold(text: Column) -> Column:
@@ -51,16 +52,19 @@ def search_terms(text: Column) -> Column:
     A word of one letter is dropped, a single digit is kept; a CJK run of one character stands for
     itself.
     """
-    folded = fold(text)
+    return folded_terms(fold(text))
+
+
+def folded_terms(folded: Column) -> Column:
+    """``search_terms`` of folded text; it is used several times, so let it be a column."""
     words = F.regexp_extract_all(folded, F.lit(rf"{R.WORD}{{2,}}|[0-9]"), F.lit(0))
     pairs = F.regexp_extract_all(
         folded,
         F.lit(rf"(?=((?<!{R.CJK}){R.CJK}(?!{R.CJK})|{R.CJK}{{2}}))"),
         F.lit(1),
     )
-    return F.array_distinct(
-        F.when(folded.rlike(R.CJK), F.concat(words, pairs)).otherwise(words)
-    )
+    cjk = folded.rlike(r"[^\x00-\xFF]") & folded.rlike(R.CJK)  # the first test is the cheaper one
+    return F.array_distinct(F.when(cjk, F.concat(words, pairs)).otherwise(words))
 
 
 def subtokens(term: Column) -> Column:
@@ -110,24 +114,41 @@ def entity_tokens(text: Column) -> Column:
     return F.array_distinct(bounded_matches(fold(text), R.ENTITY))
 
 
+def _holds_any(text: Column, marks: list[str]) -> Column:
+    found = F.contains(text, F.lit(marks[0]))
+    for mark in marks[1:]:
+        found = found | F.contains(text, F.lit(mark))
+    return found
+
+
 def normalize_page_text(text: Column) -> Column:
-    text = F.regexp_replace(text, r"\x00", "")
-    text = F.regexp_replace(text, r"[ \t]+\n", "\n")
-    text = F.regexp_replace(text, r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(text, r"[ \t]{2,}", " "))
+    cleaned = text
+    for pattern, new in [(r"\x00", ""), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"[ \t]{2,}", " ")]:
+        cleaned = F.regexp_replace(cleaned, pattern, new)
+    # a text in which no pattern can begin to match is not walked by them
+    marks = ["\x00", " \n", "\t\n", "\n\n\n", "  ", "\t\t", " \t", "\t "]
+    return strip(F.when(_holds_any(text, marks), cleaned).otherwise(text))
 
 
 def printed_page(text: Column, fallback: Column) -> Column:
     found = [
-        rf"页{R.WS}*([0-9]+){R.WS}*/{R.WS}*[0-9]+",
-        rf"([0-9]+){R.WS}*/{R.WS}*[0-9]+",
-        rf"(?:第{R.WS}*)?([0-9]+){R.WS}*页",
+        (rf"页{R.WS}*([0-9]+){R.WS}*/{R.WS}*[0-9]+", ["页", "/"]),
+        (rf"([0-9]+){R.WS}*/{R.WS}*[0-9]+", ["/"]),
+        (rf"(?:第{R.WS}*)?([0-9]+){R.WS}*页", ["页"]),
     ]
     return F.coalesce(
-        *[non_empty(F.regexp_extract(text, p, 1)) for p in found], fallback.cast("string")
+        # a text without the pattern's fixed characters is not walked by it
+        *[F.when(_holds_all(text, marks), non_empty(F.regexp_extract(text, p, 1))) for p, marks in found], fallback.cast("string")
     )
 
 
+def _holds_all(text: Column, marks: list[str]) -> Column:
+    found = F.contains(text, F.lit(marks[0]))
+    for mark in marks[1:]:
+        found = found & F.contains(text, F.lit(mark))
+    return found
+
+
 def _part(wide: Column, start: Column, size: Column) -> Column:
     """``size`` characters from ``start`` (from 0) of a text in four bytes a character: no walk from the front."""
     return F.decode(F.substring(wide, start * 4 + 1, size * 4), "UTF-32")
@@ -165,9 +186,9 @@ def chunk_texts(
         return let(end, lambda e: F.struct(after(e).alias("at"), start.alias("start"), e.alias("end")))
 
     def step(wide: Column, n: Column, at: Column) -> Column:
-        # blanks before a chunk: a run longer than the part looked at takes steps of its own
-        ahead = _part(wide, at, F.lit(max_chars))
-        blank = F.when(at == 0, F.lit(0)).otherwise(let(ahead, lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(R.WS_CHARS)))))
+        # blanks before a chunk: a run longer than the part looked at takes steps of its own; most chunks begin without
+        blanks = lambda size: let(_part(wide, at, size), lambda x: F.length(x) - F.length(F.ltrim(x, F.lit(R.WS_CHARS))))
+        blank = F.when(at == 0, F.lit(0)).otherwise(let(blanks(F.lit(4)), lambda k: F.when(k < 4, k).otherwise(blanks(F.lit(max_chars)))))
         skipped = lambda k: F.struct((at + k).alias("at"), F.lit(0).alias("start"), F.lit(0).alias("end"))
         return let(blank, lambda k: F.when((k >= max_chars) | (at + k >= n), skipped(k)).otherwise(cut(wide, n, at + k)))
 

@@ -47,12 +47,12 @@ def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """
     pieces = X.subtokens(F.col("term"))
     single = terms.where(F.size(pieces) == 1).withColumn("piece", pieces[0])
-    posted = index.postings.withColumnRenamed("term", "piece")
-    found = sized_join(posted, single, ["piece"]).select(*terms.columns, "chunk_id", "document_id", "length", "tf")
+    found = sized_join(index.occurrences.withColumnRenamed("term", "piece"), single, ["piece"]).select(*terms.columns, "chunk_id", "document_id", "length", "tf")
 
     phrases = terms.where(F.size(pieces) > 1)
     if phrases.isEmpty():
         return found
+    posted = index.postings.withColumnRenamed("term", "piece")
     listed = phrases.select("term").distinct()
     wanted = listed.select("term", F.size(pieces).alias("width"), F.posexplode(pieces).alias("k", "piece"))
     met = (
@@ -85,8 +85,8 @@ def document_frequency(index: SearchIndex, terms: DataFrame, scope: list[str] |
             .agg(F.count(F.lit(1)).alias("df_all"), F.count("within").alias("df"))
         )
     pieces = plain.select("term", X.subtokens(F.col("term"))[0].alias("piece"))
-    known = sized_join(index.term_stats.withColumnRenamed("term", "piece"), pieces, ["piece"])
-    counts = known.select("term", F.col("df").alias("df_all"), "df")
+    known = index.frequency_of(pieces.select(F.col("piece").alias("term"))).withColumnRenamed("term", "piece")
+    counts = known.join(pieces, "piece").select("term", F.col("df").alias("df_all"), "df")
     if complex_.isEmpty():
         return counts
     stored = write_table(complex_, "phrase_terms")

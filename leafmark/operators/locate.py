@@ -63,7 +63,7 @@ def rank_pages(
     weights = write_table(term_weights(index, terms, scope, least_terms, rare_share), "locate_weights")
     chunks = in_scope(index.chunks, scope)
     # exact terms, not pieces of them: the postings tell which are
-    on_page = in_scope(index.postings, scope).where("exact").select(*PAGE, "term")
+    on_page = in_scope(index.occurrences, scope).where("exact").select(*PAGE, "term")
     matched = write_table(
         sized_join(on_page, weights, ["term"])
         .groupBy("query_id", *PAGE, "term")

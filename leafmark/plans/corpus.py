@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from leafmark.functions import rules as R
 from leafmark.functions import text as X
 from leafmark.operators.dedup import first_copies
-from leafmark.operators.indexing import SearchIndex, build_index
+from leafmark.operators.indexing import SearchIndex, build_index, chunk_rows, tokenized
 from leafmark.operators.outline import outline_levels, page_context
 from leafmark.session import spread, write_table
 
@@ -145,6 +145,13 @@ def contextual_pages(spark: SparkSession, sf_dir: str, annotated: bool = False)
     )
 
 
+def chunks_of(spark: SparkSession, sf_dir: str, annotated: bool = False) -> DataFrame:
+    """Tokenised chunks that are read once: those of the index if this session has it, else not stored, so that a
+    reader of texts or keys pays for no tokens."""
+    stored = _STORED.get((spark.sparkContext.applicationId, *_stamp(spark, sf_dir), "index", annotated))
+    return stored.chunks if stored else tokenized(chunk_rows(contextual_pages(spark, sf_dir, annotated)))
+
+
 def index_of(spark: SparkSession, sf_dir: str, annotated: bool = False) -> SearchIndex:
     def build():
         _, outline, levels = library_base(spark, sf_dir)

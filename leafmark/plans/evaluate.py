@@ -42,12 +42,11 @@ def containing_pages(index: SearchIndex, passages: DataFrame, pages: DataFrame)
     in one walk over each page.
     """
     inner = F.regexp_replace("question", r"^\s*\S+\s|\s\S+\s*$", " ")
-    terms = passages.select("query_id", F.explode(X.search_terms(inner)).alias("term")).where(F.size(X.subtokens(F.col("term"))) == 1)
-    known = terms.join(index.term_stats, "term")
+    terms = write_table(passages.select("query_id", F.explode(X.search_terms(inner)).alias("term")).where(F.size(X.subtokens(F.col("term"))) == 1), "inner_terms")
+    known = terms.join(index.frequency_of(terms), "term")
     rarest = write_table(known.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("least")).select("query_id", "least.term"), "rarest")
-    held = sized_join(index.postings.select("term", "chunk_id"), rarest, ["term"])
-    placed = held.join(index.chunks.select("chunk_id", "document_id", "page_number"), "chunk_id")
-    near = write_table(placed.select("query_id", "document_id", "page_number").distinct(), "near_pages")
+    held = sized_join(index.occurrences.select("term", "document_id", "page_number"), rarest, ["term"])
+    near = write_table(held.select("query_id", "document_id", "page_number").distinct(), "near_pages")
     whole = sized_join(pages, near, ["document_id", "page_number"]).join(passages, "query_id")
     found = whole.where(F.contains("text", F.col("question"))).select("query_id", "document_id", "page_number")
     bare = write_table(passages.join(rarest, "query_id", "left_anti").where(F.length("question") > 0).select("query_id", F.col("question").alias("keyword")), "bare_passages")
