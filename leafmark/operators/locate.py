@@ -13,6 +13,7 @@ from leafmark.functions import text as X
 from leafmark.operators.indexing import SearchIndex
 from leafmark.operators.joins import sized_join
 from leafmark.operators.lexical import document_frequency, in_scope, scoped_total
+from leafmark.operators.products import page_scores
 from leafmark.session import write_table
 
 PAGE = ["document_id", "page_number"]
@@ -62,16 +63,8 @@ def rank_pages(
     terms = transcript_terms(transcripts, term_limit)
     weights = write_table(term_weights(index, terms, scope, least_terms, rare_share), "locate_weights")
     chunks = in_scope(index.chunks, scope)
-    # exact terms, not pieces of them: the postings tell which are
-    on_page = in_scope(index.occurrences, scope).where("exact").select(*PAGE, "term")
-    matched = write_table(
-        sized_join(on_page, weights, ["term"])
-        .groupBy("query_id", *PAGE, "term")
-        .agg(F.first("weight").alias("weight"))
-        .groupBy("query_id", *PAGE)
-        .agg(F.sum("weight").alias("matched")),
-        "matched_pages",
-    )
+    # exact terms, not pieces of them; only what may be among the best of a query leaves a task
+    matched = write_table(page_scores(weights, chunks.select(*PAGE, "tokens"), PAGE, limit), "matched_pages")
     # fewer than ``limit`` matched pages: the rest is found among the first ``2 * limit`` pages of all
     asked = weights.select("query_id").distinct()
     short = asked.join(matched.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left")
