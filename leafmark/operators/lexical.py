@@ -18,6 +18,7 @@ from leafmark.functions import text as X
 from leafmark.operators.blockmax import best_chunks
 from leafmark.operators.indexing import SearchIndex
 from leafmark.operators.joins import sized_join
+from leafmark.operators.products import blocks_of, hit_arrays
 from leafmark.session import fan_out, write_table
 
 
@@ -130,10 +131,12 @@ def select_terms(
 @dataclass(frozen=True)
 class LexicalHits:
     """``lists``: (query_id, set_id, weight, chunk_id, score, rank), the ranked list of each term set;
-    ``chunks``: the chunk rows these lists refer to."""
+    ``chunks``: the chunk rows these lists refer to. Without a limit, ``hits`` has what the lists are made of, not
+    ranked: (query_id, set_id, chunk_id, text, bm25, covered, first), ``first`` once for a question's chunk."""
 
     lists: DataFrame
     chunks: DataFrame
+    hits: DataFrame | None = None
 
 
 def bm25_candidates(
@@ -226,6 +229,42 @@ def section_ratio(text: Column, keywords: Column) -> Column:
     return F.when(F.size(kept) > 0, hits / F.size(kept)).otherwise(F.lit(0.0))
 
 
+def every_hit(index: SearchIndex, wanted: DataFrame, scope: list[str] | None) -> DataFrame:
+    """``LexicalHits.hits`` for stored ``wanted(query_id, set_id, picked)``: every chunk with a term of a set. The
+    product of sets and chunks is made and read inside a task, never shuffled or stored."""
+    spark, kinds, found = wanted.sparkSession, {f.name: f.dataType.simpleString() for f in wanted.schema.fields}, None
+    rows = wanted.select("query_id", "set_id", "picked.term", F.transform("picked.term", X.subtokens), "picked.idf")
+    for block in blocks_of(rows, "query_id"):
+        block.sort(key=lambda r: (r[0], r[1]))
+        numbers = spark.createDataFrame([(n, r[0], r[1]) for n, r in enumerate(block)], f"list_no int, query_id {kinds['query_id']}, set_id long")
+        lists = [(n, *r[:1], *r[2:]) for n, r in enumerate(block)]
+        arrays = hit_arrays(in_scope(index.chunks, scope), lists, R.BM25_K1, R.BM25_B, index.avg_length)
+        part = arrays.select("chunk_id", "text", F.inline("hits")).join(F.broadcast(numbers), "list_no").drop("list_no")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        found = spark.createDataFrame([], f"chunk_id string, text string, bm25 double, covered int, first boolean, query_id {kinds['query_id']}, set_id long")
+    return found.withColumn("bm25", F.round("bm25", 9))
+
+
+def _every_list(index, sets, per_set, keywords, scope) -> LexicalHits:
+    info = sets.groupBy("query_id", "set_key").agg(F.sum("weight").alias("weight"), F.min("variant_no").alias("variant_no"))
+    wanted = write_table(info.join(per_set, "set_key").drop("set_key"), "wanted_sets")
+    hits = every_hit(index, wanted, scope)
+    best = hits.groupBy("set_id").agg(F.max("bm25").alias("best"))
+    about = wanted.select("query_id", "set_id", "weight", "variant_no", F.size("picked").alias("chosen"))
+    rows = hits.join(F.broadcast(about), ["query_id", "set_id"]).join(F.broadcast(best), "set_id").join(keywords, "query_id")
+    score = (
+        0.35 * F.col("bm25") / F.greatest("best", F.lit(R.EPSILON))
+        + 0.25 * F.col("covered") / F.col("chosen")
+        + 0.2 * phrase_ratio(F.col("text"), F.col("keywords"))
+        + 0.2 * section_ratio(F.col("text"), F.col("keywords"))
+    )
+    scored = rows.select("query_id", "set_id", "variant_no", "weight", "chunk_id", "bm25", F.round(score, 9).alias("score"))
+    w = W.partitionBy("query_id", "set_id").orderBy(F.desc("score"), F.desc("bm25"), "chunk_id")
+    lists = scored.withColumn("rank", F.row_number().over(w)).select("query_id", "set_id", "variant_no", "weight", "chunk_id", "score", "rank")
+    return LexicalHits(lists, in_scope(index.chunks, scope).drop("subs", "length"), hits)
+
+
 def search(
     index: SearchIndex,
     looked_up: DataFrame,
@@ -245,6 +284,8 @@ def search(
     sets = write_table(term_sets(index, looked_up, scope, term_limit, rare_share), "term_sets")
     depth = None if limit is None else max(limit * 4, 120)
     per_set = numbered_sets(sets)
+    if depth is None:
+        return _every_list(index, sets, per_set, keywords, scope)
     candidates = write_table(
         bm25_candidates(index, set_term_rows(per_set), scope, depth), "candidates"
     )

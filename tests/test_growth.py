@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import rules as R
 from leafmark.functions import text as X
-from leafmark.operators import indexing
+from leafmark.operators import indexing, lexical, products
 from leafmark.plans import corpus
+from leafmark.session import write_table
 
 
 def plan_of(df):
@@ -35,3 +36,29 @@ def test_stable_characters_are_what_nfkc_leaves_alone(spark):
     rows = spark.createDataFrame([("".join(stable),), ("a\u0301 \ufb01 \u00bd",), ("\u00e9t\u00e9",)], "t string")
     got = [r[0] for r in rows.select(X.nfkc(F.col("t"))).collect()]
     assert got == [unicodedata.normalize("NFKC", r.t) for r in rows.collect()] and R.NFKC_STABLE
+
+
+def test_every_hit_is_made_without_a_shuffle(spark):
+    from test_search_structures import library
+
+    index = library(spark)
+    variants = [(1, 0, 1.0, ["USART1_TX", "GPIO", "A_A"]), (1, 1, 0.5, ["GPIO", "MODE"]), (2, 0, 1.0, ["A", "_", "CLOCK", "X_"])]
+    looked = write_table(spark.createDataFrame(variants, "query_id long, variant_no int, weight double, terms array<string>"), "looked")
+    keywords = spark.createDataFrame([(1, ["GPIO", "MODE"]), (2, ["CLOCK"])], "query_id long, keywords array<string>")
+    every = lexical.search(index, looked, keywords, limit=None, term_limit=None, rare_share=None)
+    deep = lexical.search(index, looked, keywords, limit=1000, term_limit=None, rare_share=None)
+    rows = lambda found: sorted((r.query_id, r.variant_no, r.chunk_id, round(r.score, 6), r.rank) for r in found.lists.collect())
+    assert rows(every) == rows(deep) and len(rows(every)) > 100
+    assert every.hits.where("first").count() == every.hits.select("query_id", "chunk_id").distinct().count()
+    plan = plan_of(every.hits)
+    assert "Aggregate" not in plan and "Repartition" not in plan
+
+
+def test_pages_of_equal_score_stay_in_page_order(spark):
+    weights = spark.createDataFrame([(1, "A", 1.0), (1, "B", 0.5), (2, "B", 2.0)], "query_id long, term string, weight double")
+    rows = [("d", n, ["A", "B"] if n == 700 else ["A"] if n % 2 else ["C", "A"]) for n in range(1500)] + [("d", 9, ["B"])]
+    chunks = spark.createDataFrame(rows, "document_id string, page_number long, tokens array<string>").repartition(3)
+    found = products.page_scores(weights, chunks, ["document_id", "page_number"], 3).collect()
+    best = lambda q: [(r.page_number, r.matched) for r in sorted((r for r in found if r.query_id == q), key=lambda r: (-r.matched, r.page_number))[:3]]
+    assert best(1) == [(9, 1.5), (700, 1.5), (0, 1.0)] and best(2) == [(9, 2.0), (700, 2.0)]
+    assert len(found) < 60
