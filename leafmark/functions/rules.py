@@ -13,9 +13,6 @@ WS_CHARS = (
 CJK_SET = r"\x{3400}-\x{9FFF}"
 CJK = f"[{CJK_SET}]"
 WORD = "[A-Z0-9_]"
-# characters that NFKC leaves as they are and that do not combine with each other; below U+0100 only, because Java
-# looks such a class up in a table of bits and walks others range by range
-NFKC_STABLE = r"\x00-\x7F\xC0-\xFF"
 # characters inside search tokens at which the full-text index splits again
 SUBTOKEN_SPLIT = r"[_\x{4DC0}-\x{4DFF}]+"
 

@@ -36,10 +36,9 @@ def join_present(sep: str, *parts: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode NFKC through the ICU library Spark ships; text of characters that it leaves alone, in any order, is
-    returned as it is (``rules.NFKC_STABLE``: ASCII and the Latin letters with accents)."""
+    """Unicode NFKC through the ICU library Spark ships; ASCII text is returned as it is."""
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.when(text.rlike(f"[^{R.NFKC_STABLE}]"), composed).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
 
 
 def fold(text: Column) -> Column:
@@ -63,8 +62,7 @@ def folded_terms(folded: Column) -> Column:
         F.lit(rf"(?=((?<!{R.CJK}){R.CJK}(?!{R.CJK})|{R.CJK}{{2}}))"),
         F.lit(1),
     )
-    cjk = folded.rlike(r"[^\x00-\xFF]") & folded.rlike(R.CJK)  # the first test is the cheaper one
-    return F.array_distinct(F.when(cjk, F.concat(words, pairs)).otherwise(words))
+    return F.array_distinct(F.when(folded.rlike(R.CJK), F.concat(words, pairs)).otherwise(words))
 
 
 def subtokens(term: Column) -> Column:
