@@ -13,11 +13,13 @@ it is later than all components, which for all but the shortest texts is after o
 Bands of five components give the candidates; with 20 bands a pair of similarity 0.8 shares a band with
 probability 0.9996. Texts with the same multiset are one node, so copies cost nothing. In every bucket the
 member that shares most buckets with others is the hub. All members are compared with the hub, exactly and on
-whole texts. A member that isn't linked to the hub can only be linked to another member of the star (a) if both
-have a shingle that exceeds the hub's count, or (b) if the other one is so small that what both share with the
-hub suffices; those pairs, and no others, are found by joins on such shingles and on size bins, and compared. Members
-of several common stars meet in one of them, that of the heaviest hub, from which they differ least.
-So a group of thousands of near copies costs one comparison each, not one for each pair, and no link is lost.
+whole texts. The middle of a star is the hub as most members have it. A member that isn't linked to the hub can only
+be linked to another member of the star (a) if both have enough common shingles that exceed the middle's count, or
+(b) if what both share with the middle suffices. Members for which (b) is open are first compared with a few members
+nearest to the middle; who is in one class by then needs no more comparison. The other pairs, and no others, are found
+by joins on the rarest shingles of (a) and on size bins, and compared. Members of several common stars meet in one of
+them, that of the heaviest hub. So a group of thousands of near copies costs a few comparisons each, not one for each
+pair, and no link that changes a class is lost.
 
 Defined results: a null text is an empty one; texts without words are copies of each other. Rows with null ids
 take part; the class is named by its least id, null only if all its ids are. Empty tables give empty results;
@@ -32,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from leafmark.llm.common import IS_SPACE, keep_rows, mix, slices, stored, table_of, text_bytes, text_keys
@@ -39,6 +42,8 @@ from leafmark.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
+#: members near the middle of a star that those not linked to its hub are compared with first
+CENTRES = 8
 U = np.uint64
 BYTES = table_of(11)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -192,38 +197,46 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return code, weight
 
 
-def _compare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlap and sizes of each pair; what of the second text exceeds the first, as (code, occurrence) hashes."""
-    last: tuple = (None, None)
-    for batch in batches:
-        for part in slices(batch, "b_text"):
-            a_ids, b_ids = part.column(0).to_pylist(), part.column(1).to_pylist()
-            a_texts, b_texts = part.column(2), part.column(3)
-            out: tuple[list, ...] = ([], [], [], [])
-            with np.errstate(over="ignore"):
-                for i in range(part.num_rows):
-                    if last[0] != a_ids[i]:
-                        last = (a_ids[i], _bag(a_texts[i].as_py() or ""))
-                    (x, m), (y, n) = last[1], _bag(b_texts[i].as_py() or "")
-                    at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
-                    held = np.where(x[at] == y, m[at], 0) if len(x) else np.zeros(len(y), np.int64)
-                    extra = n - np.minimum(held, n)
-                    first = np.repeat(np.minimum(held, n), extra)
-                    step = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra)
-                    more = mix(np.repeat(y, extra) + (first + step).astype(np.uint64) * U(P))
-                    for kept, value in zip(out, (int(m.sum()), int(n.sum()), int(np.minimum(held, n).sum()), more.view(np.int64)), strict=True):
-                        kept.append(value)
-            arrays = [part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "a_n", "b_n", "shared", "extra"])
-
-
-def _compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def _beyond(x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[int, np.ndarray]:
+    """How many occurrences the bags (x, m) and (y, n) share, and (code, occurrence) hashes of those that only y has."""
+    at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
+    held = np.minimum(np.where(x[at] == y, m[at], 0) if len(x) else np.zeros(len(y), np.int64), n)
+    extra = n - held
+    step = np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra)
+    return int(held.sum()), mix(np.repeat(y, extra) + (np.repeat(held, extra) + step).astype(np.uint64) * U(P)).view(np.int64)
+
+
+def _compare_rows(differences: bool):
+    """Overlap and sizes of each pair; with ``differences`` also what only the second and only the first text has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in batches:
+            for part in slices(batch, "b_text"):
+                a_ids, a_texts, b_texts = part.column(0).to_pylist(), part.column(2), part.column(3)
+                out: tuple[list, ...] = ([], [], [], [], [])
+                with np.errstate(over="ignore"):
+                    for i in range(part.num_rows):
+                        if last[0] != a_ids[i]:
+                            last = (a_ids[i], _bag(a_texts[i].as_py() or ""))
+                        (x, m), (y, n) = last[1], _bag(b_texts[i].as_py() or "")
+                        shared, extra = _beyond(x, m, y, n)
+                        missing = _beyond(y, n, x, m)[1] if differences else None
+                        for kept, value in zip(out, (int(m.sum()), int(n.sum()), shared, extra if differences else None, missing), strict=True):
+                            kept.append(value)
+                arrays = [part.column(0), part.column(1), *(pa.array(x, pa.int64()) for x in out[:3]), *(pa.array(x, pa.list_(pa.int64())) for x in out[3:])]
+                yield pa.RecordBatch.from_arrays(arrays, ["a", "b", "a_n", "b_n", "shared", "extra", "missing"])
+
+    return run
+
+
+def _compared(pairs: DataFrame, texts: DataFrame, differences: bool = False) -> DataFrame:
     """``pairs(a, b)`` with sizes, overlap and link flag; ``texts(node, text)``."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(
         texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b"
     )
     rows = both.select("a", "b", "a_text", "b_text").mapInArrow(
-        _compare_rows, "a string, b string, a_n long, b_n long, shared long, extra array<long>"
+        _compare_rows(differences), "a string, b string, a_n long, b_n long, shared long, extra array<long>, missing array<long>"
     )
     return rows.withColumn("linked", _alike(F.col("shared"), F.col("a_n"), F.col("b_n")))
 
@@ -237,44 +250,99 @@ def _node():
     return F.concat(F.lpad(F.hex("f1"), 16, "0"), F.lpad(F.hex("f2"), 16, "0"))
 
 
-def _member_pairs(star: DataFrame, labels: DataFrame, hubs: DataFrame) -> DataFrame:
-    """The pairs of members of one star, one of them not linked to the hub, that can be links at all.
+def _middle(star: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Members of the stars in which links can be missing, seen from the middle of their star.
 
-    A member's top is the heaviest hub of its stars. Members with the same top meet in the star of that one only.
+    The middle is the hub without the occurrences that most members lack and with those that most add, so what the hub
+    alone has or lacks is no difference of the others. ``held`` counts the occurrences of a member that are in the
+    middle, ``extra`` lists the others. A member's top is the heaviest hub of its stars.
     """
+    tops = star.select("a", "b").join(hubs, "a").groupBy("b").agg(F.max(F.struct("weight", "a")).alias("top")).select("b", F.col("top.a").alias("top"))
+    sizes = star.groupBy("a").agg(F.count(F.lit(1)).alias("size"), F.min("linked").alias("all_linked"), F.min("b_n").alias("least_n"))
+    some = stored(star.join(sizes.where("size > 1 and not all_linked").drop("all_linked"), "a").join(tops, "b"), "open_stars")
+    nothing = F.array().cast("array<bigint>")
+
+    def most(column: str) -> DataFrame:
+        """What more than half of a star's members have: twice as many as a member has on average, at most."""
+        held = some.select("a", "size", F.explode(column).alias("code")).groupBy("a", "code").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
+        return held.where("n * 2 > size").groupBy("a").agg(F.collect_list("code").alias(f"most_{column}"))
+
+    given = F.array_except(F.coalesce("most_missing", nothing), "missing")
+    more = F.array_except("extra", F.coalesce("most_extra", nothing))
+    seen = some.join(most("extra"), "a", "left").join(most("missing"), "a", "left").withColumn("given", given).withColumn("more", more)
+    held = F.col("shared") - F.size("given") + F.size("extra") - F.size("more")
+    return stored(seen.select("a", "b", "top", "b_n", "linked", "least_n", held.alias("held"), F.concat("more", "given").alias("extra")), "members")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     label = labels.select(F.col("node").alias("b"), "component")
-    weighed = stored(star.join(hubs, "a").drop("extra"), "weighed_stars")
-    tops = weighed.groupBy("b").agg(F.max(F.struct("weight", "a")).alias("top")).select("b", F.col("top.a").alias("top"))
-    facts = weighed.join(tops, "b").join(label, "b", "left").select("a", "b", "top", F.coalesce("component", "b").alias("component"))
-    members = stored(star.join(facts, ["a", "b"]).select("a", "b", "top", "b_n", "shared", "extra", "linked", "component"), "members")
+    return members.join(label, "b", "left").withColumn("component", F.coalesce("component", "b"))
+
+
+def _distinct_pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).select("a", "b")
+
+
+def _central_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members that are not linked to the hub, each with up to ``CENTRES`` members that lie nearest to the middle."""
+    placed = _labelled(members.drop("extra"), labels)
+    near = placed.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(CENTRES)).alias("part")).agg(F.max(F.struct("held", "b", "b_n", "component")).alias("y"))
+    loose = placed.where(~F.col("linked")).select("a", F.col("b").alias("x"), "component", "held", "b_n")
+    pairs = loose.join(near.select("a", "y"), "a").where(
+        (F.col("x") != F.col("y.b")) & (F.col("component") != F.col("y.component")) & _alike(F.least("held", "y.held"), F.col("b_n"), F.col("y.b_n"))
+    )
+    return _distinct_pairs(pairs.select("x", F.col("y.b").alias("y")))
+
+
+def _member_pairs(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of members of one star, one of them not linked to the hub, that can be links at all.
+
+    What two members share is at most the lesser ``held`` and what both have in ``extra``. Members with the same top
+    meet in the star of that one only, members of one component not at all.
+    """
+    placed = stored(_labelled(members, labels), "placed_members")
     here = lambda x, y: (F.col(x) != F.col(y)) | (F.col(x) == F.col("a"))
-    loose = members.where(~F.col("linked"))
-    # (a) a common shingle in excess of the hub; only where a star's members of several components have it
-    codes = members.select("a", "b", "top", "component", "linked", F.explode("extra").alias("code"))
+    # (a) common extras; only those that a star's members of several components have
+    codes = placed.select("a", "b", "top", "component", "linked", "b_n", "held", "least_n", F.explode("extra").alias("code"))
     wanted = stored(
-        codes.groupBy("a", "code").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("linked").alias("all_linked"), F.min("top").alias("low"), F.max("top").alias("high"))
-        .where("lo <> hi and not all_linked and (low <> high or low = a)").select("a", "code"),
+        codes.groupBy("a", "code").agg(
+            F.count(F.lit(1)).alias("holders"), F.min("component").alias("lo"), F.max("component").alias("hi"),
+            F.min("linked").alias("all_linked"), F.min("top").alias("low"), F.max("top").alias("high"),
+        ).where("lo <> hi and not all_linked and (low <> high or low = a)").select("a", "code", "holders"),
         "wanted",
     )
-    held = stored(codes.join(wanted, ["a", "code"]), "held")
-    one = held.where(~F.col("linked")).select("a", "code", F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("top").alias("x_top"))
-    by_code = one.join(held.select("a", "code", F.col("b").alias("y"), "component", "top"), ["a", "code"]).where(
+    # A member needs so many common extras at least with any other. Of the rarest all but so many, and one more, one is
+    # common then: for both, as the order is the same.
+    bag = W.partitionBy("a", "b")
+    need = F.expr("greatest(1, (4 * (b_n + greatest((4 * b_n + 4) div 5, least_n)) + 8) div 9 - held)")
+    rare = stored(
+        codes.join(wanted, ["a", "code"])
+        .withColumn("common", F.count(F.lit(1)).over(bag))
+        .withColumn("place", F.row_number().over(bag.orderBy("holders", "code")))
+        .where(F.col("place") <= F.col("common") - need + 1),
+        "rare",
+    )
+    one = rare.where(~F.col("linked")).select(
+        "a", "code", F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("top").alias("x_top"),
+        F.col("held").alias("x_held"), F.col("b_n").alias("x_n"), F.col("common").alias("x_common"),
+    )
+    by_code = one.join(rare.select("a", "code", F.col("b").alias("y"), "component", "top", "held", "b_n", "common"), ["a", "code"]).where(
         (F.col("x") != F.col("y")) & (F.col("x_component") != F.col("component")) & here("x_top", "top")
+        & _alike(F.least("x_held", "held") + F.least("x_common", "common"), F.col("x_n"), F.col("b_n"))
     )
-    # (b) sizes: 9 * least(shared) >= 4 * (n + n'); bins of a fortieth of a doubling
+    # (b) sizes: 9 * least(held) >= 4 * (n + n'); bins of a fortieth of a doubling
     bin_of = lambda n: F.floor(F.log2(n) * 40)
-    most = F.floor((F.col("shared") * 9 - F.col("b_n") * 4) / 4)
-    ranged = loose.where((most >= 1) & (most * 5 >= F.col("b_n") * 4)).select(
-        "a", F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("top").alias("x_top"), F.col("shared").alias("x_shared"), F.col("b_n").alias("x_n"),
+    most = F.floor((F.col("held") * 9 - F.col("b_n") * 4) / 4)
+    ranged = placed.where(~F.col("linked") & (most >= 1) & (most * 5 >= F.col("b_n") * 4)).select(
+        "a", F.col("b").alias("x"), F.col("component").alias("x_component"), F.col("top").alias("x_top"), F.col("held").alias("x_held"), F.col("b_n").alias("x_n"),
         F.explode(F.sequence(bin_of(F.greatest(F.ceil(F.col("b_n") * 0.8), F.lit(1))), bin_of(most))).alias("bin"),
     )
-    others = members.where("b_n > 0").select("a", F.col("b").alias("y"), "component", "top", "shared", "b_n", bin_of(F.col("b_n")).alias("bin"))
+    others = placed.where("b_n > 0").select("a", F.col("b").alias("y"), "component", "top", "held", "b_n", bin_of(F.col("b_n")).alias("bin"))
     by_size = ranged.join(others, ["a", "bin"]).where(
         (F.col("x") != F.col("y")) & (F.col("x_component") != F.col("component")) & here("x_top", "top")
-        & _alike(F.least("x_shared", "shared"), F.col("x_n"), F.col("b_n"))
+        & _alike(F.least("x_held", "held"), F.col("x_n"), F.col("b_n"))
     )
-    pairs = by_code.select("x", "y").unionByName(by_size.select("x", "y"))
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("_n")).select("a", "b")
+    return _distinct_pairs(by_code.select("x", "y").unionByName(by_size.select("x", "y")))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -297,14 +365,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = stored(nodes.join(needed, "node").select("node", F.col("one.doc_id").alias("doc_id"), F.col("one._k1").alias("_k1"), F.col("one._k2").alias("_k2")), "named")
     on = F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s._k1") == F.col("w._k1")) & (F.col("s._k2") == F.col("w._k2"))
     texts = stored(source.alias("s").join(named.alias("w"), on).dropDuplicates(["node"]).select("node", "text"), "texts")
-    first = stored(_compared(pairs, texts), "star")
+    first = stored(_compared(pairs, texts, differences=True), "star")
     links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = stored(components(links), "components")
-    second = _compared(stored(_member_pairs(first, labels, hubs.select(F.col("hub.node").alias("a"), F.col("hub.weight").alias("weight")).distinct()), "more_pairs"), texts).where("linked")
-    second = stored(second.select(F.col("a").alias("u"), F.col("b").alias("v")), "more_links")
-    if not second.isEmpty():
-        joined = links.unionByName(second)
-        labels = stored(components(joined), "components")
+    members = _middle(first, hubs.select(F.col("hub.node").alias("a"), F.col("hub.weight").alias("weight")).distinct())
+    for step, candidates in (("central", _central_pairs), ("more", _member_pairs)):
+        second = _compared(stored(candidates(members, labels), f"{step}_pairs"), texts).where("linked")
+        second = stored(second.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{step}_links")
+        if not second.isEmpty():
+            links = links.unionByName(second)
+            labels = stored(components(links), "components")
     return rows, labels
 
 
