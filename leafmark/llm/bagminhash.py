@@ -44,6 +44,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 5
 #: members near the middle of a star that those not linked to its hub are compared with first
 CENTRES = 8
+#: bits of the map of wanted keys, 2 MB at any size of input
+SLOTS, SLOTS_A_ROW = 1 << 24, 1 << 15
 U = np.uint64
 BYTES = table_of(11)
 LOWER = np.arange(256, dtype=np.uint8)
@@ -246,6 +248,16 @@ def _alike(shared, a_n, b_n):
     return shared * 9 >= (a_n + b_n) * 4
 
 
+def _perhaps(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a hash, is not in ``wanted``: a join with ``wanted`` follows, and
+    what it would drop is not shuffled. The wanted keys travel as a map of bits, whose size is fixed."""
+    part, at = (F.floor(F.pmod(key, F.lit(SLOTS)) / SLOTS_A_ROW), F.pmod(key, F.lit(SLOTS_A_ROW)))
+    bits = wanted.select(part.alias("_part"), at.alias("_at")).groupBy("_part").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    placed = rows.withColumn("_part", part).withColumn("_at", at).join(F.broadcast(bits), "_part")
+    return placed.where(F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)) % 2 == 1).drop("_part", "_at", "_bits")
+
+
 def _node():
     return F.concat(F.lpad(F.hex("f1"), 16, "0"), F.lpad(F.hex("f2"), 16, "0"))
 
@@ -355,7 +367,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     member = nodes.select("node", F.col("one.n").alias("n"), F.explode("one.bands").alias("bucket"))
     sizes = stored(member.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "buckets")
-    held = stored(member.join(sizes, "bucket"), "members")
+    held = stored(_perhaps(member, sizes, "bucket").join(sizes, "bucket"), "members")
     weight = held.groupBy("node").agg(F.sum("members").alias("weight"))
     weighed = stored(held.join(weight, "node").select("bucket", "node", "n", "weight"), "weighed")
     hubs = stored(weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node", "n")).alias("hub")), "hubs")
@@ -364,7 +376,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     named = stored(nodes.join(needed, "node").select("node", F.col("one.doc_id").alias("doc_id"), F.col("one._k1").alias("_k1"), F.col("one._k2").alias("_k2")), "named")
     on = F.col("s.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("s._k1") == F.col("w._k1")) & (F.col("s._k2") == F.col("w._k2"))
-    texts = stored(source.alias("s").join(named.alias("w"), on).dropDuplicates(["node"]).select("node", "text"), "texts")
+    texts = stored(_perhaps(source, named, "_k1").alias("s").join(named.alias("w"), on).dropDuplicates(["node"]).select("node", "text"), "texts")
     first = stored(_compared(pairs, texts, differences=True), "star")
     links = first.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
     labels = stored(components(links), "components")

@@ -58,3 +58,12 @@ def test_members_of_a_star_are_compared_a_few_times_each(spark, monkeypatch, mem
     assert [found[i] for i in range(len(texts))] == classes(texts)
     assert len(set(found.values())) > members // 10
     assert 0 < sum(compared.values()) < 4 * len(texts), compared
+
+
+def test_rows_with_wanted_keys_stay(spark):
+    keys = [0, -1, 1, 7, 8, 2**15, 2**24, -(2**63), 2**63 - 1] + [k * 0x9E3779B97F4A7C1 % 2**63 for k in range(50)]
+    rows = spark.range(3000).selectExpr("xxhash64(id) as key").unionByName(spark.createDataFrame([(k,) for k in keys], "key long"))
+    wanted = spark.createDataFrame([(k,) for k in keys], "key long")
+    found = [r.key for r in bagminhash._perhaps(rows, wanted, "key").collect()]
+    assert sorted(found)[0] == -(2**63) and set(keys) <= set(found) and len(found) < len(keys) + 300
+    assert bagminhash._perhaps(rows, wanted.limit(0), "key").columns == ["key"]
