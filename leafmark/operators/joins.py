@@ -26,6 +26,12 @@ def _weight(df: DataFrame) -> Column:
     return reduce(lambda a, b: a + b, [p.cast("long") for p in parts])
 
 
+def fits(small: DataFrame, limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> bool:
+    """Whether the counted rows of a stored side stay under ``limit`` and its measured bytes under ``most``."""
+    rows, size = small.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(_weight(small))).first()
+    return rows <= limit and (size or 0) <= most
+
+
 def sized_join(
     big: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -34,9 +40,7 @@ def sized_join(
 
     Above either both sides are shuffled and adaptive execution splits hot partitions.
     """
-    rows, size = small.limit(limit + 1).agg(F.count(F.lit(1)), F.sum(_weight(small))).first()
-    fits = rows <= limit and (size or 0) <= most
-    return big.join(F.broadcast(small) if fits else small, on, how)
+    return big.join(F.broadcast(small) if fits(small, limit, most) else small, on, how)
 
 
 def hot_key_join(left: DataFrame, right: DataFrame, key: str, weight: str, how: str = "left") -> DataFrame:

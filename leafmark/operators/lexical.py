@@ -43,21 +43,20 @@ def scoped_total(index: SearchIndex, scope: list[str] | None) -> int:
 def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
     """Adds ``(chunk_id, document_id, length, tf)`` to a stored table with a ``term`` column.
 
-    A term the index splits (``USART1_TX``) is a phrase: its pieces must stand side by side, which the positions in
-    the postings tell; no text or token list of a chunk is read.
+    A term the index splits (``USART1_TX``) is a phrase: its pieces must stand side by side, which their
+    positions tell. They are looked up after the chunks that hold a piece asked for are found.
     """
     pieces = X.subtokens(F.col("term"))
     single = terms.where(F.size(pieces) == 1).withColumn("piece", pieces[0])
-    found = sized_join(index.occurrences.withColumnRenamed("term", "piece"), single, ["piece"]).select(*terms.columns, "chunk_id", "document_id", "length", "tf")
+    found = index.found_in(single).select(*terms.columns, "chunk_id", "document_id", "length", "tf")
 
     phrases = terms.where(F.size(pieces) > 1)
     if phrases.isEmpty():
         return found
-    posted = index.postings.withColumnRenamed("term", "piece")
     listed = phrases.select("term").distinct()
     wanted = listed.select("term", F.size(pieces).alias("width"), F.posexplode(pieces).alias("k", "piece"))
     met = (
-        sized_join(posted, wanted, ["piece"])
+        index.found_in(wanted, positions=True)
         .groupBy("term", "chunk_id")
         .agg(
             F.first("document_id").alias("document_id"),

@@ -45,7 +45,7 @@ def containing_pages(index: SearchIndex, passages: DataFrame, pages: DataFrame)
     terms = write_table(passages.select("query_id", F.explode(X.search_terms(inner)).alias("term")).where(F.size(X.subtokens(F.col("term"))) == 1), "inner_terms")
     known = terms.join(index.frequency_of(terms), "term")
     rarest = write_table(known.groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("least")).select("query_id", "least.term"), "rarest")
-    held = sized_join(index.occurrences.select("term", "document_id", "page_number"), rarest, ["term"])
+    held = index.found_in(rarest.withColumnRenamed("term", "piece"))
     near = write_table(held.select("query_id", "document_id", "page_number").distinct(), "near_pages")
     whole = sized_join(pages, near, ["document_id", "page_number"]).join(passages, "query_id")
     found = whole.where(F.contains("text", F.col("question"))).select("query_id", "document_id", "page_number")

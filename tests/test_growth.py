@@ -17,6 +17,23 @@ def test_postings_are_read_off_the_chunks(spark, sf_dir):
     assert {r.term: r.df for r in index.frequency_of(asked).collect()} == {t: n for t, n in whole.items() if t == "THE"}
 
 
+def test_places_are_looked_up_for_pieces_asked_for_only(spark, monkeypatch):
+    from test_search_structures import library
+
+    index = library(spark)
+    asked = write_table(spark.createDataFrame([("USART1_TX",), ("A_A",), ("GPIO",), ("NO",)], "term string"), "asked")
+    found = lexical.term_occurrences(index, asked)
+    # no array of postings is made of a chunk's pieces
+    assert "transform(array_distinct(subs" in plan_of(index.postings) and "transform(array_distinct(subs" not in plan_of(found)
+    # what is found once for a chunk stands below the explode of its pieces
+    plan = plan_of(index.found_in(asked.withColumnRenamed("term", "piece")))
+    assert plan.index("Generate explode") < plan.index("array_sort(subs")
+    rows = lambda df: sorted(tuple(r) for r in df.select("term", "chunk_id", "document_id", "length", "tf").collect())
+    small = rows(found)
+    monkeypatch.setattr(indexing, "fits", lambda _: False)
+    assert small == rows(lexical.term_occurrences(index, asked)) and len({r[0] for r in small}) == 3
+
+
 def test_readers_of_chunk_texts_pay_for_no_tokens(spark, sf_dir):
     context, _, _ = corpus.library_base(spark, sf_dir)
     rows = indexing.tokenized(indexing.chunk_rows(corpus.contextual_pages(spark, sf_dir)))
