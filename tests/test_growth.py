@@ -1,5 +1,8 @@
 """Work that must not grow faster than its input: what is shuffled, stored and carried."""
 
+from pyspark.sql import functions as F
+
+from leafmark.functions import text as X
 from leafmark.operators import indexing, lexical, products
 from leafmark.plans import corpus
 from leafmark.session import write_table
@@ -65,3 +68,13 @@ def test_pages_of_equal_score_stay_in_page_order(spark):
     best = lambda q: [(r.page_number, r.matched) for r in sorted((r for r in found if r.query_id == q), key=lambda r: (-r.matched, r.page_number))[:3]]
     assert best(1) == [(9, 1.5), (700, 1.5), (0, 1.0)] and best(2) == [(9, 2.0), (700, 2.0)]
     assert len(found) < 60
+
+
+def test_tokens_are_read_without_classes_of_ranges(spark, sf_dir):
+    texts = ["a B c_ 1 22 ŉx ſt ß straße ﬁn é１ 模 模式 x", "", "K\u212a \u0131i\u0307", "plain words, 7 of them; z", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, t string").withColumn("folded", X.fold(F.col("t")))
+    got = rows.select("n", X.search_terms(F.col("t")).alias("terms"), F.regexp_extract_all("folded", F.lit("[A-Z0-9_]{2,}|[0-9]"), F.lit(0)).alias("words")).collect()
+    for r in got:
+        assert (r.terms is None and r.words is None) or [t for t in r.terms if t.isascii()] == list(dict.fromkeys(r.words))
+    plan = plan_of(indexing.tokenized(indexing.chunk_rows(corpus.contextual_pages(spark, sf_dir))).select("tokens"))
+    assert "[A-Z0-9_]" not in plan and r"[^\x00-\x7F]" not in plan
