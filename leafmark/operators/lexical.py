@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from leafmark.functions import rules as R
 from leafmark.functions import text as X
-from leafmark.operators.blockmax import best_chunks
+from leafmark.operators.blockmax import PAIRS, best_chunks, best_of_chunks
 from leafmark.operators.indexing import SearchIndex
-from leafmark.operators.joins import sized_join
-from leafmark.operators.products import blocks_of, hit_arrays
+from leafmark.operators.joins import fits, sized_join
+from leafmark.operators.products import blocks_of, chunk_counts, hit_arrays
 from leafmark.session import fan_out, write_table
 
 
@@ -36,6 +36,16 @@ def in_scope(df: DataFrame, scope: list[str] | None) -> DataFrame:
     return df.join(listed, "document_id", "left_semi")
 
 
+def with_scope(df: DataFrame, scope: list[str] | None) -> DataFrame:
+    """Adds ``within``: whether a row's document is in the scope."""
+    if not scope:
+        return df.withColumn("within", F.lit(True))
+    if len(scope) <= SCOPE_LITERALS:
+        return df.withColumn("within", F.coalesce(F.col("document_id").isin(scope), F.lit(False)))
+    listed = in_scope(df.select("document_id").distinct(), scope).withColumn("within", F.lit(True))
+    return df.join(listed, "document_id", "left").withColumn("within", F.coalesce("within", F.lit(False)))
+
+
 def scoped_total(index: SearchIndex, scope: list[str] | None) -> int:
     return in_scope(index.chunks, scope).count() if scope else index.total
 
@@ -73,7 +83,11 @@ def term_occurrences(index: SearchIndex, terms: DataFrame) -> DataFrame:
 
 
 def document_frequency(index: SearchIndex, terms: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """``(term, df_all, df)``: chunks with the term in the library and in the scope."""
+    """``(term, df_all, df)``: chunks with the term in the library and in the scope, for stored ``terms(term)``. They
+    travel to the chunks unless they are too many."""
+    if fits(terms):
+        parts = {t: tuple(p) for t, p in terms.select("term", X.subtokens(F.col("term"))).collect()}
+        return chunk_counts(with_scope(index.chunks, scope), parts)
     plain = terms.where(F.size(X.subtokens(F.col("term"))) == 1)
     complex_ = terms.where(F.size(X.subtokens(F.col("term"))) > 1)
     if scope:
@@ -143,8 +157,8 @@ def bm25_candidates(
 ) -> DataFrame:
     """Best ``depth`` chunks of each term set ``(set_id, term, idf)``, or all with any of its terms.
 
-    With a ``depth``, postings are shuffled once, by chunk, and each shard passes on its best chunks of every set
-    (see ``blockmax``); the product of sets and chunks is never shuffled.
+    With a ``depth``, each shard passes on its best chunks of every set (see ``blockmax``); the product of sets and
+    chunks is never shuffled, and postings only if the sets are too many to travel to the chunks.
     """
     if depth is not None:
         best = block_max(index, set_terms, scope, depth).where(F.col("chunk_id").isNotNull())
@@ -164,6 +178,8 @@ def bm25_candidates(
 
 def block_max(index: SearchIndex, set_terms: DataFrame, scope: list[str] | None, depth: int) -> DataFrame:
     """Best chunks of each shard with the postings read; ``blockmax.FOUND``."""
+    if set_terms.count() <= PAIRS:
+        return best_of_chunks(in_scope(index.chunks, scope), set_terms, depth, R.BM25_K1, R.BM25_B, index.avg_length)
     asked = write_table(set_terms.select("term").distinct(), "asked_terms")
     occurring = write_table(in_scope(term_occurrences(index, asked), scope), "asked_postings")
     return best_chunks(occurring, set_terms, depth, index.total, R.BM25_K1, R.BM25_B, index.avg_length)

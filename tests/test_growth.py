@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as X
-from leafmark.operators import indexing, lexical, products
+from leafmark.operators import blockmax, indexing, lexical, products
 from leafmark.plans import corpus
 from leafmark.session import write_table
 
@@ -78,3 +78,39 @@ def test_tokens_are_read_without_classes_of_ranges(spark, sf_dir):
         assert (r.terms is None and r.words is None) or [t for t in r.terms if t.isascii()] == list(dict.fromkeys(r.words))
     plan = plan_of(indexing.tokenized(indexing.chunk_rows(corpus.contextual_pages(spark, sf_dir))).select("tokens"))
     assert "[A-Z0-9_]" not in plan and r"[^\x00-\x7F]" not in plan
+
+
+def test_best_chunks_are_found_without_a_shuffle(spark, monkeypatch):
+    from test_search_structures import library
+
+    index = library(spark, 8, 300)
+    terms = ["GPIO", "USART1_TX", "TX", "A", "MODE", "CLOCK", "X_", "A_A_B", "_", "NO"]
+    sets = write_table(spark.createDataFrame([(n % 4, t, 0.1 + n) for n, t in enumerate(terms)], "set_id long, term string, idf double"), "sets")
+    rows = lambda df: sorted((r.set_id, r.chunk_id, round(r.bm25, 6), r.place) for r in df.collect())
+    for scope in (None, ["d1", "d2"], [f"d{n}" for n in range(2, 200)]):
+        whole = rows(lexical.bm25_candidates(index, sets, scope, None).where("place <= 9"))
+        for shard in (20_000, 7):
+            monkeypatch.setattr(blockmax, "SHARD", shard)
+            assert rows(lexical.bm25_candidates(index, sets, scope, 9)) == whole
+        # more sets than travel at once: their postings are stored and dealt out
+        with monkeypatch.context() as m:
+            m.setattr(lexical, "PAIRS", 3)
+            assert rows(lexical.bm25_candidates(index, sets, scope, 9)) == whole
+    stored = []
+    monkeypatch.setattr(blockmax, "write_table", lambda df, name: stored.append(df) or write_table(df, name))
+    lexical.block_max(index, sets, None, 9)
+    assert all(word not in plan_of(stored[0]) for word in ("Repartition", "Sort", "Aggregate", "Join", "Generate"))
+
+
+def test_frequencies_are_counted_where_the_chunks_are(spark, monkeypatch):
+    from test_search_structures import library
+
+    index = library(spark)
+    terms = write_table(spark.createDataFrame([(t,) for t in ("GPIO", "USART1_TX", "A_A", "X_", "_", "NO", "A_A_B")], "term string"), "terms")
+    rows = lambda scope: sorted(tuple(r) for r in lexical.document_frequency(index, terms, scope).collect())
+    scopes = (None, ["d1", "d2"], [f"d{n}" for n in range(2, 200)], ["none"])
+    small = [rows(s) for s in scopes]
+    plan = plan_of(lexical.document_frequency(index, terms, ["d1"]))
+    assert "Join" not in plan and "Generate" not in plan
+    monkeypatch.setattr(lexical, "fits", lambda _: False)
+    assert [rows(s) for s in scopes] == small and len(small[0]) == 5 and lexical.document_frequency(index, terms.where("false")).collect() == []
