@@ -8,6 +8,7 @@ said so far and are rewritten whenever an event changes them. Rows may come in a
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -62,7 +63,9 @@ def parse_frames(pieces: DataFrame) -> DataFrame:
 
 
 FRAME_OUT = "stream_id string, frame_no long, line_no int, delta string"
-FRAME_STATE = "buffer string, done boolean, next_seq long, frame_no long"
+FRAME_FIELDS = ("buffer", "done", "next_seq", "frame_no", "due")
+#: Groups of streams that are handed to Python together, and streams of a group that share an entry of its state.
+GROUPS, PAGE = 1024, 32
 
 
 def _deltas(frame: str) -> tuple[list[tuple[int, str]], bool]:
@@ -84,71 +87,130 @@ def _deltas(frame: str) -> tuple[list[tuple[int, str]], bool]:
     return found, done
 
 
+class Pages:
+    """What is known of the streams of one group, kept as JSON in pages of about ``PAGE`` streams.
+
+    A call to the state costs far more than a stream's few lines do. Only the pages of the streams asked for are read
+    and written; when the pages are full their number doubles, so that a page stays small in any number of streams.
+    """
+
+    def __init__(self, size, pages, streams):
+        self.size, self.pages = size, pages
+        self.number, self.count = size.get() or (1, 0)
+        self.known: dict = {}
+        self.read = {self._page(s) for s in streams}
+        self._load(self.read)
+        self.before = len(self.known)
+
+    def _page(self, stream) -> int:
+        return zlib.crc32((stream or "").encode()) % self.number
+
+    def _load(self, pages) -> None:
+        for page in pages:
+            found = self.pages.getValue((page,))
+            for stream, state, seqs, early in [] if found is None else json.loads(found[0]):
+                self.known[stream] = dict(zip(FRAME_FIELDS, state, strict=True)), dict(zip(seqs, early, strict=True))
+
+    def get(self, stream) -> tuple[dict, dict]:
+        """What is known of a stream, and its early pieces."""
+        return self.known.get(stream) or (dict(zip(FRAME_FIELDS, ("", False, 0, 0, None), strict=True)), {})
+
+    def put(self, stream, state: dict, early: dict) -> None:
+        self.known[stream] = state, early
+
+    def write(self) -> None:
+        new = len(self.known) - self.before
+        count = self.count + new
+        if count > PAGE * self.number:
+            self._load(set(range(self.number)) - self.read)
+            while count > PAGE * self.number:
+                self.number *= 2
+            self.read = set(range(self.number))
+        rows: dict = {page: [] for page in self.read}
+        for stream, (state, early) in self.known.items():
+            rows[self._page(stream)].append([stream, [state[f] for f in FRAME_FIELDS], [*early], [*early.values()]])
+        for page, held in rows.items():
+            self.pages.updateValue((page,), (json.dumps(held, ensure_ascii=False),))
+        if new:
+            self.size.update((self.number, count))
+
+
 class Frames(StatefulProcessor):
-    """Frames of one stream. ``seq`` counts from 0; pieces that come early wait in state for those before them. A
-    null piece marks the end of its stream; with ``quiet_ms``, a stream that is quiet for so long is over as well,
-    whatever is missing. What was left then is read as a last frame, and pieces that come later are ignored."""
+    """Frames of the streams of one group. ``seq`` counts from 0; pieces that come early wait in state for those
+    before them. A null piece marks the end of its stream; with ``quiet_ms``, a stream that is quiet for so long is
+    over as well, whatever is missing. What was left then is read as a last frame, and pieces that come later are
+    ignored."""
 
     def __init__(self, quiet_ms: int | None = None):
         self.quiet_ms = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("frames", FRAME_STATE)
-        self.early = handle.getMapState("early", "seq long", "piece string")
+        self.size = handle.getValueState("size", "pages long, streams long")
+        self.pages = handle.getMapState("frames", "page long", "streams string")
+        self.due = handle.getMapState("due", "at long", "stream_ids array<string>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = self._read()
-        if state["next_seq"] < 0:
-            return
-        waiting = {k[0]: v[0] for k, v in self.early.iterator()} if self.early.exists() else {}
-        known = set(waiting)
+        came: dict = {}
         for batch in rows:
-            for seq, piece in zip(batch["seq"], batch["piece"], strict=True):
-                if seq >= state["next_seq"]:
-                    waiting[int(seq)] = None if pd.isna(piece) else piece
-        out: list[tuple] = []
-        while state["next_seq"] in waiting:
-            piece = waiting.pop(state["next_seq"])
-            if piece is None:
-                self._flush(state, out)
-                break
-            self._push(state, piece, out)
-            state["next_seq"] += 1
-        over = state["next_seq"] < 0
-        for seq in known if over else known - waiting.keys():
-            self.early.removeKey((seq,))
-        if not over:
-            for seq in waiting.keys() - known:
-                self.early.updateValue((seq,), (waiting[seq],))
-        self._write(state)
-        if self.quiet_ms is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        if self.quiet_ms is not None and not over:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms)
-        yield self._rows(key, out)
+            for stream, seq, piece in zip(batch["stream_id"], batch["seq"], batch["piece"], strict=True):
+                if not pd.isna(seq):
+                    came.setdefault(stream, {})[int(seq)] = None if pd.isna(piece) else piece
+        due = None if self.quiet_ms is None else timerValues.getCurrentProcessingTimeInMs() + self.quiet_ms
+        streams, waiting, out = Pages(self.size, self.pages, came), [], []
+        for stream, pieces in came.items():
+            state, early = streams.get(stream)
+            if state["next_seq"] < 0:
+                continue
+            found: list[tuple] = []
+            left = early | {seq: p for seq, p in pieces.items() if seq >= state["next_seq"]}
+            while state["next_seq"] in left:
+                piece = left.pop(state["next_seq"])
+                if piece is None:
+                    self._flush(state, found)
+                    break
+                self._push(state, piece, found)
+                state["next_seq"] += 1
+            out += [(stream, *r) for r in found]
+            if state["next_seq"] < 0:
+                streams.put(stream, state, {})
+            else:
+                streams.put(stream, state | {"due": due}, left | {seq: p for seq, p in early.items() if seq in left})
+                waiting.append(stream)
+        streams.write()
+        if due is not None and waiting:
+            self.due.updateValue((due,), ([*self._due(due), *waiting],))
+            self.handle.registerTimer(due)
+        if out:
+            yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, out = self._read(), []
-        waiting = {k[0]: v[0] for k, v in self.early.iterator()} if self.early.exists() else {}
-        for seq in sorted(waiting):
-            if waiting[seq] is not None:
-                self._push(state, waiting[seq], out)
-            self.early.removeKey((seq,))
-        self._flush(state, out)
-        self._write(state)
-        yield self._rows(key, out)
+        """Ends those of the timer's streams that have been quiet since it was set."""
+        at, out = expiredTimerInfo.getExpiryTimeInMs(), []
+        asked = self._due(at)
+        streams = Pages(self.size, self.pages, asked)
+        for stream in asked:
+            state, early = streams.get(stream)
+            if state["next_seq"] < 0 or state["due"] != at:
+                continue
+            found: list[tuple] = []
+            for seq in sorted(early):
+                if early[seq] is not None:
+                    self._push(state, early[seq], found)
+            self._flush(state, found)
+            streams.put(stream, state, {})
+            out += [(stream, *r) for r in found]
+        streams.write()
+        self.due.removeKey((at,))
+        if out:
+            yield self._rows(out)
 
     def close(self) -> None:
         pass
 
-    def _read(self) -> dict:
-        buffer, done, next_seq, frame_no = self.state.get() if self.state.exists() else ("", False, 0, 0)
-        return {"buffer": buffer, "done": done, "next_seq": next_seq, "frame_no": frame_no}
-
-    def _write(self, state: dict) -> None:
-        self.state.update((state["buffer"], state["done"], state["next_seq"], state["frame_no"]))
+    def _due(self, at: int) -> list:
+        found = self.due.getValue((at,))
+        return [] if found is None else found[0]
 
     @staticmethod
     def _push(state: dict, piece: str, out: list) -> None:
@@ -169,15 +231,16 @@ class Frames(StatefulProcessor):
         state["buffer"], state["next_seq"] = "", -1
 
     @staticmethod
-    def _rows(key, out: list) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["stream_id", "frame_no", "line_no", "delta"])
+    def _rows(out: list) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["stream_id", "frame_no", "line_no", "delta"])
 
 
-def stream_frames(pieces: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+def stream_frames(pieces: DataFrame, quiet_ms: int | None = None, groups: int = GROUPS) -> DataFrame:
     """Streaming form of ``parse_frames`` over ``(stream_id string, seq long, piece string)``: the deltas of every
     frame once it is complete. Needs the RocksDB state store (:func:`use_state_store`). With ``quiet_ms`` the state
-    has timers, and the query needs a trigger that goes on without new rows."""
-    return pieces.groupBy("stream_id").transformWithStateInPandas(
+    has timers, and the query needs a trigger that goes on. Streams are dealt to ``groups`` groups by their hash: a
+    group's pieces of one micro-batch are in memory together."""
+    return pieces.withColumn("group", F.pmod(F.xxhash64("stream_id"), F.lit(groups))).groupBy("group").transformWithStateInPandas(
         statefulProcessor=Frames(quiet_ms),
         outputStructType=FRAME_OUT,
         outputMode="Append",

@@ -1,11 +1,18 @@
 """Work that must not grow faster than its input: what is shuffled, stored and carried."""
 
+import json
+import random
+import tempfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from leafmark.functions import text as X
 from leafmark.operators import blockmax, indexing, lexical, products
 from leafmark.plans import corpus
+from leafmark.plans.catalog import QUERIES
 from leafmark.session import write_table
+from leafmark.streaming import events, imports
 
 
 def plan_of(df):
@@ -114,3 +121,117 @@ def test_frequencies_are_counted_where_the_chunks_are(spark, monkeypatch):
     assert "Join" not in plan and "Generate" not in plan
     monkeypatch.setattr(lexical, "fits", lambda _: False)
     assert [rows(s) for s in scopes] == small and len(small[0]) == 5 and lexical.document_frequency(index, terms.where("false")).collect() == []
+
+
+class Cells:
+    """A keyed state in memory that counts how often it is called."""
+
+    def __init__(self):
+        self.kept, self.calls, self.timers = {}, 0, set()
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self.getMapState(name, None, schema)
+
+    def getMapState(self, name, key, value):  # noqa: N802
+        return Cell(self, name)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+
+class Cell:
+    def __init__(self, cells, name):
+        self.cells, self.name = cells, name
+
+    def getValue(self, key):  # noqa: N802
+        self.cells.calls += 1
+        return self.cells.kept.get((self.name, key))
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.cells.calls += 1
+        self.cells.kept[self.name, key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        del self.cells.kept[self.name, key]
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+
+class Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentProcessingTimeInMs(self):  # noqa: N802
+        return self.at
+
+    getExpiryTimeInMs = getCurrentProcessingTimeInMs  # noqa: N815
+
+
+def pushed(frames, rows, at=0):
+    batch = pd.DataFrame(rows, columns=["stream_id", "seq", "piece"])
+    return [tuple(r) for df in frames.handleInputRows((0,), iter([batch[:7], batch[7:]]), Now(at)) for r in df.itertuples(index=False)]
+
+
+def test_streams_share_the_calls_to_their_state():
+    from test_sources_streaming import cut, frame, plain_frames
+
+    texts = [frame(f"{n} A") + "data: [DONE]\n\n" + frame("late") if n % 3 else frame("ſ€😀") + frame("B").rstrip("\n") for n in range(900)]
+    streams = {None if n == 5 else f"s{n}": cut(text, 9 + n % 20) for n, text in enumerate(texts)}
+    want = sorted(((s, *r) for s, pieces in streams.items() for r in plain_frames(pieces)), key=str)
+    rows = [(s, i, p) for s, pieces in streams.items() for i, p in enumerate([*pieces, None])]
+    random.Random(7).shuffle(rows)
+    cells, found = Cells(), []
+    frames = events.Frames()
+    frames.init(cells)
+    # streams that come a few at a time, so that pages grow in number; then pieces of all
+    first = [n for n in range(0, 700, 100)]
+    for some in [*(rows[a : a + 100] for a in first), rows[700 : len(rows) // 2], rows[len(rows) // 2 :]]:
+        before = cells.calls
+        found += pushed(frames, some)
+        assert cells.calls - before < 40 + len({s for s, _, _ in some}) // 4
+    assert sorted(found, key=str) == want
+    pages = [json.loads(v[0]) for (name, _), v in cells.kept.items() if name == "frames"]
+    assert len(pages) == 32 and max(map(len, pages)) < 3 * events.PAGE and sum(map(len, pages)) == 900
+    # streams that are over take nothing more
+    assert pushed(frames, rows[:500]) == []
+
+
+def test_quiet_streams_of_a_group_end_one_by_one():
+    from test_sources_streaming import frame
+
+    cells, frames = Cells(), events.Frames(1000)
+    frames.init(cells)
+    ended = lambda at: [tuple(r) for df in frames.handleExpiredTimer((0,), Now(at), Now(at)) for r in df.itertuples(index=False)]
+    a, b = frame("A").rstrip("\n"), frame("B").rstrip("\n")
+    assert pushed(frames, [("a", 0, a[:9]), ("b", 1, b[9:]), ("b", 0, b[:9]), ("c", 0, a + "\n\n"), ("c", 1, None), ("d", 2, b)]) == [("c", 0, 0, "A")]
+    assert pushed(frames, [("a", 1, a[9:]), ("c", 2, a)], 500) == [] and cells.timers == {1000, 1500}
+    assert sorted(ended(1000)) == [("b", 0, 0, "B"), ("d", 0, 0, "B")]
+    assert pushed(frames, [("b", 2, "\n\n" + b)], 1200) == [] and cells.timers == {1000, 1500}
+    assert ended(1500) == [("a", 0, 0, "A")] and not any(name == "due" for name, _ in cells.kept)
+
+
+def test_state_holds_fewer_entries_than_streams(spark):
+    from test_sources_streaming import PIECES, frame
+
+    folder = tempfile.mkdtemp(prefix="leafmark-test-")
+    rows = [(f"s{n}", i, p) for n in range(3000) for i, p in enumerate([frame(f"{n}")[:20], frame(f"{n}")[20:], None])]
+    random.Random(3).shuffle(rows)
+    for n in range(2):
+        spark.createDataFrame(rows[n::2], PIECES).coalesce(1).write.mode("append").json(f"{folder}/in", ignoreNullFields=False)
+    query = imports.follow_answers(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ck", files_per_batch=1)
+    query.awaitTermination(200)
+    assert sorted(spark.read.parquet(f"{folder}/out").toPandas()["delta"]) == sorted(map(str, range(3000)))
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) < 3000
+
+
+def test_a_feed_is_written_by_all_cores(spark, sf_dir, monkeypatch):
+    feeds, follow = [], imports.follow_answers
+    monkeypatch.setattr(imports, "follow_answers", lambda spark, folder, *a, **k: feeds.append((folder, k["files_per_batch"])) or follow(spark, folder, *a, **k))
+    assert QUERIES["sse_stream"](spark, sf_dir).count() == QUERIES["sse_parse"](spark, sf_dir).count()
+    (folder, each), = feeds
+    files = len(spark.read.schema("piece string").json(folder).inputFiles())
+    assert files >= spark.sparkContext.defaultParallelism and -(-files // each) == 4
