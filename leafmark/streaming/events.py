@@ -249,8 +249,13 @@ def stream_frames(pieces: DataFrame, quiet_ms: int | None = None, groups: int =
 
 
 def use_state_store(spark) -> None:
-    """Keyed state with timers is kept in RocksDB, for this session's streams."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Keyed state with timers is kept in RocksDB, for this session's streams. Its stores share one cache in each
+    executor, as caches of their own would grow with the number of partitions; settings made before stay."""
+    store = "spark.sql.streaming.stateStore"
+    spark.conf.set(f"{store}.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name, value in (("boundedMemoryUsage", "true"), ("maxMemoryUsageMB", "256")):
+        if spark.conf.get(f"{store}.rocksdb.{name}", None) is None:
+            spark.conf.set(f"{store}.rocksdb.{name}", value)
 
 
 UNKNOWN_ERROR = "未知错误"

@@ -224,6 +224,7 @@ def test_state_holds_fewer_entries_than_streams(spark):
         spark.createDataFrame(rows[n::2], PIECES).coalesce(1).write.mode("append").json(f"{folder}/in", ignoreNullFields=False)
     query = imports.follow_answers(spark, f"{folder}/in", f"{folder}/out", f"{folder}/ck", files_per_batch=1)
     query.awaitTermination(200)
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
     assert sorted(spark.read.parquet(f"{folder}/out").toPandas()["delta"]) == sorted(map(str, range(3000)))
     assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) < 3000
 
